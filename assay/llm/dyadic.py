@@ -42,7 +42,7 @@ class SketchSpec:
     mantissa_bits: int = 10
     exact_bits: int = 5  # mantissa bits of the finest exactly counted level
     depth: int = 3
-    width: int = 256
+    width: int = 512
     seed: int = 20240611
 
     @property
@@ -267,7 +267,7 @@ def merge(sketches: DataFrame, keys: list[str], spec: SketchSpec = DEFAULT, fan_
     return summed(partial, list(keys), schema)
 
 
-def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float = 5.0, spec: SketchSpec = DEFAULT) -> DataFrame:
+def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float = 4.0, spec: SketchSpec = DEFAULT) -> DataFrame:
     """Adds, for each probability p (as per mille in the name: p500 for the median), `p.._low`, `p..` and `p.._high`:
     the estimate and a bracket that holds the true value unless the rank errs by more than `sigmas` standard deviations."""
     names = [f"p{round(p * 1000):03d}" for p in probabilities]
