@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import collide, dyadic
+from assay.llm import collide, dyadic, packing, tokens
 from assay.session import ship
 from assay.sources.tables import table
 
@@ -108,3 +108,39 @@ near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, near_id
 """
 SQL["p1_found"] = _NEAR.format(which="q.rid IN (SELECT rid FROM knn_probe)") + "SELECT DISTINCT least(query_id, near_id) AS rid_a, greatest(query_id, near_id) AS rid_b FROM near"
 SQL["p1_similar"] = _NEAR.format(which="q.rid % 50 = 0") + "SELECT query_id, near_id, CAST(rank AS INT) AS rank, round(sqrt(d2), 6) AS distance FROM near"
+
+# ---------------------------------------------------------------- p6: token ids
+
+
+@query
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    ship(spark)
+    return tokens.token_ids(table(spark, sf, "documents").select("doc_id", "text"), "text", "byte_bpe_50k")
+
+
+# ---------------------------------------------------------------- p7: containers
+
+
+@query
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's place in the containers of each capacity."""
+    ship(spark)
+    wanted = table(spark, sf, "pack_spec").select("spec_id", "capacity", "tokenizer").collect()  # three rows, fixed
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    packed = []
+    for tokenizer in sorted({r["tokenizer"] for r in wanted}):
+        counted = tokens.token_counts(documents, "text", tokenizer)
+        packed.append(packing.pack(counted, "doc_id", "n_tokens", {r["spec_id"]: r["capacity"] for r in wanted if r["tokenizer"] == tokenizer}))
+    out = packed[0]
+    for more in packed[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and used share per capacity."""
+    capacity = table(spark, sf, "pack_spec").select("spec_id", "capacity")
+    filled = p7_containers(spark, sf).groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return filled.join(F.broadcast(capacity), "spec_id").select("spec_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used_share"))
