@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import collide, dyadic, packing, tokens
+from assay.llm import collide, dyadic, packing, subjects, tokens
 from assay.session import ship
 from assay.sources.tables import table
 
@@ -144,3 +144,28 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     capacity = table(spark, sf, "pack_spec").select("spec_id", "capacity")
     filled = p7_containers(spark, sf).groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     return filled.join(F.broadcast(capacity), "spec_id").select("spec_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used_share"))
+
+# ---------------------------------------------------------------- p8: subject areas
+
+
+def _with_subjects(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    ship(spark)
+    documents = table(spark, sf, "documents")
+    model = subjects.fit(documents.select("doc_id", "text"), table(spark, sf, "doc_label"), table(spark, sf, "subject_area"))
+    return subjects.assign(documents.select("doc_id", "text", *keep), "text", model)
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's subject areas, one row each."""
+    return _with_subjects(spark, sf).select("doc_id", F.explode("subjects").alias("subject"))
+
+
+@query
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by subject and by language, source and mailbox; `none` counts those without a subject."""
+    lang = F.coalesce(F.split_part(F.lower(F.trim("lang")), F.lit("-"), F.lit(1)), F.lit("und"))
+    spread = F.array(*(F.struct(F.lit(n).alias("dimension"), v.cast("string").alias("value")) for n, v in (("lang", lang), ("source", F.col("source")), ("mailbox", F.col("mailbox")))))
+    rows = _with_subjects(spark, sf, "lang", "source", "mailbox")
+    rows = rows.withColumn("subject", F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit(subjects.NONE)))))
+    return rows.select("subject", F.explode(spread).alias("d")).groupBy("subject", "d.dimension", "d.value").agg(F.count(F.lit(1)).alias("documents"))
