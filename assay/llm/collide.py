@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.operators import blocks
 from assay.session import cut
 
 
@@ -56,67 +57,6 @@ def directions(dimensions: int, spec: CollisionSpec) -> np.ndarray:
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-@dataclass(frozen=True)
-class Splits:
-    """A tree of split points: at node i vectors whose projection on `axis[i]` is below `cut[i]` go to `left[i]`, others to
-    `left[i] + 1`; leaves have axis -1 and their number in `left`."""
-
-    axis: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-
-    def block(self, projected: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(projected), dtype=np.int64)
-        rows = np.arange(len(projected))
-        while True:
-            inner = self.axis[node] >= 0
-            if not inner.any():
-                return self.left[node]
-            axis = np.maximum(self.axis[node], 0)
-            go_right = projected[rows, axis] >= self.cut[node]
-            node = np.where(inner, self.left[node] + go_right, node)
-
-
-def fit_splits(sample: np.ndarray, blocks: int) -> Splits:
-    """Halve the sample on its widest projection until there are about `blocks` parts or nothing is left to part."""
-    axis, cuts, left = [-1], [0.0], [0]
-    leaves: list[tuple[int, np.ndarray]] = [(0, np.arange(len(sample)))]
-    done: list[int] = []
-    while leaves and len(leaves) + len(done) < blocks:
-        grown: list[tuple[int, np.ndarray]] = []
-        for at, (node, members) in enumerate(leaves):
-            if len(done) + len(grown) + len(leaves) - at >= blocks:
-                grown += leaves[at:]
-                break
-            if len(members) < 2:
-                done.append(node)
-                continue
-            part = sample[members]
-            best = int(np.argmax(np.quantile(part, 0.95, axis=0) - np.quantile(part, 0.05, axis=0) + 1e-12 * np.ptp(part, axis=0)))
-            values = part[:, best]
-            middle = float(np.median(values))
-            below = values < middle
-            if not below.any():
-                over = values[values > middle]
-                if not len(over):
-                    done.append(node)
-                    continue
-                middle = float(over.min())
-                below = values < middle
-            axis[node], cuts[node], left[node] = best, middle, len(axis)
-            axis += [-1, -1]
-            cuts += [0.0, 0.0]
-            left += [0, 0]
-            grown += [(left[node], members[below]), (left[node] + 1, members[~below])]
-        if len(grown) == len(leaves) and all(a[0] == b[0] for a, b in zip(grown, leaves, strict=True)):
-            break
-        leaves = grown
-    axis_a, left_a = np.array(axis), np.array(left)
-    ends = np.flatnonzero(axis_a < 0)
-    left_a[ends] = np.arange(len(ends))
-    return Splits(axis_a, np.array(cuts), left_a)
-
-
 class Arrays:
     """The sorted arrays of one block and the search in them."""
 
@@ -187,32 +127,16 @@ def similar(df: DataFrame, queries: DataFrame, id_col: str, features: list[str],
     copies = Window.partitionBy(*v).orderBy("_id")
     rows = rows.withColumn("_n", F.row_number().over(copies)).filter(F.col("_n") <= spec.k + 1).drop("_n")
     rows = cut(rows)
-    total = rows.count()
-    share = min(1.0, spec.fit_rows / max(1, total))
-    chance = F.pmod(F.xxhash64(F.lit(spec.seed), "_id"), F.lit(1 << 40)) < int(share * (1 << 40))
-    sample = rows.select(*v).filter(chance).limit(2 * spec.fit_rows).toPandas().to_numpy(float).reshape(-1, dims)  # bounded by fit_rows
-    blocks = int(np.clip(-(-total // spec.block_rows), 1, spec.max_blocks))
-    splits = fit_splits(sample @ dirs.T, blocks) if len(sample) else Splits(np.array([-1]), np.array([0.0]), np.array([0]))
-
-    @F.pandas_udf("int")
-    def block_of(*cols: pd.Series) -> pd.Series:
-        return pd.Series(splits.block(np.stack([c.to_numpy(float) for c in cols], axis=1) @ dirs.T), dtype="int32")
-
-    placed = cut(rows.withColumn("_block", block_of(*v)))
-    asked = cut(_scaled(queries, id_col, features, spread).distinct().withColumn("_block", block_of(*v)))
+    project = lambda vectors: vectors @ dirs.T
+    splits = blocks.fit(rows, "_id", v, project, spec.block_rows, spec.max_blocks, spec.fit_rows, spec.seed)
+    placed = cut(blocks.assigned(rows, v, splits, project))
+    asked = cut(blocks.assigned(_scaled(queries, id_col, features, spread).distinct(), v, splits, project))
 
     def projection(j: int) -> Column:
         return sum((F.col(c) * float(dirs[j, i]) for i, c in enumerate(v)), F.lit(0.0))
 
-    ranges = placed.groupBy("_block").agg(
-        F.count(F.lit(1)).alias("n"), *(f(projection(j)).alias(f"{name}{j}") for j in range(spec.projections) for name, f in (("lo", F.min), ("hi", F.max))), *(f(c).alias(f"{name}_{c}") for c in v for name, f in (("least", F.min), ("most", F.max)))
-    )
-    known = ranges.toPandas().sort_values("_block")  # at most max_blocks rows
-    block_ids = known["_block"].to_numpy(np.int64)
-    low = known[[f"lo{j}" for j in range(spec.projections)]].to_numpy(float)
-    high = known[[f"hi{j}" for j in range(spec.projections)]].to_numpy(float)
-    least, most = known[[f"least_{c}" for c in v]].to_numpy(float), known[[f"most_{c}" for c in v]].to_numpy(float)
-    counts = known["n"].to_numpy(np.int64)
+    hashed = blocks.Ranges.of(placed, [projection(j) for j in range(spec.projections)])
+    plain = blocks.Ranges.of(placed, [F.col(c) for c in v])
     visit_schema = T.StructType([T.StructField("_id", kind), *(T.StructField(c, T.DoubleType()) for c in v), T.StructField("_bound", T.DoubleType()), T.StructField("_block", T.IntegerType())])
     found_schema = T.StructType([T.StructField("query_id", kind), *(T.StructField(c, T.DoubleType()) for c in v), T.StructField("near_id", kind), T.StructField("d2", T.DoubleType())])
     k = spec.k
@@ -220,34 +144,17 @@ def similar(df: DataFrame, queries: DataFrame, id_col: str, features: list[str],
     def first_bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """An upper bound of each query's k-th distance by the far corners of blocks, in case its own block holds fewer than k others."""
         for batch in batches:
-            q = batch[v].to_numpy(float)
-            bound = np.full(len(q), np.inf)
-            for s in range(0, len(q), 64):
-                if len(block_ids):
-                    far = np.maximum(np.abs(q[s : s + 64, None, :] - least), np.abs(q[s : s + 64, None, :] - most))
-                    reach = np.sqrt((far**2).sum(axis=2))
-                    order = np.argsort(reach, axis=1)
-                    enough = np.cumsum(counts[order], axis=1) >= k + 1
-                    pick = np.argmax(enough, axis=1)
-                    rows_ = np.arange(len(order))
-                    bound[s : s + 64] = np.where(enough.any(axis=1), reach[rows_, order[rows_, pick]] * (1 + 1e-9) + 1e-9, np.inf)
-            yield pd.DataFrame({"_id": batch["_id"], **{c: batch[c] for c in v}, "_bound": bound, "_block": batch["_block"]})[visit_schema.names]
+            yield batch.assign(_bound=plain.enough(batch[v].to_numpy(float), k + 1))[visit_schema.names]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Every other block that a query's window touches in all projections."""
         for batch in batches:
             for s in range(0, len(batch), 256):
                 part = batch.iloc[s : s + 256]
-                at = part[v].to_numpy(float) @ dirs.T
-                reach = (part["_bound"].to_numpy(float) * (1 + 1e-9) + 1e-9)[:, None]
-                touched = np.ones((len(part), len(block_ids)), dtype=bool)
-                for j in range(spec.projections):
-                    touched &= (low[:, j] <= at[:, j, None] + reach) & (high[:, j] >= at[:, j, None] - reach)
-                touched &= block_ids[None, :] != part["_block"].to_numpy(np.int64)[:, None]
+                touched = hashed.touched(part[v].to_numpy(float) @ dirs.T, part["_bound"].to_numpy(float) * (1 + 1e-9) + 1e-9)
+                touched &= hashed.block[None, :] != part["_block"].to_numpy(np.int64)[:, None]
                 who, where = np.nonzero(touched)
-                out = part.iloc[who].reset_index(drop=True)
-                out["_block"] = block_ids[where].astype("int32")
-                yield out[visit_schema.names]
+                yield part.iloc[who].assign(_block=hashed.block[where].astype("int32"))[visit_schema.names]
 
     def probe(points: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(wants):
@@ -267,19 +174,16 @@ def similar(df: DataFrame, queries: DataFrame, id_col: str, features: list[str],
         return out[found_schema.names]
 
     def searched(visits: DataFrame) -> DataFrame:
-        load = visits.groupBy("_block").count()
-        shares = load.select("_block", F.ceil(F.col("count") / spec.queries_per_task).cast("int").alias("_shares"))  # at most max_blocks rows
-        points = placed.join(F.broadcast(shares), "_block").withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
-        wants = visits.join(F.broadcast(shares), "_block").withColumn("_share", F.pmod(F.xxhash64("_id"), F.col("_shares")).cast("int")).drop("_shares")
+        points, wants = blocks.spread_over_copies(placed, visits, "_id", spec.queries_per_task)
         return points.groupBy("_block", "_share").cogroup(wants.groupBy("_block", "_share")).applyInPandas(lambda _key, a, b: probe(a, b), found_schema)
 
-    home = cut(searched(asked.mapInPandas(first_bound, visit_schema)))
+    start = cut(asked.mapInPandas(first_bound, visit_schema))
+    home = cut(searched(start))
     nearest = home.groupBy("query_id", *v).agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far"))
     keys = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in v]
     condition = F.col("a._id") == F.col("b.query_id")
     for one in keys:
         condition = condition & one
-    start = asked.mapInPandas(first_bound, visit_schema)
     bound = F.least("_bound", F.when(F.col("n") >= k, F.sqrt("far")))
     bounded = start.alias("a").join(nearest.alias("b"), condition, "left").select("_id", *(F.col(f"a.{c}").alias(c) for c in v), bound.alias("_bound"), "_block")
     visits = cut(bounded.mapInPandas(route, visit_schema))

@@ -37,7 +37,7 @@ NONE = "none"
 @dataclass(frozen=True)
 class SubjectSpec:
     bits: int = 18
-    labelled_docs: int = 4000
+    labelled_docs: int = 6000
     weak_docs: int = 3000
     held_out: int = 5  # one in so many labelled documents calibrates
     rounds: int = 3
