@@ -117,13 +117,15 @@ def privacy(real: DataFrame, synthetic: DataFrame, key: str, columns: list[str])
 
     deviations = scales(real, columns).first()  # one row
     scaled = lambda df: df.select(key, *((F.col(c) / F.lit(float(deviations[f"{c}_std"]))).alias(c) for c in columns))
+    # Distances that are equal but for the last bits of the scaling must compare as equal.
+    nearest = lambda *a: nearest_distance(*a).withColumn("distance", F.round("distance", 9))
     r, s = cut(scaled(real)), cut(scaled(synthetic))
-    own = nearest_distance(r, r, key, columns, True).agg(F.median("distance").alias("rr"), F.expr("percentile(distance, 0.05)").alias("p05"))
-    near = cut(nearest_distance(r, s, key, columns, False))
+    own = nearest(r, r, key, columns, True).agg(F.median("distance").alias("rr"), F.expr("percentile(distance, 0.05)").alias("p05"))
+    near = cut(nearest(r, s, key, columns, False))
     copies = near.crossJoin(F.broadcast(own)).agg(
         F.avg((F.col("distance") <= F.col("p05")).cast("double")).alias("duplicate_rate"), (F.median("distance") / F.max(F.when(F.col("rr") > 0, F.col("rr")).otherwise(1e-9))).alias("nn_distance_ratio")
     )
-    reach = nearest_distance(s, r, key, columns, False)
+    reach = nearest(s, r, key, columns, False)
     ranked = cut(positions(r.select(key), [key]))
     total = ranked.count()
     guessed = cut(reach.join(ranked, key))
