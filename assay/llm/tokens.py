@@ -44,6 +44,7 @@ class ChunkSpec:
 
 
 DEFAULT = ChunkSpec()
+ROWS_AT_ONCE = 512  # so many texts' ids are held as Python objects
 
 
 @lru_cache(maxsize=4)
@@ -85,10 +86,6 @@ def shared_cut(tail: Iterable[int], head: Iterable[int]) -> int | None:
     return min(common) if common else None
 
 
-def encode_texts(texts: list[str], name: str, spec: ChunkSpec) -> list[list[int]]:
-    return [byte_encoding(name, spec.folder).encode_ordinary(t) if t else [] for t in texts]
-
-
 def _long_pieces(long_texts: DataFrame, spec: ChunkSpec) -> DataFrame:
     """(text_key, piece_no, piece) of texts with columns text_key and text."""
 
@@ -128,15 +125,16 @@ def _long_pieces(long_texts: DataFrame, spec: ChunkSpec) -> DataFrame:
     return with_cuts.mapInPandas(pieces, "text_key string, no int, piece string")
 
 
-def _arrow_encode(name: str, spec: ChunkSpec, keep: list[str], text: str, schema: pa.Schema, counted: bool):
+def _arrow_encode(name: str, spec: ChunkSpec, keep: list[str], text: str, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = byte_encoding(name, spec.folder)
-        for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            encoded = [encoding.encode_ordinary(t) if t else [] for t in column.to_pylist()]
-            kept = [batch.column(batch.schema.names.index(k)) for k in keep]
-            values = pa.array([len(e) for e in encoded], pa.int64()) if counted else pa.array(encoded, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*kept, values], names=[*keep, "n_tokens" if counted else "ids"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                encoded = [encoding.encode_ordinary(t) if t else [] for t in batch.column(batch.schema.names.index(text)).to_pylist()]
+                kept = [batch.column(batch.schema.names.index(k)) for k in keep]
+                values = pa.array([len(e) for e in encoded], pa.int64()) if counted else pa.array(encoded, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*kept, values], names=[*keep, "n_tokens" if counted else "ids"])
 
     return run
 
@@ -148,12 +146,12 @@ def _encoded(df: DataFrame, text: str, name: str, spec: ChunkSpec, counted: bool
     kind = "bigint" if counted else "array<int>"
     size = F.coalesce(F.length(text), F.lit(0))
     schema = f"{fields + ', ' if fields else ''}{made} {kind}"
-    short = df.filter(size <= spec.chunk).select(*keep, text).mapInArrow(_arrow_encode(name, spec, keep, text, None, counted), schema)
+    short = df.filter(size <= spec.chunk).select(*keep, text).mapInArrow(_arrow_encode(name, spec, keep, text, counted), schema)
     long_rows = df.filter(size > spec.chunk).select(*keep, F.col(text).alias("text"))
     keyed = long_rows.withColumn("text_key", F.sha2("text", 256))
     distinct = keyed.select("text_key", "text").dropDuplicates(["text_key"])
     pieces = _long_pieces(distinct, spec).repartition("text_key", "no")
-    done = pieces.mapInArrow(_arrow_encode(name, spec, ["text_key", "no"], "piece", None, counted), f"text_key string, no int, {made} {kind}")
+    done = pieces.mapInArrow(_arrow_encode(name, spec, ["text_key", "no"], "piece", counted), f"text_key string, no int, {made} {kind}")
     if counted:
         whole = done.groupBy("text_key").agg(F.sum("n_tokens").alias("n_tokens"))
     else:
