@@ -62,6 +62,12 @@ CREDIT_LAYOUT = DelimitedLayout(
 )
 
 
+def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is computed once. The optimiser copies an ordinary column into every predicate that it pushes
+    below it, and then it is computed anew for each use, within a lambda even for each element; it can't do so with a generator's output."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _pieces(record: Column) -> Column:
     """The record cut at its quotes: even pieces lie outside quotes, odd ones inside."""
     return F.split(F.regexp_replace(record, _ESC, _ESC + "e"), '"', -1)
@@ -115,9 +121,9 @@ def _is_number(text: Column, rule: NumberRule) -> Column:
 def check_records(df: DataFrame, text_col: str, layout: DelimitedLayout) -> DataFrame:
     """The input with `_values` (fields as text) and `_errors` (names of the rules that a record breaks, first one first)."""
     record = F.rtrim(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r\n"))
-    df = df.withColumn("_pieces", _pieces(record))
-    df = df.withColumn("_sound", _quoting_is_sound(F.col("_pieces")))
-    df = df.withColumn("_values", F.when(F.col("_sound"), _fields(F.col("_pieces"))))
+    df = _held(df, "_pieces", _pieces(record))
+    df = _held(df, "_sound", _quoting_is_sound(F.col("_pieces")))
+    df = _held(df, "_values", F.when(F.col("_sound"), _fields(F.col("_pieces"))))
     counted = F.size("_values") == len(layout.columns)
     bad = []
     for at, (name, _) in enumerate(layout.columns):
@@ -135,7 +141,7 @@ def check_records(df: DataFrame, text_col: str, layout: DelimitedLayout) -> Data
         F.when(F.col("_sound") & ~counted, F.lit(WRONG_COUNT)),
         F.when(F.col("_sound") & counted & any_bad, F.lit(INVALID_VALUE)),
     )
-    return df.withColumn("_errors", F.array_compact(errors)).drop("_pieces", "_sound")
+    return _held(df, "_errors", F.array_compact(errors)).drop("_pieces", "_sound")
 
 
 def rejected(df: DataFrame, text_col: str, layout: DelimitedLayout) -> DataFrame:
