@@ -177,11 +177,26 @@ def invert(sketches: np.ndarray, ranks: np.ndarray, spec: SketchSpec = DEFAULT)
 
 
 def pack(sketch: np.ndarray) -> bytes:
-    return zlib.compress(sketch.astype("<i8").tobytes(), 1)
+    """Places and counts of the counters that aren't 0 while those are few, else all counters, compressed."""
+    used = np.flatnonzero(sketch)
+    if 3 * len(used) < len(sketch):
+        return b"s" + used.astype("<u4").tobytes() + sketch[used].astype("<i8").tobytes()
+    return b"d" + zlib.compress(sketch.astype("<i8").tobytes(), 1)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype="<i8").astype(np.int64)
+def add_packed(total: np.ndarray, data: bytes) -> None:
+    """Add a packed sketch to an unpacked one."""
+    if data[:1] == b"s":
+        n = (len(data) - 1) // 12
+        total[np.frombuffer(data, "<u4", n, 1)] += np.frombuffer(data, "<i8", n, 1 + 4 * n)
+    else:
+        total += np.frombuffer(zlib.decompress(data[1:]), dtype="<i8")
+
+
+def unpack(data: bytes, spec: SketchSpec = DEFAULT) -> np.ndarray:
+    out = empty_sketch(spec)
+    add_packed(out, data)
+    return out
 
 
 def _grouped(batches: Iterable[pd.DataFrame], n_keys: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -251,7 +266,7 @@ def merge(sketches: DataFrame, keys: list[str], spec: SketchSpec = DEFAULT, fan_
                         yield pd.DataFrame([(*now, n, least, most, pack(total))], columns=out.names)
                     now, total, n, least, most = key, empty_sketch(spec), 0, np.inf, -np.inf
                 for data in part["sketch"]:
-                    total += unpack(data)
+                    add_packed(total, data)
                 n += int(part["n"].sum())
                 least, most = min(least, part["least"].min()), max(most, part["most"].max())
             if total is not None:
@@ -278,7 +293,7 @@ def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float =
         for whole in batches:
             for start in range(0, len(whole), 256):  # so many unpacked sketches at once
                 batch = whole.iloc[start : start + 256]
-                table = np.stack([unpack(d) for d in batch["sketch"]])
+                table = np.stack([unpack(d, spec) for d in batch["sketch"]])
                 n = batch["n"].to_numpy(np.float64)
                 last = np.maximum(n - 1, 0)
                 slack = rank_slack(table, spec, sigmas) + 1
@@ -332,14 +347,20 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, brackets: Data
     Rows below a bracket are only counted and those inside are looked at by value, so no group's rows are ever
     gathered. A bracket that turns out to miss its ranks is widened to the whole group, so no result depends on luck."""
     ends = [f"p{round(p * 1000):03d}{e}" for p in probabilities for e in ("_low", "_high")]
-    first = cut(_bracketed(df, keys, value, brackets, probabilities))
-    missed = first.filter(F.col("percentile").isNull()).select(*keys, "n").distinct()
+    names = [f"p{round(p * 1000):03d}" for p in probabilities]
+    found = cut(_bracketed(df, keys, value, brackets, probabilities).filter(F.col("percentile").isNotNull()))
+
+    def left_out(of: DataFrame, present: DataFrame, by: list[str]) -> DataFrame:
+        """Rows of `of` whose keys are not present; null keys are equal."""
+        there = present.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by))).distinct()
+        same = F.lit(True)
+        for i, k in enumerate(by):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return of.join(there, same, "left_anti")
+
+    asked = brackets.select(*keys, "n", F.explode(F.array(*(F.lit(n) for n in names))).alias("name"))
+    missed = cut(left_out(asked, found, [*keys, "name"]).select(*keys, "n").distinct())
     if missed.isEmpty():
-        return first
+        return found
     widened = missed.withColumns({e: F.lit(float("-inf") if e.endswith("_low") else float("inf")) for e in ends})
-    again = _bracketed(df, keys, value, widened, probabilities)
-    left = missed.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return first.join(left, same, "left_anti").unionByName(again)
+    return left_out(found, missed, keys).unionByName(_bracketed(df, keys, value, widened, probabilities))

@@ -3,9 +3,10 @@
 Short texts are one chunk each and are encoded where they lie, without any shuffle. A long text is cut into chunks
 that overlap by `overlap` characters, and the chunks are pre-tokenised in parallel, each from its own start. Pre-tokenising
 has no memory: what follows a boundary depends only on the text after it. So where a boundary found by one chunk
-in the overlap is also found by the next one, the two agree from there on. The text is cut at that place, the
-pieces are encoded in parallel, and their ids are put together in order. Where no boundary is shared within the
-overlap, the two chunks stay one piece. Equal long texts are encoded once.
+in the overlap is also found by the next one, the two agree from there on. They are right there if the earlier chunk is, and
+that one is right from its first change of a non-space to a white space on, since no pre-token spans such a change, wherever it was begun.
+The text is cut at that place, the pieces are encoded in parallel, and their ids are put together in order. Where no
+such boundary is shared within the overlap, the two chunks stay one piece. Equal long texts are encoded once.
 
 Defined results: an empty text and a null text both give an empty list; special-token strings in a text are ordinary
 text; every input row gives one row, with repeated rows and null ids too; columns of the input that clash with
@@ -74,11 +75,22 @@ def boundaries(text: str, start: int, stop: int, first: int) -> list[int]:
     return [e for e in ends if e >= first]
 
 
-def head_and_tail(text: str, start: int, spec: ChunkSpec) -> tuple[list[int], list[int]]:
-    """A chunk's boundaries within its overlap with the chunk before it and within that with the one after it."""
-    end = start + spec.chunk
-    found = [start, *boundaries(text, start, min(len(text), end + spec.overlap), start)]
-    return [b for b in found if b <= start + spec.overlap], [b for b in found if end <= b <= end + spec.overlap]
+_certain = regex.compile(r"\S(?=\s)")
+
+
+def head_and_tail(part: str, first: bool, spec: ChunkSpec) -> tuple[list[int], list[int]]:
+    """A chunk's boundaries within its overlap with the chunk before it, and those within the overlap with the one after it that are certain."""
+    found = [0, *boundaries(part, 0, min(len(part), spec.chunk + spec.overlap), 0)]
+    mark = _certain.search(part)
+    certain = 0 if first else mark.end() if mark else len(part) + 1
+    return _usable(part, [b for b in found if b <= spec.overlap]), _usable(part, [b for b in found if max(spec.chunk, certain) <= b <= spec.chunk + spec.overlap])
+
+
+def _usable(part: str, found: list[int]) -> list[int]:
+    """Boundaries to cut at: none after a white space, since how a run of them is split hinges on what follows it; where there are
+    some before a plain space or line feed only those, as they don't hinge on any table of letters."""
+    found = [b for b in found if b == 0 or not part[b - 1].isspace()]
+    return [b for b in found if part[b : b + 1] in (" ", "\n")] or found
 
 
 def shared_cut(tail: Iterable[int], head: Iterable[int]) -> int | None:
@@ -100,8 +112,8 @@ def _long_pieces(long_texts: DataFrame, spec: ChunkSpec) -> DataFrame:
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             heads, tails = [], []
-            for part in batch["part"]:
-                head, tail = head_and_tail(part, 0, spec)
+            for no, part in zip(batch["no"], batch["part"], strict=True):
+                head, tail = head_and_tail(part, no == 0, spec)
                 heads.append(head)
                 tails.append([b - spec.chunk for b in tail])
             yield pd.DataFrame({"text_key": batch["text_key"], "no": batch["no"], "head": heads, "tail": tails})
