@@ -23,7 +23,8 @@ _ATTACHED = re.compile(r"^content-disposition[ \t]*:[ \t]*attachment", re.I | re
 _FOLD = re.compile(r"\n[ \t]+")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 _UNSEEN = re.compile(r"<(style|script|head|blockquote)\b.*?</\1\s*>", re.I | re.S)
-_BREAKS = re.compile(r"<(?:br|/p|/div|/tr|/li|/h\d)\b[^>]*>", re.I)
+_BREAKS = re.compile(r"<(?:br|/tr|/li)\b[^>]*>", re.I)
+_ENDS = re.compile(r"</(?:p|div|h\d|table|ul|ol)\b[^>]*>", re.I)
 _TAGS = re.compile(r"<[^<>]*>|<!--.*?-->", re.S)
 
 
@@ -57,7 +58,7 @@ def _undo(body: str, coding: str, charset: str | None) -> str:
 
 def _from_html(text: str) -> str:
     text = _UNSEEN.sub("\n", text)
-    text = _BREAKS.sub("\n", text.replace("<br>\n", "<br>"))
+    text = _ENDS.sub("\n\n", _BREAKS.sub("\n", text.replace("<br>\n", "<br>")))
     return html.unescape(_TAGS.sub("", text))
 
 
@@ -114,6 +115,7 @@ _BY = re.compile(r"(?:\bwrote|\bwrites|\bschrieb|\ba écrit|\bescribió)\b.{0,80
 _DAY = re.compile(r"\b\d{1,2} \w{3,4}\.? \d{4}|\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}")
 _LEAD = re.compile(r"\s*(?:on|am|le|el) \d", re.I)
 _SIGNED = re.compile(r"\s*--\s*$")
+_LONGEST = 110  # characters of a line that introduces a quotation
 _STARS = re.compile(r"\s*\*{3,}")
 
 
@@ -141,15 +143,13 @@ def own_text(body: str) -> str:
             continue
         colon_block = False
         if _SIGNED.match(line) or _STARS.match(line):
-            # A signature or notice ends the wording; what may follow below it is quoted or is more of it.
-            at = _after_notice(lines, at + 1)
-            continue
+            break  # a signature or notice ends the wording; what may follow below it is quoted or more of it
         if _RULE.match(line) or (_FIELD.match(line) and at + 1 < n and _FIELD.match(lines[at + 1])):
             break
         # "On <day>, <name> wrote:" may be folded over two or three lines.
         joined, used = line, 1
-        if _LEAD.match(line) or _DAY.search(line) or "wr" in line or "schrieb" in line or "écrit" in line or "escrib" in line or "@" in line:
-            while used < 3 and not _BY.search(joined) and at + used < n and lines[at + used].strip() and not _QUOTED.match(lines[at + used]):
+        if len(line) <= _LONGEST and (_LEAD.match(line) or "@" in line or _DAY.search(line)):
+            while used < 3 and not _BY.search(joined) and at + used < n and 0 < len(lines[at + used].strip()) <= _LONGEST and not _QUOTED.match(lines[at + used]):
                 joined += " " + lines[at + used].strip()
                 used += 1
             if _BY.search(joined) and (_DAY.search(joined) or "@" in joined):
@@ -162,11 +162,6 @@ def own_text(body: str) -> str:
     return "\n".join(kept)
 
 
-def _after_notice(lines: list[str], at: int) -> int:
-    """Where wording may go on after a signature or notice: nowhere before the next blank line that is followed by something other than a notice."""
-    return len(lines)
-
-
 def own_wording(message: str | None) -> str:
     return own_text(body_text(message))
 

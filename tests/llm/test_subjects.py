@@ -59,6 +59,8 @@ def test_own_wording():
     assert own(quoted) == "New text."
     assert own("From: a@b.test\n\nMine.\n\n-----Original Message-----\nFrom: x\nSent: y\n\nTheirs.") == "Mine."
     assert own("From: a@b.test\n\nX schrieb am 5 Feb 2025 10:00:\n: alt\n: : älter\n\nNeu.") == "Neu."
+    long = "A paragraph in one line that says what went wrong, and goes on well beyond the width of a line, up to its end."
+    assert own(f"Content-Type: text/html\n\n<p>{long}</p><p>A B &lt;a@b.test&gt; writes:<br>\n&gt; old</p>") == long
     assert own("From: a@b.test\n\nAu fait, un mot sur ce point\n: la suite.") == "Au fait, un mot sur ce point : la suite."
 
 
