@@ -176,6 +176,9 @@ def invert(sketches: np.ndarray, ranks: np.ndarray, spec: SketchSpec = DEFAULT)
     return np.minimum(prefix, spec.universe - 1)
 
 
+FEW_CODES = 1024  # a sketch of so few distinct codes is stored as the codes it is made of
+
+
 def pack(sketch: np.ndarray) -> bytes:
     """Places and counts of the counters that aren't 0 while those are few, else all counters, compressed."""
     used = np.flatnonzero(sketch)
@@ -184,21 +187,81 @@ def pack(sketch: np.ndarray) -> bytes:
     return b"d" + zlib.compress(sketch.astype("<i8").tobytes(), 1)
 
 
-def add_packed(total: np.ndarray, data: bytes) -> None:
+def _two_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(data) - 1) // 12
+    return np.frombuffer(data, "<u4", n, 1).astype(np.int64), np.frombuffer(data, "<i8", n, 1 + 4 * n).astype(np.int64)
+
+
+def add_packed(total: np.ndarray, data: bytes, spec: SketchSpec = DEFAULT) -> None:
     """Add a packed sketch to an unpacked one."""
+    if data[:1] == b"d":
+        total += np.frombuffer(zlib.decompress(data[1:]), dtype="<i8")
+        return
+    places, counts = _two_arrays(data)
     if data[:1] == b"s":
-        n = (len(data) - 1) // 12
-        total[np.frombuffer(data, "<u4", n, 1)] += np.frombuffer(data, "<i8", n, 1 + 4 * n)
+        total[places] += counts
     else:
-        total += np.frombuffer(zlib.decompress(data[1:]), dtype="<i8")
+        add(total, places, counts, spec)
 
 
 def unpack(data: bytes, spec: SketchSpec = DEFAULT) -> np.ndarray:
     out = empty_sketch(spec)
-    add_packed(out, data)
+    add_packed(out, data, spec)
     return out
 
 
+class Gatherer:
+    """The sum of rows and packed sketches of one group. Codes are kept as such while they are few; a sketch is a linear
+    function of them, so nothing is lost by turning them into counters later."""
+
+    def __init__(self, spec: SketchSpec) -> None:
+        self.spec, self.counters = spec, None
+        self.codes: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.held = 0
+
+    def rows(self, codes: np.ndarray, weights: np.ndarray) -> None:
+        self.codes.append(codes)
+        self.weights.append(weights)
+        self.held += len(codes)
+        if self.held > 16 * FEW_CODES:
+            self._settle()
+
+    def packed(self, data: bytes) -> None:
+        if data[:1] == b"c":
+            self.rows(*_two_arrays(data))
+        else:
+            self._to_counters()
+            add_packed(self.counters, data, self.spec)
+
+    def _settle(self) -> None:
+        """Sum equal codes; more than a few become counters."""
+        if not self.codes:
+            return
+        codes, at = np.unique(np.concatenate(self.codes), return_inverse=True)
+        weights = np.zeros(len(codes), dtype=np.int64)
+        np.add.at(weights, at, np.concatenate(self.weights))
+        codes, weights = codes[weights != 0], weights[weights != 0]
+        self.codes, self.weights, self.held = [codes], [weights], len(codes)
+        if self.counters is not None or self.held > FEW_CODES:
+            self._to_counters()
+
+    def _to_counters(self) -> None:
+        if self.counters is None:
+            self.counters = empty_sketch(self.spec)
+        if self.codes:
+            add(self.counters, np.concatenate(self.codes), np.concatenate(self.weights), self.spec)
+            self.codes, self.weights, self.held = [], [], 0
+
+    def result(self) -> bytes:
+        self._settle()
+        if self.counters is not None:
+            self._to_counters()
+            return pack(self.counters)
+        codes, weights = (self.codes[0], self.weights[0]) if self.codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return b"c" + codes.astype("<u4").tobytes() + weights.astype("<i8").tobytes()
+
+
 def _grouped(batches: Iterable[pd.DataFrame], n_keys: int) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Runs of equal keys of a partition that is sorted by them, across batches. A run's parts come one by one, never gathered."""
     for batch in batches:
@@ -216,6 +279,30 @@ def _grouped(batches: Iterable[pd.DataFrame], n_keys: int) -> Iterator[tuple[tup
             yield first, batch.iloc[a:b]
 
 
+def _summing(n_keys: int, names: list[str], spec: SketchSpec, take):
+    """One row per run of equal keys: the keys, the sum of weights, the extremes and the packed sketch."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, into, n, least, most = None, None, 0, np.inf, -np.inf
+        done: list[tuple] = []
+        for key, part in _grouped(batches, n_keys):
+            if into is None or key != now:
+                if into is not None:
+                    done.append((*now, n, least, most, into.result()))
+                    if len(done) >= 512:
+                        yield pd.DataFrame(done, columns=names)
+                        done = []
+                now, into, n, least, most = key, Gatherer(spec), 0, np.inf, -np.inf
+            more, low, high = take(into, part)
+            n, least, most = n + more, min(least, low), max(most, high)
+        if into is not None:
+            done.append((*now, n, least, most, into.result()))
+        if done:
+            yield pd.DataFrame(done, columns=names)
+
+    return run
+
+
 def build(df: DataFrame, keys: list[str], value: str, weight: str | None = None, spec: SketchSpec = DEFAULT) -> DataFrame:
     """One sketch per group: the keys, `n` (sum of weights), `least` and `most` (smallest and largest value seen) and `sketch` (binary)."""
     number = F.col(value).cast("double")
@@ -228,25 +315,12 @@ def build(df: DataFrame, keys: list[str], value: str, weight: str | None = None,
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("n", T.LongType()), T.StructField("least", T.DoubleType()), T.StructField("most", T.DoubleType()), T.StructField("sketch", T.BinaryType())])
     n_keys = len(keys)
 
-    def fill(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, sketch, n, least, most = None, None, 0, np.inf, -np.inf
-        done: list[tuple] = []
-        for key, part in _grouped(batches, n_keys):
-            if sketch is None or key != now:
-                if sketch is not None:
-                    done.append((*now, n, least, most, pack(sketch)))
-                    if len(done) >= 256:
-                        yield pd.DataFrame(done, columns=schema.names)
-                        done = []
-                now, sketch, n, least, most = key, empty_sketch(spec), 0, np.inf, -np.inf
-            weights = part["_w"].to_numpy(np.int64)
-            add(sketch, part["_code"].to_numpy(np.int64), weights, spec)
-            n += int(weights.sum())
-            least, most = min(least, part["_least"].min()), max(most, part["_most"].max())
-        if sketch is not None:
-            done.append((*now, n, least, most, pack(sketch)))
-        if done:
-            yield pd.DataFrame(done, columns=schema.names)
+    def take(into: Gatherer, part: pd.DataFrame) -> tuple[int, float, float]:
+        weights = part["_w"].to_numpy(np.int64)
+        into.rows(part["_code"].to_numpy(np.int64), weights)
+        return int(weights.sum()), part["_least"].min(), part["_most"].max()
+
+    fill = _summing(n_keys, schema.names, spec, take)
 
     return placed.mapInPandas(fill, schema)
 
@@ -256,22 +330,12 @@ def merge(sketches: DataFrame, keys: list[str], spec: SketchSpec = DEFAULT, fan_
     schema = T.StructType([*(sketches.schema[k] for k in keys), *(sketches.schema[c] for c in ("n", "least", "most", "sketch"))])
 
     def summed(source: DataFrame, by: list[str], out: T.StructType) -> DataFrame:
-        n_keys = len(by)
-
-        def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            now, total, n, least, most = None, None, 0, np.inf, -np.inf
-            for key, part in _grouped(batches, n_keys):
-                if total is None or key != now:
-                    if total is not None:
-                        yield pd.DataFrame([(*now, n, least, most, pack(total))], columns=out.names)
-                    now, total, n, least, most = key, empty_sketch(spec), 0, np.inf, -np.inf
-                for data in part["sketch"]:
-                    add_packed(total, data)
-                n += int(part["n"].sum())
-                least, most = min(least, part["least"].min()), max(most, part["most"].max())
-            if total is not None:
-                yield pd.DataFrame([(*now, n, least, most, pack(total))], columns=out.names)
+        def take(into: Gatherer, part: pd.DataFrame) -> tuple[int, float, float]:
+            for data in part["sketch"]:
+                into.packed(data)
+            return int(part["n"].sum()), part["least"].min(), part["most"].max()
 
+        run = _summing(len(by), out.names, spec, take)
         return source.select(*out.names).repartition(*by).sortWithinPartitions(*by).mapInPandas(run, out)
 
     salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("sketch"), F.lit(fan_in)).cast("int"))

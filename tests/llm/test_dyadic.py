@@ -75,3 +75,18 @@ def test_packing_of_sketches():
         sketch = dyadic.empty_sketch()
         dyadic.add(sketch, np.random.default_rng(n).integers(0, SPEC.universe, n), np.ones(n, dtype=int))
         assert (dyadic.unpack(dyadic.pack(sketch)) == sketch).all()
+
+
+def test_few_codes_stay_codes_and_give_the_same_counters():
+    rng = np.random.default_rng(7)
+    few, many = rng.integers(0, SPEC.universe, 300), rng.integers(0, SPEC.universe, 9000)
+    for codes in (few, many, np.zeros(0, dtype=int)):
+        want = dyadic.empty_sketch()
+        dyadic.add(want, codes, np.ones(len(codes), dtype=int))
+        whole, parts = dyadic.Gatherer(SPEC), dyadic.Gatherer(SPEC)
+        whole.rows(codes, np.ones(len(codes), dtype=np.int64))
+        for piece in np.array_split(codes, 5):
+            one = dyadic.Gatherer(SPEC)
+            one.rows(piece, np.ones(len(piece), dtype=np.int64))
+            parts.packed(one.result())
+        assert (dyadic.unpack(whole.result()) == want).all() and whole.result() == parts.result()
