@@ -430,18 +430,20 @@ def unified(lines: DataFrame, payload: str) -> DataFrame:
 
     def convert(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag_of = {0: "string", 1: "number", 2: "boolean", 3: "json", 4: "json"}
-        for batch in batches:
-            records = [parse_record(x) for x in batch[payload]]
-            out = {f.name: batch[f.name] for f in own}
-            out["is_valid"] = [r is not None for r in records]
-            plain = [canonical_value(r, "", names, mixed) if r is not None else {} for r in records]
-            for field, tag, name, _ in columns:
-                values = [r.get(field) for r in plain]
-                if tag is None:
-                    out[name] = [text_of(v) for v in values]
-                else:
-                    picked = [v if v is not None and tag_of[json_type(v)] == tag else None for v in values]
-                    out[name] = [text_of(v) for v in picked] if tag == "json" else [float(v) if v is not None else None for v in picked] if tag == "number" else picked
-            yield pd.DataFrame(out)[schema.names]
+        for whole in batches:
+            for start in range(0, len(whole), 1000):  # so many parsed records at once
+                batch = whole.iloc[start : start + 1000]
+                records = [parse_record(x) for x in batch[payload]]
+                out = {f.name: batch[f.name].reset_index(drop=True) for f in own}
+                out["is_valid"] = [r is not None for r in records]
+                plain = [canonical_value(r, "", names, mixed) if r is not None else {} for r in records]
+                for field, tag, name, _ in columns:
+                    values = [r.get(field) for r in plain]
+                    if tag is None:
+                        out[name] = [text_of(v) for v in values]
+                    else:
+                        picked = [v if v is not None and tag_of[json_type(v)] == tag else None for v in values]
+                        out[name] = [text_of(v) for v in picked] if tag == "json" else [float(v) if v is not None else None for v in picked] if tag == "number" else picked
+                yield pd.DataFrame(out)[schema.names]
 
     return lines.mapInPandas(convert, schema)
