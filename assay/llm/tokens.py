@@ -6,7 +6,7 @@ has no memory: what follows a boundary depends only on the text after it. So whe
 in the overlap is also found by the next one, the two agree from there on. They are right there if the earlier chunk is, and
 that one is right from its first change of a non-space to a white space on, since no pre-token spans such a change, wherever it was begun.
 The text is cut at that place, the pieces are encoded in parallel, and their ids are put together in order. Where no
-such boundary is shared within the overlap, the two chunks stay one piece. Equal long texts are encoded once.
+such boundary is shared within the overlap, the two chunks stay one piece.
 
 Defined results: an empty text and a null text both give an empty list; special-token strings in a text are ordinary
 text; every input row gives one row, with repeated rows and null ids too; columns of the input that clash with
@@ -159,9 +159,11 @@ def _encoded(df: DataFrame, text: str, name: str, spec: ChunkSpec, counted: bool
     size = F.coalesce(F.length(text), F.lit(0))
     schema = f"{fields + ', ' if fields else ''}{made} {kind}"
     short = df.filter(size <= spec.chunk).select(*keep, text).mapInArrow(_arrow_encode(name, spec, keep, text, counted), schema)
-    long_rows = df.filter(size > spec.chunk).select(*keep, F.col(text).alias("text"))
-    keyed = long_rows.withColumn("text_key", F.sha2("text", 256))
-    distinct = keyed.select("text_key", "text").dropDuplicates(["text_key"])
+    long_rows = df.filter(size > spec.chunk).select(*keep, F.col(text).alias("_text"))
+    # A key per row and not per text: a text that a third of all rows share would be a hot key.
+    identity = F.concat(F.to_json(F.struct(*keep)), F.lit("\u0000"), F.col("_text")) if keep else F.col("_text")
+    keyed = long_rows.withColumn("_text_key", F.sha2(identity.cast("binary"), 256))
+    distinct = keyed.select(F.col("_text_key").alias("text_key"), F.col("_text").alias("text")).dropDuplicates(["text_key"])
     pieces = _long_pieces(distinct, spec).repartition("text_key", "no")
     done = pieces.mapInArrow(_arrow_encode(name, spec, ["text_key", "no"], "piece", counted), f"text_key string, no int, {made} {kind}")
     if counted:
@@ -169,7 +171,8 @@ def _encoded(df: DataFrame, text: str, name: str, spec: ChunkSpec, counted: bool
     else:
         in_order = F.array_sort(F.collect_list(F.struct("no", "ids")))
         whole = done.groupBy("text_key").agg(F.flatten(F.transform(in_order, lambda p: p["ids"])).alias("ids"))
-    return short.unionByName(keyed.drop("text").join(whole, "text_key").drop("text_key"))
+    whole = whole.withColumnRenamed("text_key", "_text_key")
+    return short.unionByName(keyed.drop("_text").join(whole, "_text_key").drop("_text_key"))
 
 
 def token_ids(df: DataFrame, text: str, name: str = "byte_bpe_50k", spec: ChunkSpec = DEFAULT) -> DataFrame:

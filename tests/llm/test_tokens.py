@@ -55,3 +55,6 @@ def test_repeated_rows_empty_table_and_clashing_column(spark):
     got = tokens.token_ids(df, "text", spec=tokens.ChunkSpec(chunk=32, overlap=8)).collect()
     assert len(got) == 3 and len({tuple(r.ids) for r in got}) == 1
     assert tokens.token_ids(df.limit(0), "text").count() == 0
+    other = spark.createDataFrame([("mine", "k", 7, "word " * 100), ("mine", "k", 7, "short")], "text string, text_key string, no int, body string")
+    got = tokens.token_counts(other, "body", spec=tokens.ChunkSpec(chunk=32, overlap=8)).collect()
+    assert sorted((r.text, r.text_key, r.no, r.n_tokens) for r in got) == [("mine", "k", 7, 1), ("mine", "k", 7, 101)]
