@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -45,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif is_local(spark):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="assay-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="assay-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
