@@ -25,6 +25,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -428,22 +429,32 @@ def unified(lines: DataFrame, payload: str) -> DataFrame:
     def text_of(value: object) -> str | None:
         return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
-    def convert(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tag_of = {0: "string", 1: "number", 2: "boolean", 3: "json", 4: "json"}
+    kind_of = {"json": pa.string(), "string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), None: pa.string()}
+    tag_of = {-1: None, 0: "string", 1: "number", 2: "boolean", 3: "json", 4: "json"}
+
+    def number_of(value: object) -> float:
+        try:
+            return float(value)
+        except OverflowError:
+            return float("inf") if value > 0 else float("-inf")
+
+    def convert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 1000):  # so many parsed records at once
-                batch = whole.iloc[start : start + 1000]
-                records = [parse_record(x) for x in batch[payload]]
-                out = {f.name: batch[f.name].reset_index(drop=True) for f in own}
-                out["is_valid"] = [r is not None for r in records]
+            place = whole.schema.names.index
+            for start in range(0, whole.num_rows, 1000):  # so many parsed records at once
+                batch = whole.slice(start, 1000)
+                records = [parse_record(x) for x in batch.column(place(payload)).to_pylist()]
                 plain = [canonical_value(r, "", names, mixed) if r is not None else {} for r in records]
-                for field, tag, name, _ in columns:
+                made = [batch.column(place(f.name)) for f in own] + [pa.array([r is not None for r in records], pa.bool_())]
+                for field, tag, _, _ in columns:
                     values = [r.get(field) for r in plain]
-                    if tag is None:
-                        out[name] = [text_of(v) for v in values]
-                    else:
-                        picked = [v if v is not None and tag_of[json_type(v)] == tag else None for v in values]
-                        out[name] = [text_of(v) for v in picked] if tag == "json" else [float(v) if v is not None else None for v in picked] if tag == "number" else picked
-                yield pd.DataFrame(out)[schema.names]
-
-    return lines.mapInPandas(convert, schema)
+                    if tag is not None:
+                        values = [v if tag_of[json_type(v)] == tag else None for v in values]
+                    if tag == "number":
+                        values = [None if v is None else number_of(v) for v in values]
+                    elif tag != "boolean":
+                        values = [text_of(v) for v in values]
+                    made.append(pa.array(values, kind_of[tag]))
+                yield pa.RecordBatch.from_arrays(made, names=schema.names)
+
+    return lines.mapInArrow(convert, schema)

@@ -90,3 +90,9 @@ def test_one_table(spark):
 def test_deep_payload_is_no_crash(spark):
     deep = '{"a":' * 3000 + "1" + "}" * 3000
     assert drift.changes(drift.field_profiles(lines(spark, {("f", 1): [deep, {"b": 1}], ("f", 2): [{"b": 2}]}), "payload")).collect() is not None
+
+
+def test_huge_numbers_and_large_ids(spark):
+    rows = [(2**60 + 1, "f", "f/1", 1, '{"a": 1' + "0" * 400 + "}"), (None, "f", "f/1", 1, '{"a": 2}')]
+    got = drift.unified(spark.createDataFrame(rows, SCHEMA), "payload").collect()
+    assert {r.line_id for r in got} == {2**60 + 1, None} and sorted(r.a__number for r in got) == [2.0, float("inf")]
