@@ -62,6 +62,7 @@ class Arrays:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, dirs: np.ndarray, spec: CollisionSpec) -> None:
         self.ids, self.vectors, self.spec = ids, vectors, spec
+        self.turn = np.unique(ids, return_inverse=True)[1]  # the order of ids, of whatever type
         projected = vectors @ dirs.T
         self.order = [np.argsort(projected[:, j], kind="stable") for j in range(dirs.shape[0])]
         self.sorted = [projected[o, j] for j, o in enumerate(self.order)]
@@ -99,7 +100,7 @@ class Arrays:
                 inside = mine & (d2 <= width[q] * width[q] * (1 + 1e-12))
                 if inside.sum() >= k or whole or width[q] >= bound[q]:
                     ids, d2 = own[mine], d2[mine]
-                    best = np.lexsort((ids, d2))[:k]
+                    best = np.lexsort((self.turn[chosen][mine], d2))[:k]
                     yield int(q), ids[best], d2[best]
                 else:
                     again.append(q)

@@ -19,7 +19,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,17 +84,23 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int
     schema = T.StructType([T.StructField("spec_id", T.StringType()), T.StructField("container_id", T.StringType()), T.StructField(id_col, kind), T.StructField("part_no", T.IntegerType()), T.StructField("token_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("is_open", T.BooleanType())])
     order = sorted(capacities.items())
 
-    def online(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def online(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         open_by = {name: Windows(capacity, spec.windows) for name, capacity in order}
         held: dict[tuple[str, int], list[tuple]] = {}  # rows of windows that are still open
+        types = [pa.string(), pa.string(), None, pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
         def rows_of(name: str, number: int, rows: list[tuple], is_open: bool) -> list[tuple]:
             return [(name, f"{name}-{part:06d}-{number:09d}", *r, is_open) for r in rows]
 
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
         for batch in batches:
+            types[2] = batch.schema.field(0).type
             out: list[tuple] = []
-            for item, size in zip(batch[id_col].tolist(), batch[size_col].fillna(0).astype("int64").tolist(), strict=True):
+            for item, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for name, windows in open_by.items():
                     for no, (start, length) in enumerate(split(size, windows.capacity)):
                         number = windows.place(length)
@@ -103,26 +109,29 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int
                             for done in windows.closed:
                                 out += rows_of(name, done, held.pop((name, done)), False)
                             windows.closed.clear()
-            yield pd.DataFrame(out, columns=schema.names)
+            yield made(out)
         rest = [row for (name, number), rows in held.items() for row in rows_of(name, number, rows, True)]
-        yield pd.DataFrame(rest, columns=schema.names)
+        if rest:
+            yield made(rest)
 
-    def merged(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         open_by = {name: Windows(capacity, None) for name, capacity in order}
         for batch in batches:
-            numbers = [open_by[name].place(size) for name, size in zip(batch["spec_id"], batch["n_tokens"].tolist(), strict=True)]
-            batch["container_id"] = [f"{name}-m{part:05d}-{number:09d}" for name, number in zip(batch["spec_id"], numbers, strict=True)]
-            batch["is_open"] = False
-            yield batch[schema.names]
+            named = batch.column(0).to_pylist()
+            numbers = [open_by[name].place(size) for name, size in zip(named, batch.column(5).to_pylist(), strict=True)]
+            containers = [f"{name}-m{part:05d}-{number:09d}" for name, number in zip(named, numbers, strict=True)]
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            columns[1], columns[6] = pa.array(containers, pa.string()), pa.array([False] * len(named), pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     sized = items.select(F.col(id_col), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias(size_col))
     # Written down first: the packing must see the same items in the same order if a part of it has to run again.
     sized = cut(sized)
     parts = max(1, min(sized.rdd.getNumPartitions(), -(-sized.count() // spec.partition_items)))
-    first = cut(sized.coalesce(parts).mapInPandas(online, schema))
+    first = cut(sized.coalesce(parts).mapInArrow(online, schema))
     rest = first.filter("is_open")
     groups = max(1, -(-rest.count() // spec.merge_items))
     again = rest.repartition(groups, F.xxhash64("container_id")) if groups > 1 else rest.coalesce(1)
-    again = again.sortWithinPartitions(F.col("n_tokens").desc(), F.col(id_col), "part_no", "container_id").mapInPandas(merged, schema)
+    again = again.sortWithinPartitions(F.col("n_tokens").desc(), F.col(id_col), "part_no", "container_id").mapInArrow(merged, schema)
     return first.filter("NOT is_open").unionByName(again).drop("is_open")

@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -309,15 +310,16 @@ def assign(documents: DataFrame, text: str, model: Model, spec: SubjectSpec = DE
     schema = T.StructType([*keep, T.StructField("subjects", T.ArrayType(T.StringType()))])
     sent = documents.sparkSession.sparkContext.broadcast((model.subjects, model.weights, model.thresholds))  # 2**bits rows, fixed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for whole in batches:
-            for start in range(0, len(whole), 512):
-                batch = whole.iloc[start : start + 512]
-                bag = Bag.of((own_wording(t) for t in batch[text]), spec)
-                bag.documents = len(batch)
-                out = {f.name: batch[f.name] for f in keep}
-                out["subjects"] = chosen(own, own.document_scores(bag), spec.most_subjects)
-                yield pd.DataFrame(out)[schema.names]
-
-    return documents.mapInPandas(run, schema)
+            for start in range(0, whole.num_rows, 512):  # so many texts at once
+                batch = whole.slice(start, 512)
+                bag = Bag.of((own_wording(t) for t in batch.column(whole.schema.names.index(text)).to_pylist()), spec)
+                found = chosen(own, own.document_scores(bag), spec.most_subjects)
+                kept = [batch.column(whole.schema.names.index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.string()))], names=[*names, "subjects"])
+
+    return documents.mapInArrow(run, schema)

@@ -58,3 +58,9 @@ def test_one_vector_for_all(spark):
     for r in collide.similar(df, df.filter("id % 500 = 3"), "id", list("abcd"), SPREAD, collide.CollisionSpec(k=3)).collect():
         got.setdefault(r.query_id, []).append(r.near_id)
     assert {q: sorted(n) for q, n in got.items()} == {3: [0, 1, 2], 503: [0, 1, 2], 1003: [0, 1, 2], 1503: [0, 1, 2]}
+
+
+def test_text_ids(spark):
+    df = spark.createDataFrame([(f"r{i}", float(i // 2), 0.0, 0.0, 0.0) for i in range(8)], SCHEMA.replace("id long", "id string"))
+    got = collide.similar(df, df, "id", list("abcd"), SPREAD, collide.CollisionSpec(k=1)).collect()
+    assert {r.query_id: r.near_id for r in got} == {f"r{i}": f"r{i ^ 1}" for i in range(8)}

@@ -55,3 +55,11 @@ def test_empty_and_all_zero(spark):
     assert len(check(packed(spark, [0, None, 0], {"a": 10}), [0, None, 0], {"a": 10})) == 3
     with pytest.raises(ValueError):
         packed(spark, [1], {"a": 0})
+
+
+def test_null_and_large_ids(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, 5), (None, 5), (big + 1, 30)], "doc_id long, n int")
+    rows = packing.pack(df, "doc_id", "n", {"a": 20}).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_tokens) for r in rows if r.doc_id is not None) == [(False, big, 5), (False, big + 1, 10), (False, big + 1, 20)]
+    assert [r.n_tokens for r in rows if r.doc_id is None] == [5]
