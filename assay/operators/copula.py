@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assay.functions.scalars import logistic, normal, normal_cdf, normal_quantile, uniform
 from assay.operators.encode import scales, z_scores
 from assay.operators.models import fit_logistic
+from assay.operators.ranks import positions, running_sum
 
 
 @dataclass(frozen=True)
@@ -31,22 +32,13 @@ class Copula:
 
 def normal_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns as normal scores of their mid-ranks. Ranks come from the counts of distinct values, so no rows are gathered."""
-    from assay.operators.encode import positions
-    from assay.session import cut
-
     out = df
     n = df.count()
     for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        ordered = positions(counts.filter(F.col(c).isNotNull()), [c], "_at")
-        parts = ordered.withColumn("_part", F.floor(F.col("_at") / 4096))
-        from pyspark.sql import Window
-
-        sums = parts.groupBy("_part").agg(F.sum("_n").alias("_s"))
-        before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-        within = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = cut(parts.withColumn("_w", within).join(before, "_part").select(F.col(c).alias("_value"), (F.col("_b") + F.col("_w") + (F.col("_n") + 1) / 2.0).alias("_rank")))
-        out = out.join(ranks, F.col(c) == F.col("_value"), "left").withColumn(f"{c}_score", normal_quantile(F.col("_rank") / (n + 1))).drop("_value", "_rank")
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        ranks = running_sum(counts, ["_value"], "_n", "_before")
+        score = normal_quantile((F.col("_before") + (F.col("_n") + 1) / 2.0) / (n + 1))
+        out = out.join(ranks.select("_value", score.alias(f"{c}_score")), F.col(c) == F.col("_value"), "left").drop("_value")
     return out
 
 
@@ -116,8 +108,6 @@ def fairness_degraded(spark: SparkSession, model: Copula, rows: int) -> DataFram
 
 def privacy_leaky(spark: SparkSession, model: Copula, real: DataFrame, rows: int) -> DataFrame:
     """The first 35 % of the rows are copies of real ones, drawn with replacement by a hash."""
-    from assay.operators.encode import positions
-
     out = sample(spark, model, rows, "sex", "target", "privacy_leaky")
     own = [*model.columns, "sex", "target"]
     numbered = positions(real.select("rid", *own), ["rid"], "_at").drop("rid")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import usable
+from assay.operators.ranks import exact_quantiles, positions, running_sum
 
 #: The lower edges of ten equal bins as doubles, and the upper end.
 EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
@@ -43,17 +44,10 @@ def agreement(df: DataFrame, one: str, other: str) -> Column:
 
 def auc(df: DataFrame, y: str, p: str, name: str = "auc") -> DataFrame:
     """Area under the ROC curve with mid-ranks. Rows are first counted by score, so ties cost nothing and the running sum is over
-    distinct scores; that sum is taken per range of scores and then across ranges, never in one task."""
+    distinct scores, range by range."""
     counted = df.filter(usable(F.col(p)) & F.col(y).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"), F.count(F.lit(1)).alias("_n"))
-    ranged = counted.repartitionByRange("_p").withColumn("_part", F.spark_partition_id())
-    from assay.session import cut
-
-    ranged = cut(ranged)
-    sums = ranged.groupBy("_part").agg(F.sum(F.col("_n") - F.col("_pos")).alias("_neg"))
-    before = sums.select("_part", F.coalesce(F.sum("_neg").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row per partition
-    below = F.coalesce(F.sum(F.col("_n") - F.col("_pos")).over(Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.withColumn("_below", below).join(F.broadcast(before), "_part")
-    wins = F.sum(F.col("_pos").cast("double") * (F.col("_before") + F.col("_below") + (F.col("_n") - F.col("_pos")) / 2.0))
+    placed = running_sum(counted.withColumn("_neg", F.col("_n") - F.col("_pos")), ["_p"], "_neg", "_below")
+    wins = F.sum(F.col("_pos").cast("double") * (F.col("_below") + F.col("_neg") / 2.0))
     pos, neg = F.sum("_pos"), F.sum(F.col("_n") - F.col("_pos"))
     return placed.agg(F.when((pos > 0) & (neg > 0), wins / (pos.cast("double") * neg)).alias(name))
 
@@ -112,7 +106,7 @@ def rare_recall(df: DataFrame, y: str, pred: str, rare: DataFrame) -> DataFrame:
 def privacy(real: DataFrame, synthetic: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """membership_inference, nn_distance_ratio and duplicate_rate, from exact nearest distances in units of the real table's population deviations."""
     from assay.operators.blocks import nearest_distance
-    from assay.operators.encode import positions, scales
+    from assay.operators.encode import scales
     from assay.session import cut
 
     deviations = scales(real, columns).first()  # one row
@@ -120,16 +114,15 @@ def privacy(real: DataFrame, synthetic: DataFrame, key: str, columns: list[str])
     # Distances that are equal but for the last bits of the scaling must compare as equal.
     nearest = lambda *a: nearest_distance(*a).withColumn("distance", F.round("distance", 9))
     r, s = cut(scaled(real)), cut(scaled(synthetic))
-    own = nearest(r, r, key, columns, True).agg(F.median("distance").alias("rr"), F.expr("percentile(distance, 0.05)").alias("p05"))
+    own = exact_quantiles(cut(nearest(r, r, key, columns, True)), "distance", [0.5, 0.05], ["rr", "p05"])
     near = cut(nearest(r, s, key, columns, False))
-    copies = near.crossJoin(F.broadcast(own)).agg(
-        F.avg((F.col("distance") <= F.col("p05")).cast("double")).alias("duplicate_rate"), (F.median("distance") / F.max(F.when(F.col("rr") > 0, F.col("rr")).otherwise(1e-9))).alias("nn_distance_ratio")
-    )
+    copies = near.crossJoin(F.broadcast(own)).agg(F.avg((F.col("distance") <= F.col("p05")).cast("double")).alias("duplicate_rate"), F.max(F.when(F.col("rr") > 0, F.col("rr")).otherwise(1e-9)).alias("rr"))
+    copies = copies.crossJoin(exact_quantiles(near, "distance", [0.5], ["sr"])).select("duplicate_rate", (F.col("sr") / F.col("rr")).alias("nn_distance_ratio"))
     reach = nearest(s, r, key, columns, False)
     ranked = cut(positions(r.select(key), [key]))
     total = ranked.count()
     guessed = cut(reach.join(ranked, key))
-    tau = guessed.agg(F.median("distance").alias("tau"))
+    tau = exact_quantiles(guessed, "distance", [0.5], ["tau"])
     member = (F.col("position") < total // 2).cast("int")
     hit = guessed.crossJoin(F.broadcast(tau)).agg((F.abs(F.avg(((F.col("distance") <= F.col("tau")).cast("int") == member).cast("double")) - 0.5) * 2).alias("membership_inference"))
     return hit.crossJoin(copies).select("membership_inference", "nn_distance_ratio", "duplicate_rate")

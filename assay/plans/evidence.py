@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import clip, label, logistic, round4, uniform, usable
-from assay.operators import copula, encode, kernels, models
+from assay.operators import copula, encode, kernels, models, ranks
 from assay.session import cut, ship
 from assay.sources.tables import table
 
@@ -145,7 +145,7 @@ def zscore_pop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rank FROM part")
 def ordinal_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.positions(table(spark, sf, "part").select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], "rank", 1).select("p_partkey", "rank")
+    return ranks.positions(table(spark, sf, "part").select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], "rank", 1).select("p_partkey", "rank")
 
 
 @query(_PAIR + f" SELECT target, count(*) AS n, count(*) FILTER ({_U.format("'split:' || target || ':' || rid")} < 0.4::DOUBLE) AS test, sum(CAST(floor({_U.format("'fold:' || rid")} * 3) AS BIGINT)) AS folds FROM r GROUP BY target")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.functions import scalars
-from assay.operators import blocks, encode, kernels
+from assay.operators import blocks, encode, kernels, ranks
 
 
 def frame(spark, rows, schema):
@@ -108,7 +108,7 @@ def test_privacy_of_a_copy(spark):
 
 def test_positions_and_scales(spark):
     df = frame(spark, [(i, float(i % 7)) for i in range(500)], "rid int, x double").repartition(7)
-    got = encode.positions(df, ["x", "rid"]).orderBy("position").collect()
+    got = ranks.positions(df, ["x", "rid"]).orderBy("position").collect()
     assert [r.position for r in got] == list(range(500)) and [(r.x, r.rid) for r in got] == sorted((float(i % 7), i) for i in range(500))
     row = encode.scales(df.withColumn("k", F.lit(2.0)), ["x", "k"]).first()
     assert row.x_std == pytest.approx(statistics.pstdev(i % 7 for i in range(500))) and row.k_std == 1.0
@@ -133,3 +133,20 @@ def test_normal_functions(spark):
     assert all(abs(r.z - nd.inv_cdf(r.p)) < 5e-3 for r in got)
     sample = [r.z for r in spark.range(4000).select(scalars.normal("t", F.col("id")).alias("z")).collect()]
     assert abs(statistics.mean(sample)) < 0.06 and abs(statistics.stdev(sample) - 1) < 0.05
+
+
+@pytest.mark.parametrize("direct_rows", [0, 10**6])
+def test_exact_quantiles(spark, direct_rows):
+    rng = np.random.default_rng(8)
+    values = np.round(rng.lognormal(3, 1, 3001), 1)
+    df = frame(spark, [(float(v),) for v in values] + [(None,), (math.nan,)], "v double").repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.9501, 1.0]
+    row = ranks.exact_quantiles(df, "v", shares, [f"q{i}" for i in range(5)], direct_rows).first()
+    assert list(row) == pytest.approx(np.percentile(values, [100 * p for p in shares]).tolist(), rel=1e-12)
+
+
+def test_running_sum(spark):
+    df = frame(spark, [(i, i % 5) for i in range(200)], "k int, x int").repartition(6)
+    got = {r.k: r.s for r in ranks.running_sum(df, ["k"], "x", "s").collect()}
+    assert got == {k: sum(i % 5 for i in range(k)) for k in range(200)}
+    assert ranks.running_sum(df.limit(0), ["k"], "x", "s").count() == 0
