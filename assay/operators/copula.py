@@ -66,6 +66,7 @@ def fit(real: DataFrame, columns: list[str], category: str, target: str, grid: i
     return Copula(tuple(columns), factor, {c: list(table[c]) for c in columns}, {k: v / total for k, v in sorted(shares.items())}, tuple(model.coefficients), float(model.intercept), {c: row[f"{c}_mean"] for c in columns}, {c: row[f"{c}_std"] for c in columns})
 
 
+#: Bounds of the generated columns.
 LIMITS = {"duration": (4, 72), "age": (19, 80), "installment_rate": (1, 4), "credit_amount": (250, 20000)}
 
 
@@ -100,10 +101,14 @@ def high_fidelity(spark: SparkSession, model: Copula, rows: int) -> DataFrame:
     return sample(spark, model, rows, "sex", "target", "high_fidelity")
 
 
+#: Share of positives that lose their label, share of copied rows.
+FLIPPED, COPIED = 0.11, 0.35
+
+
 def fairness_degraded(spark: SparkSession, model: Copula, rows: int) -> DataFrame:
     """A ninth of the positives of one group lose their label."""
     out = sample(spark, model, rows, "sex", "target", "fairness_degraded")
-    return out.withColumn("target", F.when((F.col("sex") == "female") & (F.col("target") == 1) & (uniform("flip", F.col("rid")) < 0.11), 0).otherwise(F.col("target")))
+    return out.withColumn("target", F.when((F.col("sex") == "female") & (F.col("target") == 1) & (uniform("flip", F.col("rid")) < FLIPPED), 0).otherwise(F.col("target")))
 
 
 def privacy_leaky(spark: SparkSession, model: Copula, real: DataFrame, rows: int) -> DataFrame:
@@ -112,7 +117,7 @@ def privacy_leaky(spark: SparkSession, model: Copula, real: DataFrame, rows: int
     own = [*model.columns, "sex", "target"]
     numbered = positions(real.select("rid", *own), ["rid"], "_at").drop("rid")
     n = real.count()
-    drawn = out.withColumn("_at", F.when(F.col("rid") < int(0.35 * rows), F.floor(uniform("copy", F.col("rid")) * n).cast("long")))
+    drawn = out.withColumn("_at", F.when(F.col("rid") < int(COPIED * rows), F.floor(uniform("copy", F.col("rid")) * n).cast("long")))
     copies = numbered.select("_at", *(F.col(c).alias(f"_r_{c}") for c in own))
     joined = drawn.join(copies, "_at", "left")
     return joined.select("rid", *(F.coalesce(f"_r_{c}", c).cast(out.schema[c].dataType).alias(c) for c in out.columns if c != "rid"))

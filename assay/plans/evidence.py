@@ -5,7 +5,7 @@ The pair: all usable rows of real_credit and synthetic_credit, that is rows with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import clip, label, logistic, round4, uniform, usable
@@ -16,6 +16,15 @@ from assay.sources.tables import table
 NUMBERS = ["credit_amount", "age", "duration", "installment_rate"]
 FEATURES = [*NUMBERS, "sex_male"]
 
+#: Fixed values of the base generator: mean, deviation and bounds of the normal columns; the same for the logarithm of the amount;
+#: levels of the rate; share of the first sex; intercept of the target's score, and per column weight, centre and scale.
+NORMAL = {"age": (38, 11, 19, 75), "duration": (21, 12, 4, 72)}
+LOG_AMOUNT = (7.8, 0.5, 250, 20000)
+RATES = 4
+MALE_SHARE = 0.69
+INTERCEPT = 0.9
+TERMS = (("duration", -0.03, 21, 12), ("credit_amount", -0.35, 3500, 3000), ("age", 0.02, 38, 11), ("installment_rate", -0.15, 2.5, 1))
+
 
 def _clean(df: DataFrame) -> DataFrame:
     sex = F.lower(F.regexp_replace("sex", r"^\s+|\s+$", ""))
@@ -34,9 +43,14 @@ def _synthetic(spark: SparkSession, sf: str) -> DataFrame:
     return _clean(table(spark, sf, "synthetic_credit"))
 
 
+def _score() -> Column:
+    """The linear score of a good outcome."""
+    return sum((w * (F.col(c) - centre) / scale for c, w, centre, scale in TERMS), F.lit(INTERCEPT))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Real rows with two closed-form scores, in thousandths."""
-    one = 0.9 - 0.03 * (F.col("duration") - 21) / 12 - 0.35 * (F.col("credit_amount") - 3500) / 3000 + 0.02 * (F.col("age") - 38) / 11 - 0.15 * (F.col("installment_rate") - 2.5)
+    one = _score()
     other = 1.1 - 0.05 * F.col("duration") + 0.01 * F.col("age") - 0.2 * F.col("installment_rate")
     thousandths = lambda x: F.floor(logistic(x) * 1000 + 0.5) / 1000
     df = _real(spark, sf).withColumn("p", thousandths(one)).withColumn("q", thousandths(other))
@@ -64,7 +78,7 @@ _CLEAN = """SELECT rid, CAST(credit_amount AS DOUBLE) AS credit_amount, CAST(age
 _PAIR = f"WITH r AS ({_CLEAN.format(t='real_credit')}), s AS ({_CLEAN.format(t='synthetic_credit')})"
 _SCORED = (
     _PAIR
-    + """, l AS (SELECT *, 0.9::DOUBLE - 0.03::DOUBLE * (duration - 21) / 12 - 0.35::DOUBLE * (credit_amount - 3500) / 3000 + 0.02::DOUBLE * (age - 38) / 11 - 0.15::DOUBLE * (installment_rate - 2.5::DOUBLE) AS a,
+    + f", l AS (SELECT *, {INTERCEPT}::DOUBLE" + "".join(f" + {w}::DOUBLE * ({c} - {centre}::DOUBLE) / {scale}" for c, w, centre, scale in TERMS) + """ AS a,
   1.1::DOUBLE - 0.05::DOUBLE * duration + 0.01::DOUBLE * age - 0.2::DOUBLE * installment_rate AS b FROM r),
 m AS (SELECT *, floor(1 / (1 + exp(-a)) * 1000 + 0.5::DOUBLE) / 1000 AS p, floor(1 / (1 + exp(-b)) * 1000 + 0.5::DOUBLE) / 1000 AS q FROM l),
 d AS (SELECT *, CAST(p >= 0.65::DOUBLE AS INT) AS pred, CAST(q >= 0.4::DOUBLE AS INT) AS pred_other FROM m)"""
@@ -419,10 +433,11 @@ def base_generator(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "real_credit").count()
     key = F.col("rid")
     whole = lambda x: F.floor(x + 0.5)
-    df = spark.range(n).withColumnRenamed("id", "rid").withColumns({
-        "age": whole(clip(38 + 11 * normal("base/age", key), 19, 75)), "duration": whole(clip(21 + 12 * normal("base/duration", key), 4, 72)),
-        "credit_amount": whole(clip(F.exp(7.8 + 0.5 * normal("base/amount", key)), 250, 20000)), "installment_rate": (1 + F.floor(4 * uniform("base/rate", key))).cast("int"),
-        "sex": F.when(uniform("base/sex", key) < 0.69, "male").otherwise("female"),
-    })
-    score = 0.9 - 0.03 * (F.col("duration") - 21) / 12 - 0.35 * (F.col("credit_amount") - 3500) / 3000 + 0.02 * (F.col("age") - 38) / 11 - 0.15 * (F.col("installment_rate") - 2.5)
-    return df.withColumn("target", (uniform("base/target", key) < logistic(score)).cast("int"))
+    df = spark.range(n).withColumnRenamed("id", "rid")
+    for name, (mean, deviation, low, high) in NORMAL.items():
+        df = df.withColumn(name, whole(clip(mean + deviation * normal(f"base/{name}", key), low, high)))
+    mean, deviation, low, high = LOG_AMOUNT
+    df = df.withColumn("credit_amount", whole(clip(F.exp(mean + deviation * normal("base/amount", key)), low, high)))
+    df = df.withColumn("installment_rate", (1 + F.floor(RATES * uniform("base/rate", key))).cast("int"))
+    df = df.withColumn("sex", F.when(uniform("base/sex", key) < MALE_SHARE, "male").otherwise("female"))
+    return df.withColumn("target", (uniform("base/target", key) < logistic(_score())).cast("int"))
