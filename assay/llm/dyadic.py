@@ -412,6 +412,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, brackets: Data
     gathered. A bracket that turns out to miss its ranks is widened to the whole group, so no result depends on luck."""
     ends = [f"p{round(p * 1000):03d}{e}" for p in probabilities for e in ("_low", "_high")]
     names = [f"p{round(p * 1000):03d}" for p in probabilities]
+    brackets = cut(brackets)  # used twice; one row per group
     found = cut(_bracketed(df, keys, value, brackets, probabilities).filter(F.col("percentile").isNotNull()))
 
     def left_out(of: DataFrame, present: DataFrame, by: list[str]) -> DataFrame:
