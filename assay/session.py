@@ -61,12 +61,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, in case they don't share the driver's import path. Once per application."""
+    """Give the Python workers this package, as they may not share the driver's import path, not even in a local session. Once per application."""
     sc = spark.sparkContext
-    if is_local(spark) or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="assay-ship-"), "assay_package.zip")
+    folder = tempfile.mkdtemp(prefix="assay-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "assay_package.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
