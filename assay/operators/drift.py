@@ -217,10 +217,15 @@ def _strings_alike(a: dict, b: dict) -> float:
     norm = (sum(x * x for x in va) * sum(x * x for x in vb)) ** 0.5
     shape = sum(x * y for x, y in zip(va, vb, strict=True)) / norm if norm else 0.0
     ha, hb = set(a["hashes"]), set(b["hashes"])
-    shared = len(ha & hb) / max(1, min(len(ha), len(hb)))
+    # As many hashes as are kept may be a cut of any vocabulary: both sides are known only up to the last hash of each cut.
+    known = min((max(h) for h in (ha, hb) if len(h) >= KEPT_HASHES), default=None)
+    ka, kb = ({x for x in h if known is None or x <= known} for h in (ha, hb))
+    seen = min(len(ka), len(kb))
+    shared = len(ka & kb) / max(1, seen)
     # A small vocabulary that repeats (labels, versions) has to recur; a large one (names, ids) need not.
-    repeats = all(p["t_string"] >= 3 * len(h) for p, h in ((a, ha), (b, hb)))
-    if not shared and (repeats or min(len(ha), len(hb)) >= KEPT_HASHES // 2 and max(va[SHAPES.index("word")], va[SHAPES.index("sentence")]) > 0.5 * sum(va)):
+    repeats = all(len(h) < KEPT_HASHES and p["t_string"] >= 3 * len(h) for p, h in ((a, ha), (b, hb)))
+    wordy = min(len(ha), len(hb)) >= KEPT_HASHES // 2 and seen and max(va[SHAPES.index("word")], va[SHAPES.index("sentence")]) > 0.5 * sum(va)
+    if not shared and (repeats or wordy):
         return 0.3 * shape
     return shape * (0.75 + 0.25 * shared)
 

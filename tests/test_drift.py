@@ -96,3 +96,29 @@ def test_huge_numbers_and_large_ids(spark):
     rows = [(2**60 + 1, "f", "f/1", 1, '{"a": 1' + "0" * 400 + "}"), (None, "f", "f/1", 1, '{"a": 2}')]
     got = drift.unified(spark.createDataFrame(rows, SCHEMA), "payload").collect()
     assert {r.line_id for r in got} == {2**60 + 1, None} and sorted(r.a__number for r in got) == [2.0, float("inf")]
+
+
+def test_renames_do_not_depend_on_file_size(spark):
+    def records(names, n, at):
+        values = lambda i: (f"2026-01-{1 + at:02d}T{i // 60:02d}:{i % 60:02d}", f"{at:02d}ab{i:08x}", f"set-{at}{i}", [{"id": f"run{at}x{i}"}])
+        return [{"kept": {k: v} if at % 2 else {k: v, "n": i}} for i in range(n) for k, v in [(names[0], values(i)[0])]] + [dict(zip(names[1:], values(i)[1:], strict=True)) for i in range(n)]
+
+    want = [("f/2", "renamed", "kept.made", "kept.madeAt"), ("f/2", "renamed", "key", "recordKey"), ("f/2", "renamed", "set", "dataset"), ("f/2", "added", "", "kept.n"), ("f/2", "renamed", "runs", "executions")]
+    for n in (20, 2000):
+        assert found(spark, {("f", 1): records(("made", "key", "set", "runs"), n, 1), ("f", 2): records(("madeAt", "recordKey", "dataset", "executions"), n, 2)}) == sorted(want)
+
+
+def test_part_of_a_large_vocabulary_is_alike():
+    def picture(values):
+        fold, shapes = drift._Fold(), {}
+        for v in values:
+            fold.add(v, shapes)
+        return {"t_string": fold.types[0], "hashes": sorted(fold.hashes)[: drift.KEPT_HASHES], **{f"s_{s}": c for s, c in zip(drift.SHAPES, fold.shapes, strict=True)}}
+
+    letters = "abcdefghij"
+    words = [f"{a}{b}{c}word" for a in letters for b in letters for c in letters]
+    assert drift._strings_alike(picture(words[::3]), picture(words)) == 1.0
+    assert drift._strings_alike(picture(words[:12]), picture(words)) >= drift.LIKE
+    assert drift._strings_alike(picture(words[:400]), picture(words[500:])) < drift.LIKE
+    # A small vocabulary that repeats and does not recur is no rename, in a file of any size.
+    assert drift._strings_alike(picture(["low", "mid"] * 500), picture(["red", "blue"] * 500)) < drift.LIKE
