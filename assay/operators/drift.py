@@ -344,22 +344,34 @@ def changes(profiles: DataFrame) -> DataFrame:
 
 
 class Names:
-    """Canonical names per canonical parent, from the renames of all files."""
+    """Canonical names per canonical parent, from the renames of all files, the most frequent first. `together` are pairs of
+    paths found in one file: their names are two fields wherever they stand, and no chain of renames unites them."""
 
-    def __init__(self, renames: Iterable[tuple[str, str]], counts: dict[str, int]) -> None:
+    def __init__(self, renames: dict[tuple[str, str], int], counts: dict[str, int], together: Iterable[tuple[str, str]] = ()) -> None:
         self.root: dict[tuple[str, str], str] = {}
-        steps = sorted({(a, b) for a, b in renames}, key=lambda r: (r[0].count("."), r))
+        apart: dict[int, list[tuple[str, str]]] = defaultdict(list)
+        for a, b in together:
+            apart[a.count(".")].append((a, b))
+        steps = sorted(renames, key=lambda r: (r[0].count("."), -renames[r], r))
         groups: dict[str, dict[str, set[str]]] = defaultdict(dict)
         seen: dict[tuple[str, str], int] = defaultdict(int)
         for depth in sorted({a.count(".") for a, _ in steps}):
+            both: dict[str, set[frozenset[str]]] = defaultdict(set)
+            for a, b in apart[depth]:
+                parent = self.canonical(parent_of(a))
+                if parent == self.canonical(parent_of(b)):
+                    both[parent].add(frozenset((a.rpartition(".")[2], b.rpartition(".")[2])))
             for a, b in (s for s in steps if s[0].count(".") == depth):
                 parent = self.canonical(parent_of(a))
                 one, two = a.rpartition(".")[2], b.rpartition(".")[2]
-                members = groups[parent].get(one, {one}) | groups[parent].get(two, {two})
-                for m in members:
-                    groups[parent][m] = members
+                left, right = groups[parent].get(one, {one}), groups[parent].get(two, {two})
+                if left is not right and any(frozenset((x, y)) in both[parent] for x in left for y in right):
+                    continue
                 seen[(parent, one)] += counts.get(a, 0)
                 seen[(parent, two)] += counts.get(b, 0)
+                members = left | right
+                for m in members:
+                    groups[parent][m] = members
             for parent, names in groups.items():
                 for name, members in names.items():
                     self.root[(parent, name)] = min(members, key=lambda m: (-seen[(parent, m)], m))
@@ -395,23 +407,41 @@ def canonical_value(value: object, at: str, names: Names, mixed: set[str]) -> ob
             return [canonical_value(x, f"{at}[]", names, mixed) for x in value]
     if isinstance(value, dict):
         out = {}
-        for key, child in value.items():
-            path = names.canonical(f"{at}.{key}" if at else key)
-            out[path.rpartition(".")[2] if at else path] = canonical_value(child, path, names, mixed)
+        # Names that stay come first: where the canonical name is taken, a value keeps its own.
+        for key, name in sorted(((k, names.root.get((at, k), k)) for k in value), key=lambda k: k[0] != k[1]):
+            if name in out:
+                name = key
+            out[name] = canonical_value(value[key], f"{at}.{name}" if at else name, names, mixed)
         return out
     return value
 
 
+def _together(profiles: DataFrame, paths: list[str]) -> list[tuple[str, str]]:
+    """Pairs of these paths that occur in one file, at most as many as there are pairs of names."""
+    held = profiles.filter(F.col("path").isin(paths)).groupBy(*FILE).agg(F.array_sort(F.collect_set("path")).alias("held"))
+    one = held.select("held", F.explode("held").alias("a"))
+    pairs = one.select("a", F.explode(F.filter("held", lambda p: p > F.col("a"))).alias("b")).distinct()
+    return [(r["a"], r["b"]) for r in pairs.collect() if r["a"].count(".") == r["b"].count(".")]
+
+
 def unified(lines: DataFrame, payload: str) -> DataFrame:
     """Every line as one row: the line's own columns, `is_valid`, and for each canonical top-level field its
     text and one branch column per JSON type that it ever has (`<field>__string`, `__number`, `__boolean`,
-    `__json`). Only names of fields go to the driver, as many as the schemas have, however many lines there are."""
+    `__json`). Names linked by a rename that occur together in any file stay two fields. Lines that can't be placed have
+    their fields too, each payload as a file of its own. Only names of fields go to the driver, as many as the schemas have,
+    however many lines there are."""
     from assay.session import cut
 
-    profiles = cut(field_profiles(lines, payload))
-    renames = changes(profiles).filter(F.col("change_kind") == "renamed").select("old_field", "new_field").distinct().collect()
+    placed = cut(field_profiles(lines, payload))
+    linked = changes(placed).filter(F.col("change_kind") == "renamed").groupBy("old_field", "new_field").count().collect()
+    renames = {(r["old_field"], r["new_field"]): r["count"] for r in linked}
+    loose = lines.filter(F.col("feed").isNull() | F.col("file_no").isNull() | F.col("file_id").isNull())
+    loose = loose.select(F.lit("").alias("feed"), F.lit(0).alias("file_no"), F.xxhash64(payload).cast("string").alias("file_id"), payload)
+    profiles = placed.unionByName(cut(field_profiles(loose, payload)).withColumn("feed", F.lit(None).cast("string")))
     kinds = profiles.filter(F.col("path") != "").groupBy("path").agg(F.count(F.lit(1)).alias("files"), *(F.max((F.col(f"t_{t}") > 0).cast("int")).alias(t) for t in JSON_TYPES)).collect()
-    names = Names([(r["old_field"], r["new_field"]) for r in renames], {r["path"]: r["files"] for r in kinds})
+    linked_names = {p.rpartition(".")[2] for pair in renames for p in pair}
+    together = _together(profiles, sorted(r["path"] for r in kinds if r["path"].rpartition(".")[2] in linked_names)) if renames else []
+    names = Names(renames, {r["path"]: r["files"] for r in kinds}, together)
     union: dict[str, set[str]] = defaultdict(set)
     for r in kinds:
         union[names.canonical(r["path"])] |= {t for t in JSON_TYPES if r[t]}

@@ -122,3 +122,34 @@ def test_part_of_a_large_vocabulary_is_alike():
     assert drift._strings_alike(picture(words[:400]), picture(words[500:])) < drift.LIKE
     # A small vocabulary that repeats and does not recur is no rename, in a file of any size.
     assert drift._strings_alike(picture(["low", "mid"] * 500), picture(["red", "blue"] * 500)) < drift.LIKE
+
+
+def test_both_names_of_a_rename_in_one_record(spark):
+    part = lambda **k: [{"rows": 1, **{name: f"{v}-{i}" for name, v in k.items()}} for i in range(6)]
+    files = {
+        ("f", 1): part(dataset="set"), ("f", 2): part(model_ref="mdl"),  # looks like a rename
+        ("g", 1): part(dataset="set", model_ref="mdl"),
+        ("h", 1): part(config_version="v"), ("h", 2): part(configVersion="v"),
+    }
+    assert ("f/2", "renamed", "dataset", "model_ref") in found(spark, files)
+    got = drift.unified(lines(spark, files), "payload")
+    assert sorted(r.dataset for r in got.filter("dataset is not null").collect()) == sorted(2 * [f"set-{i}" for i in range(6)])
+    assert sorted(r.model_ref for r in got.filter("model_ref is not null").collect()) == sorted(2 * [f"mdl-{i}" for i in range(6)])
+    assert got.filter("feed = 'g' and dataset is not null and model_ref is not null").count() == 6
+    assert len([c for c in got.columns if c.lower().startswith("config") and "__" not in c]) == 1
+
+
+def test_both_names_in_a_line_that_cannot_be_placed(spark):
+    files = {("f", 1): [{"dataset": f"set-{i}"} for i in range(6)], ("f", 2): [{"model_ref": f"mdl-{i}"} for i in range(6)]}
+    lost = spark.createDataFrame([(90, None, "x", 1, '{"dataset": "a-1", "model_ref": "b-1", "only_here": 1}')], SCHEMA)
+    row = drift.unified(lines(spark, files).union(lost), "payload").filter("line_id = 90").first()
+    assert (row.dataset, row.model_ref, row.only_here) == ("a-1", "b-1", "1")
+
+
+def test_a_taken_name_keeps_the_value():
+    names = drift.Names({("m.a", "m.b"): 1}, {"m.a": 2, "m.b": 1})
+    assert drift.canonical_value({"m": {"b": 1}}, "", names, set()) == {"m": {"a": 1}}
+    assert drift.canonical_value({"m": {"b": 1, "a": 2}}, "", names, set()) == {"m": {"a": 2, "b": 1}}
+    # The frequent rename is kept, the chain through a pair that occurs together is not.
+    chain = drift.Names({("a", "b"): 9, ("b", "c"): 1}, {"a": 5, "b": 4, "c": 3}, [("a", "c")])
+    assert [chain.canonical(p) for p in "abc"] == ["a", "a", "c"]
