@@ -21,6 +21,7 @@ def query(f):
 # ---------------------------------------------------------------- p5: percentiles
 
 GROUP = ["dataset", "sex", "age_band"]
+PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
 def _amounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,15 +51,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Estimates and brackets of every group."""
     ship(spark)
-    return dyadic.percentiles(dyadic.build(_amounts(spark, sf), GROUP, "credit_amount"), [0.05, 0.25, 0.5, 0.75, 0.95])
+    return dyadic.percentiles(dyadic.build(_amounts(spark, sf), GROUP, "credit_amount"), PERCENTILES)
 
 
 @query
 def p5_daily_merged(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from sketches of single load days, combined per dataset."""
+    """The same as p5_percentiles, from sketches of single load days combined per group."""
     ship(spark)
-    daily = dyadic.build(_amounts(spark, sf), ["dataset", "load_day"], "credit_amount")
-    return dyadic.percentiles(dyadic.merge(daily, ["dataset"]), [0.5, 0.95])
+    daily = dyadic.build(_amounts(spark, sf), [*GROUP, "load_day"], "credit_amount")
+    return dyadic.percentiles(dyadic.merge(daily, GROUP), PERCENTILES)
 
 
 SQL["p5_found"] = r"""

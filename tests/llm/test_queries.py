@@ -21,3 +21,9 @@ def test_every_document_has_its_ids(spark, sf):
     df = QUERIES["p6_ids"](spark, sf)
     assert df.columns == ["doc_id", "ids"] and df.schema["ids"].dataType.simpleString() == "array<int>"
     assert df.count() == table(spark, sf, "documents").count()
+
+
+def test_merged_days_equal_the_whole(spark, sf):
+    whole, merged = QUERIES["p5_percentiles"](spark, sf), QUERIES["p5_daily_merged"](spark, sf)
+    assert merged.columns == whole.columns
+    assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
