@@ -346,12 +346,23 @@ def merge(sketches: DataFrame, keys: list[str], spec: SketchSpec = DEFAULT, fan_
     return summed(partial, list(keys), schema)
 
 
-def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float = 4.0, spec: SketchSpec = DEFAULT) -> DataFrame:
+def coarse_bounds(sketches: np.ndarray, low_ranks: np.ndarray, high_ranks: np.ndarray, spec: SketchSpec = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the values at two ranks from the exactly counted cells that hold them: certain, but as wide as a cell."""
+    below = np.cumsum(sketches[:, : spec.exact_cells], axis=1)
+    first, last = (np.minimum((below <= r[:, None]).sum(axis=1), spec.exact_cells - 1) for r in (low_ranks, high_ranks))
+    lowest = first << spec.levels
+    highest = np.minimum(((last + 1) << spec.levels) - 1, spec.universe - 1)
+    return np.where(lowest <= 0, -np.inf, code_low(lowest, spec)), code_high(highest, spec)
+
+
+def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float = 4.0, spec: SketchSpec = DEFAULT, certain: bool = False) -> DataFrame:
     """Adds, for each probability p (as per mille in the name: p500 for the median), `p.._low`, `p..` and `p.._high`:
-    the estimate and a bracket that holds the true value unless the rank errs by more than `sigmas` standard deviations."""
+    the estimate and a bracket that holds the true value unless the rank errs by more than `sigmas` standard deviations.
+    With `certain` also `p.._least` and `p.._most`, wider bounds of the interpolated percentile that always hold."""
     names = [f"p{round(p * 1000):03d}" for p in probabilities]
     kept = [f for f in sketches.schema.fields if f.name != "sketch"]
-    schema = T.StructType([*kept, *(T.StructField(f"{n}{end}", T.DoubleType()) for n in names for end in ("_low", "", "_high"))])
+    all_ends = ("_low", "", "_high", *(("_least", "_most") if certain else ()))
+    schema = T.StructType([*kept, *(T.StructField(f"{n}{end}", T.DoubleType()) for n in names for end in all_ends)])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -371,6 +382,9 @@ def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float =
                     top = code_high(code, spec)
                     middle = np.where(np.isinf(top), most, (code_low(code, spec) + top) / 2)
                     sides = {"_low": np.where(at - slack <= 0, least, np.clip(low, least, most)), "": np.clip(middle, least, most), "_high": np.where(at + slack >= last, most, np.clip(high, least, most))}
+                    if certain:
+                        bounds = coarse_bounds(table, np.floor(at), np.ceil(at), spec)
+                        sides |= {"_least": np.clip(bounds[0], least, most), "_most": np.clip(bounds[1], least, most)}
                     for end, v in sides.items():
                         out[name + end] = np.where(n > 0, v, np.nan)
                 done = pd.DataFrame(out)[schema.names].astype(object)

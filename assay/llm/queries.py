@@ -36,12 +36,12 @@ def _amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups whose 95th percentile is at least four times the median: the sketch's brackets leave the groups for which
-    that can be true, and only those are counted exactly."""
+    """Groups whose 95th percentile is at least four times the median: the cells that the sketch counts
+    exactly bound both for certain and leave the groups for which that can be true; only those are counted, inside the sketch's narrower brackets."""
     ship(spark)
     rows = _amounts(spark, sf)
-    sketched = dyadic.percentiles(dyadic.build(rows, GROUP, "credit_amount"), [0.5, 0.95])
-    possible = sketched.filter((F.col("n") >= 60) & (F.col("p950_high") >= 4 * F.col("p500_low")))
+    sketched = dyadic.percentiles(dyadic.build(rows, GROUP, "credit_amount"), [0.5, 0.95], certain=True)
+    possible = sketched.filter((F.col("n") >= 60) & (F.col("p950_most") >= 4 * F.col("p500_least")))
     exact = dyadic.exact_percentiles(rows, GROUP, "credit_amount", possible, [0.5, 0.95])
     both = exact.groupBy(*GROUP).agg(F.max(F.when(F.col("name") == "p500", F.col("percentile"))).alias("median"), F.max(F.when(F.col("name") == "p950", F.col("percentile"))).alias("top"))
     return both.filter(F.col("top") >= 4 * F.col("median")).select(*GROUP)

@@ -90,3 +90,21 @@ def test_few_codes_stay_codes_and_give_the_same_counters():
             one.rows(piece, np.ones(len(piece), dtype=np.int64))
             parts.packed(one.result())
         assert (dyadic.unpack(whole.result()) == want).all() and whole.result() == parts.result()
+
+
+def test_coarse_bounds_are_certain(spark):
+    data, df = rows(spark)
+    poor = dyadic.SketchSpec(width=2, depth=1)
+    missed = 0
+    for r in dyadic.percentiles(dyadic.build(df, ["g"], "v", spec=poor), [0.05, 0.5, 0.95], 0.0, poor, certain=True).collect():
+        for p in ("p050", "p500", "p950"):
+            true = np.percentile([v for g, _, v in data if g == r.g], int(p[1:]) / 10)
+            missed += not r[f"{p}_low"] <= true <= r[f"{p}_high"]
+            assert r[f"{p}_least"] <= true <= r[f"{p}_most"]
+    assert missed  # the narrow brackets of so poor a sketch do not hold
+
+
+def test_odd_values_within_coarse_bounds(spark):
+    for values in ([-1e30, -5.0], [0.0, 1e-12, -1e-12], [1e30, 1e31], [7.0]):
+        r = dyadic.percentiles(dyadic.build(spark.createDataFrame([(v,) for v in values], "v double"), [], "v"), [0.5], certain=True).first()
+        assert r.p500_least <= np.percentile(values, 50) <= r.p500_most

@@ -27,3 +27,14 @@ def test_merged_days_equal_the_whole(spark, sf):
     whole, merged = QUERIES["p5_percentiles"](spark, sf), QUERIES["p5_daily_merged"](spark, sf)
     assert merged.columns == whole.columns
     assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_p5_found_survives_brackets_that_miss(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from assay.llm import dyadic
+
+    right, wrong = dyadic.percentiles, {"p500_low": 1e9, "p500_high": 1e9, "p950_low": 1.0, "p950_high": 1.0}
+    monkeypatch.setattr(dyadic, "percentiles", lambda *a, **k: right(*a, **k).withColumns({c: F.lit(v) for c, v in wrong.items()}))
+    assert differences(QUERIES["p5_found"](spark, sf), SQL["p5_found"], connect(sf)) == ""
+    assert QUERIES["p5_found"](spark, sf).count() > 0
