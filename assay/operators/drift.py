@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 import pyarrow as pa
@@ -52,7 +53,21 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
-_decoder = json.JSONDecoder(parse_constant=_no_constant)
+def _number(text: str) -> float | int:
+    """A number beyond a double as the whole number that it is, of at most 4,000 digits."""
+    number = float(text)
+    if abs(number) != float("inf"):
+        return number
+    try:
+        exact = Decimal(text)
+        if exact.adjusted() < 4000:
+            return int(exact)
+    except ArithmeticError:
+        pass
+    return 10**3999 if number > 0 else -(10**3999)
+
+
+_decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_number)
 
 
 def parse_record(text: object) -> dict | None:

@@ -153,3 +153,13 @@ def test_a_taken_name_keeps_the_value():
     # The frequent rename is kept, the chain through a pair that occurs together is not.
     chain = drift.Names({("a", "b"): 9, ("b", "c"): 1}, {"a": 5, "b": 4, "c": 3}, [("a", "c")])
     assert [chain.canonical(p) for p in "abc"] == ["a", "a", "c"]
+
+
+def test_floats_beyond_a_double(spark):
+    payloads = ['{"a": 1e400, "m": {"b": -1e400}}', '{"a": -2.5e400, "m": {"b": 1e99999999999999999999}}', '{"a": 2, "m": {"b": 0e400}}']
+    df = spark.createDataFrame([(i, "f", f"f/{i % 2}", i % 2, x) for i, x in enumerate(payloads * 2)], SCHEMA)
+    assert drift.changes(drift.field_profiles(df, "payload")).collect() == []
+    got = drift.unified(df, "payload").filter("is_valid").collect()
+    assert sorted(r.a__number for r in got) == 2 * [float("-inf")] + [2.0, 2.0] + 2 * [float("inf")]
+    assert {int(r.a) for r in got} == {10**400, -25 * 10**399, 2}
+    assert all("Infinity" not in r.m for r in got) and {json.loads(r.m)["b"] for r in got} >= {-(10**400), 0.0}
