@@ -5,10 +5,10 @@ its sentences speaks clearly enough, at most `most_subjects`. Labels, however, a
 in rounds: sentences get soft targets among their document's labels (or none), the classifiers are refitted on them, and
 so on. The hand-made labels start it. Then documents without a label get weak ones, from the first model's view of their wording and of
 their section metadata (the subject line), and join the training. Thresholds are calibrated per subject on a held-out fifth of the
-hand-labelled documents.
+sampled labelled documents and on all labelled documents outside the sample, which are scored in a distributed pass.
 
-The training sample is bounded by `labelled_docs` and `weak_docs` and drawn by a hash of the id; it is the only thing that goes to the
-driver. The model is a table of 2**bits rows, whatever it was trained on. Every document is then classified in one pass
+The training sample is bounded by `labelled_docs` and `weak_docs` and drawn by a hash of the id; it and the counts of the calibration are
+the only things that go to the driver. The model is a table of 2**bits rows, whatever it was trained on. Every document is then classified in one pass
 over its whole text, without a shuffle.
 
 Defined results: null, empty and blank texts have no subject; labels are trimmed and lower-cased, unknown and null ones ignored;
@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -210,32 +210,36 @@ def _learn(bag: Bag, labels: np.ndarray, spec: SubjectSpec, start: np.ndarray |
     return weights
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Per subject the threshold of the best F1, in the middle of what is nearly as good; drawn to the common one where labels are few."""
-    grid = np.round(np.arange(0.04, 0.72, 0.02), 2)
+GRID = np.round(np.arange(0.04, 0.72, 0.02), 2)
 
-    def f1(s: np.ndarray, y: np.ndarray) -> np.ndarray:
-        found = s[None, ...] > grid.reshape(-1, *[1] * s.ndim)
-        axes = tuple(range(1, found.ndim))
-        hit = (found & (y > 0)).sum(axis=axes)
-        return 2 * hit / np.maximum(found.sum(axis=axes) + (y > 0).sum(), 1)
 
-    def middle(curve: np.ndarray) -> float:
-        near = grid[curve >= curve.max() - 0.004]
+def tally(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """By grid value and subject: documents found, rightly found, and labelled. Tallies of parts add up to that of the whole."""
+    found = scores[None, ...] > GRID.reshape(-1, 1, 1)
+    right = labels > 0
+    return np.stack([found.sum(axis=1), (found & right).sum(axis=1), np.tile(right.sum(axis=0), (len(GRID), 1))], axis=2).astype(np.int64)
+
+
+def calibrate(counts: np.ndarray) -> np.ndarray:
+    """From a tally, per subject the threshold of the best F1, in the middle of what is nearly as good; drawn to the common one where labels are few."""
+
+    def middle(c: np.ndarray) -> float:
+        curve = 2 * c[:, 1] / np.maximum(c[:, 0] + c[:, 2], 1)
+        near = GRID[curve >= curve.max() - 0.004]
         return float((near.min() + near.max()) / 2)
 
-    common = middle(f1(scores, labels))
+    common = middle(counts.sum(axis=1))
     out = []
-    for s in range(labels.shape[1]):
-        support = (labels[:, s] > 0).sum()
-        own = middle(f1(scores[:, s], labels[:, s])) if support else common
+    for s in range(counts.shape[1]):
+        support = counts[0, s, 2]
+        own = middle(counts[:, s]) if support else common
         trust = support / (support + 60)
         out.append(trust * own + (1 - trust) * common)
     return np.array(out)
 
 
-def train(labelled: list[tuple[str, set[str]]], unlabelled: list[tuple[str, str]], subjects: list[str], spec: SubjectSpec = DEFAULT) -> Model:
-    """From (wording, labels) and (wording, subject line)."""
+def train(labelled: list[tuple[str, set[str]]], unlabelled: list[tuple[str, str]], subjects: list[str], spec: SubjectSpec = DEFAULT, outside: Callable[[Model], np.ndarray] | None = None) -> Model:
+    """From (wording, labels) and (wording, subject line). `outside` gives a model's tally over labelled documents that aren't among these."""
     subjects = sorted(subjects)
     if not labelled or not subjects:
         return Model(subjects, np.zeros(((1 << spec.bits) + 1, len(subjects)), np.float32), np.ones(len(subjects)))
@@ -261,11 +265,15 @@ def train(labelled: list[tuple[str, set[str]]], unlabelled: list[tuple[str, str]
             weights = _learn(bag.only(part | (~hand & weak.any(axis=1))), weak, spec, weights, 2)
         return weights
 
-    trial = Model(subjects, fitted(hand & ~held))
-    checked = held if held.any() else hand
-    thresholds = calibrate(trial.document_scores(bag)[checked], every[checked])
     if not held.any():
-        return Model(subjects, trial.weights, thresholds)
+        # Too few to set a fifth aside: each fifth in turn is checked by a model of the others.
+        turn = np.arange(len(every)) % spec.held_out
+        counts = sum(tally(Model(subjects, fitted(hand & (turn != k))).document_scores(bag)[hand & (turn == k)], every[hand & (turn == k)]) for k in range(spec.held_out))
+        model = Model(subjects, fitted(hand))
+        return Model(subjects, model.weights, calibrate(counts + (outside(model) if outside else 0)))
+    trial = Model(subjects, fitted(hand & ~held))
+    counts = tally(trial.document_scores(bag)[held], every[held])
+    thresholds = calibrate(counts + (outside(trial) if outside else 0))
     return Model(subjects, _learn(bag.only(hand), every, spec, trial.weights, 1) if not unlabelled else fitted(hand), thresholds)
 
 
@@ -284,8 +292,35 @@ def _wording(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["doc_id"], "wording": [own_wording(t) for t in batch["text"]], "line": [subject_line(t) for t in batch["text"]]})
 
 
+def _outside(base: DataFrame, given: DataFrame, spec: SubjectSpec, model: Model) -> np.ndarray:
+    """A model's tally over labelled documents, in one pass: given(doc_id, given). Only scores are shuffled, and only counts go to the driver."""
+    sent = base.sparkSession.sparkContext.broadcast((model.subjects, model.weights))
+    shape = (len(GRID), len(model.subjects), 3)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Model(*sent.value)
+        for whole in batches:
+            for start in range(0, len(whole), 512):  # so many texts at once
+                batch = whole.iloc[start : start + 512]
+                bag = Bag.of((own_wording(t) for t in batch["text"]), spec)
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "scores": list(own.document_scores(bag))})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, total = sent.value[0], np.zeros(shape, dtype=np.int64)
+        for batch in batches:
+            if len(batch):
+                total += tally(np.stack(batch["scores"].to_list()), np.array([[s in set(g) for s in names] for g in batch["given"]]))
+        yield pd.DataFrame({"place": np.arange(total.size), "n": total.ravel()})
+
+    scored = base.filter(F.col("doc_id").isNotNull()).mapInPandas(score, "doc_id long, scores array<float>")
+    counts = np.zeros(int(np.prod(shape)), dtype=np.int64)
+    for r in scored.join(given, "doc_id").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        counts[r["place"]] = r["n"]
+    return counts.reshape(shape)
+
+
 def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, spec: SubjectSpec = DEFAULT) -> Model:
-    """Train on a bounded sample: documents(doc_id, text), labels(doc_id, subject), areas(subject)."""
+    """Train on a bounded sample, calibrate on all labels: documents(doc_id, text), labels(doc_id, subject), areas(subject)."""
     subjects = sorted({r["subject"].strip().lower() for r in areas.select("subject").collect() if r["subject"]})  # a fixed small table
     usable = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(*subjects, NONE) & F.col("doc_id").isNotNull()).distinct()
     place = lambda salt: F.pmod(F.xxhash64(F.lit(spec.seed + salt), "doc_id"), F.lit(1 << 40))
@@ -301,7 +336,10 @@ def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, spec: Subject
     weak = base.filter(place(1) < share(spec.weak_docs, documents.count())).mapInPandas(_wording, _SAMPLE).limit(2 * spec.weak_docs).collect()
     labelled = [(r["wording"], given[r["doc_id"]] - {NONE}) for r in sorted(hand, key=lambda r: (r["doc_id"], r["wording"]))]
     unlabelled = [(r["wording"], r["line"]) for r in sorted(weak, key=lambda r: (r["doc_id"] or 0, r["wording"])) if r["doc_id"] not in given]
-    return train(labelled, unlabelled, subjects, spec)
+    if n_labelled <= spec.labelled_docs:
+        return train(labelled, unlabelled, subjects, spec)
+    rest = usable.filter(place(0) >= share(spec.labelled_docs, n_labelled)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_set("subject").alias("given"))
+    return train(labelled, unlabelled, subjects, spec, lambda model: _outside(base, rest, spec, model))
 
 
 def assign(documents: DataFrame, text: str, model: Model, spec: SubjectSpec = DEFAULT) -> DataFrame:

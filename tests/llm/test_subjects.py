@@ -71,3 +71,28 @@ def test_forms_and_encodings():
     assert own("Content-Type: text/html; charset=iso-8859-1\nContent-Transfer-Encoding: quoted-printable\n\n<style>p{}</style><div>caf=E9 &amp; co<br>\n&gt; old</div><p>end</p>") == "café & co end"
     assert mailtext.subject_line("Subject: =?iso-8859-1?Q?Re=3A_t=E9lescope?=\nTo: x\n\nbody") == "télescope"
     assert mailtext.subject_line("To: x\n\nSubject: body") == "" and mailtext.subject_line(None) == ""
+
+
+def test_thresholds_cover_all_labels(spark, monkeypatch):
+    seen = []
+    calibrate = subjects.calibrate
+    monkeypatch.setattr(subjects, "calibrate", lambda counts: seen.append(counts) or calibrate(counts))
+    rows = sample(250, 8)
+    docs = spark.createDataFrame([(i, f"From: a@b.test\n\n{t}\n") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s) for i, (_, own) in enumerate(rows) for s in (own or {"none"})], "doc_id long, subject string")
+    spec = subjects.SubjectSpec(labelled_docs=100)
+    subjects.fit(docs, labels, spark.createDataFrame([("law",), ("sport",)], "subject string"), spec)
+    every = sum(len(own) for _, own in rows)
+    assert 0.5 * every < seen[0][0, :, 2].sum() < 0.85 * every  # all outside the sample of about 100, and a fifth of it
+    found, right, labelled = seen[0][len(subjects.GRID) // 2].sum(axis=0)
+    assert right > 0.85 * labelled and right > 0.85 * found
+
+
+def test_few_labels_are_not_checked_by_their_own_model(monkeypatch):
+    seen = []
+    calibrate = subjects.calibrate
+    monkeypatch.setattr(subjects, "calibrate", lambda counts: seen.append(counts) or calibrate(counts))
+    # Every document has a word of its own that only its own model could know.
+    subjects.train([(f"zq{chr(97 + i)}{chr(97 + i)}. " * 4, {"law"} if i % 2 else {"sport"}) for i in range(20)], [], ["law", "sport"])
+    found, right, labelled = (int(x) for x in seen[0][10].sum(axis=0))
+    assert labelled == 20 and right <= 0.75 * max(found, 20)
