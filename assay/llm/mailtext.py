@@ -175,7 +175,7 @@ def subject_line(message: str | None) -> str:
     """The decoded subject line without reply and forward marks."""
     if not message:
         return ""
-    found = _SUBJECT.search(_FOLD.sub(" ", message.replace("\r\n", "\n").lstrip("\n").partition("\n\n")[0]))
+    found = _SUBJECT.search(_head(message))
     if not found:
         return ""
 
@@ -187,3 +187,28 @@ def subject_line(message: str | None) -> str:
         return _bytes_to_text(data, m.group(1))
 
     return _PREFIX.sub("", _WORD_CODE.sub(plain, found.group(1))).strip()
+
+
+_ROUTE = re.compile(r"^(from|to|cc|reply-to|sender|delivered-to|list-id|list-post|newsgroups|x-folder)[ \t]*:(.*)$", re.I | re.M)
+_ADDRESS = re.compile(r"([\w.+'-]+)@([\w.-]+\w)|<([\w-]+)\.([\w.-]+\w)>")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
+
+
+def _head(message: str) -> str:
+    return _FOLD.sub(" ", message.replace("\r\n", "\n").lstrip("\n").partition("\n\n")[0])
+
+
+def address_path(message: str | None, *more: str | None) -> list[str]:
+    """The places a message passed by, from its headers and from `more` (a mailbox, a folder): whole addresses, and as '/word' the
+    words of their local parts, of lists, news groups and folders. Sorted, each once; hosts alone say nothing and are left out."""
+    found: set[str] = set()
+    routes = [(n.lower(), v) for n, v in _ROUTE.findall(_head(message))] if message else []
+    for name, value in [*routes, *(("x-folder", m) for m in more if m)]:
+        value = value.lower()
+        addresses = [(m.group(1) or m.group(3), m.group(2) or m.group(4)) for m in _ADDRESS.finditer(value)]
+        for local, host in addresses:
+            found.add(f"{local}@{host}")
+            found.update("/" + w for w in _LETTERS.findall(local))
+        if not addresses and name in ("newsgroups", "x-folder"):
+            found.update("/" + w for w in _LETTERS.findall(value))
+    return sorted(found)

@@ -149,11 +149,15 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- p8: subject areas
 
 
+MAIL = subjects.SubjectSpec(most_subjects=2)  # in this archive a document has none, one or two
+
+
 def _with_subjects(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     ship(spark)
-    documents = table(spark, sf, "documents")
-    model = subjects.fit(documents.select("doc_id", "text"), table(spark, sf, "doc_label"), table(spark, sf, "subject_area"))
-    return subjects.assign(documents.select("doc_id", "text", *keep), "text", model)
+    documents = table(spark, sf, "documents").select("doc_id", "text", "mailbox", *(k for k in keep if k != "mailbox"))
+    messages = subjects.parsed(documents, "doc_id", "text", ("mailbox",))
+    model = subjects.fit(messages, table(spark, sf, "doc_label"), table(spark, sf, "subject_area"), MAIL)
+    return subjects.assign(messages, model, MAIL)
 
 
 @query
@@ -167,6 +171,6 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Documents by subject and by language, source and mailbox; `none` counts those without a subject."""
     lang = F.coalesce(F.split_part(F.lower(F.trim("lang")), F.lit("-"), F.lit(1)), F.lit("und"))
     spread = F.array(*(F.struct(F.lit(n).alias("dimension"), v.cast("string").alias("value")) for n, v in (("lang", lang), ("source", F.col("source")), ("mailbox", F.col("mailbox")))))
-    rows = _with_subjects(spark, sf, "lang", "source", "mailbox")
+    rows = _with_subjects(spark, sf, "lang", "source")
     rows = rows.withColumn("subject", F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit(subjects.NONE)))))
     return rows.select("subject", F.explode(spread).alias("d")).groupBy("subject", "d.dimension", "d.value").agg(F.count(F.lit(1)).alias("documents"))

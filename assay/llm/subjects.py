@@ -1,15 +1,23 @@
 """Subject areas of documents: one-versus-rest linear classifiers on hashed word n-grams.
 
 What is classified is the sender's own wording (mailtext.py), sentence by sentence; a document has the subjects of which one of
-its sentences speaks clearly enough, at most `most_subjects`. Labels, however, are given to whole documents, so training goes
-in rounds: sentences get soft targets among their document's labels (or none), the classifiers are refitted on them, and
-so on. The hand-made labels start it. Then documents without a label get weak ones, from the first model's view of their wording and of
-their section metadata (the subject line), and join the training. Thresholds are calibrated per subject on a held-out fifth of the
-sampled labelled documents and on all labelled documents outside the sample, which are scored in a distributed pass.
+its sentences speaks clearly enough. Labels, however, are given to whole documents, so training goes in rounds: sentences get soft
+targets among their document's labels (or none), the classifiers are refitted on them, and so on.
 
-The training sample is bounded by `labelled_docs` and `weak_docs` and drawn by a hash of the id; it and the counts of the calibration are
-the only things that go to the driver. The model is a table of 2**bits rows, whatever it was trained on. Every document is then classified in one pass
-over its whole text, without a shuffle.
+1. `parsed` reads every message once: its own wording, its subject line and its address path.
+2. The hand-made labels start the training.
+3. Every document without a hand-made label is given weak labels from its metadata: what the first classifiers say of its subject line, weighed by
+   the places on its address path (`Places`). The weakly labelled join the training.
+4. Thresholds are calibrated per subject on a held-out fifth of the sampled labelled documents and on all labelled documents
+   outside the sample, which are scored in a distributed pass.
+5. Every document is classified over its whole text, without a shuffle.
+
+Nothing is left out of a wording for the words in it: that notices at the foot of a message name subjects they are not about is
+learned from their turning up beside any label.
+
+Features are hashed on the executors, and the classifiers are fitted there too, side by side, some subjects and one part of the sample per task.
+The sample is bounded by `labelled_docs` and `weak_docs`, the documents with the least hashes of their ids; its hashed features and the counts of the
+calibration are all that goes to the driver. The model is a table of 2**bits rows, whatever it was trained on.
 
 Defined results: null, empty and blank texts have no subject; labels are trimmed and lower-cased, unknown and null ones ignored;
 `none` beside a subject is ignored; without any usable label no document gets a subject; repeated rows each get their result.
@@ -19,18 +27,18 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.mailtext import own_wording, subject_line
+from assay.llm.mailtext import address_path, own_wording, subject_line
+from assay.session import cut
 
 NONE = "none"
 
@@ -38,8 +46,8 @@ NONE = "none"
 @dataclass(frozen=True)
 class SubjectSpec:
     bits: int = 18
-    labelled_docs: int = 6000
-    weak_docs: int = 3000
+    labelled_docs: int = 6000  # bound of the sample of hand-labelled documents to fit on
+    weak_docs: int = 3000  # bound of the sample of weakly labelled documents to fit on
     held_out: int = 5  # one in so many labelled documents calibrates
     rounds: int = 3
     steps: int = 40
@@ -47,7 +55,9 @@ class SubjectSpec:
     stray: float = 0.02  # weight of subjects that a document is not labelled with: labels err
     weak_above: float = 0.4
     least_docs: int = 2  # n-grams of fewer training sentences are left out
-    most_subjects: int = 2
+    most_subjects: int | None = None  # per document; None for any number
+    subjects_per_task: int = 2
+    place_bits: int = 16
     seed: int = 5
 
 
@@ -56,20 +66,16 @@ DEFAULT = SubjectSpec()
 _WORD = re.compile(r"[^\W\d_]+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-#: Words by which legal notices give themselves away.
-_NOTICE = re.compile(r"confiden[tc]|vertraulich|meant only for the addressee|registered office", re.I)
 
 
 def sentences(wording: str) -> list[list[str]]:
-    """The words of each sentence, lower case, without paragraphs that are notices."""
-    out = []
-    for paragraph in _PARAGRAPH.split(wording):
-        if paragraph and not _NOTICE.search(paragraph):
-            for sentence in _SENTENCE.split(paragraph):
-                words = _WORD.findall(sentence.lower())
-                if words:
-                    out.append(words)
-    return out
+    """The words of each sentence, lower case."""
+    found = (_WORD.findall(sentence.lower()) for paragraph in _PARAGRAPH.split(wording) for sentence in _SENTENCE.split(paragraph))
+    return [words for words in found if words]
+
+
+def _crc(text: str, mask: int) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & mask
 
 
 def hashed(words: list[str], mask: int) -> set[int]:
@@ -77,7 +83,14 @@ def hashed(words: list[str], mask: int) -> set[int]:
     grams = set(words)
     grams.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
     grams.update("~" + w[:5] for w in words if len(w) > 5)
-    return {zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in grams}
+    return {_crc(g, mask) for g in grams}
+
+
+def features(text: str | None, spec: SubjectSpec) -> tuple[list[int], list[int]]:
+    """Of a text the number of n-grams of each sentence, and the n-grams themselves."""
+    mask = (1 << spec.bits) - 1
+    grams = [sorted(hashed(words, mask)) for words in sentences(text)] if text else []
+    return [len(g) for g in grams], [x for g in grams for x in g]
 
 
 @dataclass
@@ -90,22 +103,16 @@ class Bag:
     documents: int
 
     @staticmethod
-    def of(texts: Iterable[str], spec: SubjectSpec) -> Bag:
-        mask = (1 << spec.bits) - 1
-        document: list[int] = []
-        sizes: list[int] = []
-        gram: list[int] = []
-        n = 0
-        for at, text in enumerate(texts):
-            n = at + 1
-            if text:
-                for words in sentences(text):
-                    grams = hashed(words, mask)
-                    document.append(at)
-                    sizes.append(len(grams))
-                    gram.extend(grams)
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        return Bag(np.array(document, dtype=np.int64), rows.astype(np.int64), np.array(gram, dtype=np.int64), n)
+    def of_features(found: Iterable[tuple[Iterable[int], Iterable[int]]]) -> Bag:
+        found = list(found)
+        sizes = [np.asarray(s, dtype=np.int64) for s, _ in found] or [np.zeros(0, dtype=np.int64)]
+        grams = [np.asarray(g, dtype=np.int64) for _, g in found] or [np.zeros(0, dtype=np.int64)]
+        every = np.concatenate(sizes)
+        return Bag(np.repeat(np.arange(len(sizes)), [len(s) for s in sizes]), np.repeat(np.arange(len(every)), every), np.concatenate(grams), len(found))
+
+    @staticmethod
+    def of(texts: Iterable[str | None], spec: SubjectSpec) -> Bag:
+        return Bag.of_features(features(t, spec) for t in texts)
 
     def only(self, documents: np.ndarray) -> Bag:
         """The part of the documents that are true in a mask; they keep their numbers."""
@@ -192,24 +199,6 @@ def _first_targets(bag: Bag, labels: np.ndarray, allowed: np.ndarray, size: int)
     return (q / (q.sum(axis=1, keepdims=True) + 0.25)).astype(np.float32)
 
 
-def _learn(bag: Bag, labels: np.ndarray, spec: SubjectSpec, start: np.ndarray | None, rounds: int) -> np.ndarray:
-    size = 1 << spec.bits
-    allowed = np.where(labels[bag.document] > 0, 1.0, spec.stray).astype(np.float32)
-    used = np.flatnonzero(np.bincount(bag.gram, minlength=size) >= spec.least_docs)
-    if start is None:
-        weights = np.zeros((size + 1, labels.shape[1]), dtype=np.float32)
-        weights[-1] = -2
-        targets = _first_targets(bag, labels, allowed, size)
-    else:
-        weights = start
-        targets = _shared_out(Model([], weights).sentence_scores(bag), allowed)
-    for at in range(rounds):
-        weights = _fit(bag, targets, weights, used, spec)
-        if at + 1 < rounds:
-            targets = _shared_out(Model([], weights).sentence_scores(bag), allowed)
-    return weights
-
-
 GRID = np.round(np.arange(0.04, 0.72, 0.02), 2)
 
 
@@ -238,126 +227,290 @@ def calibrate(counts: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def train(labelled: list[tuple[str, set[str]]], unlabelled: list[tuple[str, str]], subjects: list[str], spec: SubjectSpec = DEFAULT, outside: Callable[[Model], np.ndarray] | None = None) -> Model:
-    """From (wording, labels) and (wording, subject line). `outside` gives a model's tally over labelled documents that aren't among these."""
-    subjects = sorted(subjects)
-    if not labelled or not subjects:
+@dataclass
+class Sample:
+    """Hashed documents with their labels, one row per document; hand-labelled ones come first."""
+
+    bag: Bag
+    labels: np.ndarray  # (documents, subjects), 1 for a label
+    hand: np.ndarray  # mask
+
+    def join(self, other: Sample) -> Sample:
+        a, b = self.bag, other.bag
+        bag = Bag(np.r_[a.document, b.document + a.documents], np.r_[a.row, b.row + len(a.document)], np.r_[a.gram, b.gram], a.documents + b.documents)
+        return Sample(bag, np.vstack([self.labels, other.labels]), np.r_[self.hand, other.hand])
+
+
+def _local(tasks: int, work: Callable[[int], np.ndarray]) -> list[np.ndarray]:
+    return [work(i) for i in range(tasks)]
+
+
+def on_executors(spark: SparkSession) -> Callable[[int, Callable[[int], np.ndarray]], list[np.ndarray]]:
+    """Runs tasks as partitions of a small job; each gives an array of weights."""
+
+    def run(tasks: int, work: Callable[[int], np.ndarray]) -> list[np.ndarray]:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in batch["id"]:
+                    yield pd.DataFrame({"id": [i], "made": [work(int(i)).astype("<f4").tobytes()]})
+
+        rows = spark.range(0, tasks, 1, tasks).mapInPandas(each, "id long, made binary").collect()  # as large as the model, whatever the data
+        made = {r["id"]: np.frombuffer(r["made"], dtype="<f4") for r in rows}
+        return [made[i] for i in range(tasks)]
+
+    return run
+
+
+class _Sent:
+    """What tasks share, sent once to each executor; plain where there are none."""
+
+    def __init__(self, spark: SparkSession | None, value: object) -> None:
+        self._held = spark.sparkContext.broadcast(value) if spark else None
+        self._plain = None if spark else value
+
+    @property
+    def value(self) -> object:
+        return self._held.value if self._held else self._plain
+
+    def drop(self) -> None:
+        if self._held:
+            self._held.unpersist()
+
+
+def learn(sample: Sample, parts: list[np.ndarray], starts: list[np.ndarray | None], rounds: int, spec: SubjectSpec, spark: SparkSession | None = None) -> list[np.ndarray]:
+    """The weights of one model for each part of the sample (masks of documents), from its start or from nothing.
+
+    Every round is one job with a task for each part and few subjects: logistic regressions of different subjects don't touch each other within a round."""
+    size, n = (1 << spec.bits) + 1, sample.labels.shape[1]
+    run = on_executors(spark) if spark else _local
+    bags = [sample.bag.only(part) for part in parts]
+    allowed = [np.where(sample.labels[b.document] > 0, 1.0, spec.stray).astype(np.float32) for b in bags]
+    used = [np.flatnonzero(np.bincount(b.gram, minlength=size - 1) >= spec.least_docs) for b in bags]
+    groups = [list(range(s, min(n, s + spec.subjects_per_task))) for s in range(0, n, spec.subjects_per_task)]
+    weights, targets = [], []
+    for bag, start, ok in zip(bags, starts, allowed, strict=True):
+        if start is None:
+            start = np.zeros((size, n), dtype=np.float32)
+            start[-1] = -2 if len(bag.document) else -10
+            targets.append(_first_targets(bag, sample.labels, ok, size - 1) if len(bag.document) else np.zeros((0, n), np.float32))
+        else:
+            targets.append(_shared_out(Model([], start).sentence_scores(bag), ok))
+        weights.append(start)
+    fixed = _Sent(spark, (bags, used))
+    for at in range(rounds):
+        now = _Sent(spark, (weights, targets))
+
+        def work(i: int, now: _Sent = now) -> np.ndarray:
+            part, group = divmod(i, len(groups))
+            (its_bags, its_used), (its_weights, its_targets) = fixed.value, now.value
+            picked = groups[group]
+            return _fit(its_bags[part], its_targets[part][:, picked], its_weights[part][:, picked], its_used[part], spec)[np.r_[its_used[part], size - 1]].ravel()
+
+        made = run(len(parts) * len(groups), work)
+        now.drop()
+        for part, start in enumerate(weights):
+            out = start.copy()
+            for group, picked in enumerate(groups):
+                out[np.ix_(np.r_[used[part], size - 1], picked)] = made[part * len(groups) + group].reshape(-1, len(picked))
+            weights[part] = out
+            if at + 1 < rounds:
+                targets[part] = _shared_out(Model([], out).sentence_scores(bags[part]), allowed[part])
+    fixed.drop()
+    return weights
+
+
+class Places:
+    """How much oftener than elsewhere a subject is written about at a place of an address path, learned from labelled documents: a bounded table by the
+    place's hash. A place that bears a subject's name counts as if that many labels said so."""
+
+    NAMED, PRIOR, LEAST = 8, 4, 3
+
+    def __init__(self, paths: list[list[str]], labels: np.ndarray, subjects: list[str], spec: SubjectSpec) -> None:
+        self.mask = (1 << spec.place_bits) - 1
+        share = (labels.sum(axis=0) + 1) / (len(labels) + len(subjects) + 1)
+        hits, count = np.zeros((self.mask + 1, len(subjects))), np.zeros(self.mask + 1)
+        for path, own in zip(paths, labels, strict=True):
+            for h in {_crc(p, self.mask) for p in path}:
+                hits[h] += own
+                count[h] += 1
+        for s, name in enumerate(subjects):
+            for word in _WORD.findall(name):
+                h = _crc("/" + word, self.mask)
+                hits[h, s] += self.NAMED
+                count[h] += self.NAMED
+        ratio = (hits + self.PRIOR * share) / ((count[:, None] + self.PRIOR) * share)
+        self.ratio = np.where(count[:, None] >= self.LEAST, ratio, 1.0).astype(np.float32)
+
+    def ratios(self, paths: Iterable[Iterable[str]]) -> np.ndarray:
+        """Of each path, by subject, the ratio at the place that says most."""
+        out = []
+        for path in paths:
+            at = self.ratio[[_crc(p, self.mask) for p in path] if path is not None and len(path) else [0]]
+            if path is None or not len(path):
+                at = np.ones_like(at)
+            out.append(at[np.abs(np.log(at)).argmax(axis=0), np.arange(at.shape[1])])
+        return np.array(out).reshape(len(out), self.ratio.shape[1])
+
+
+def weak_scores(model: Model, places: Places, lines: Bag, paths: Iterable[Iterable[str]]) -> np.ndarray:
+    """By document and subject how likely its metadata make the subject: the classifiers' score of the subject line, its odds multiplied by the address path's ratio."""
+    base = 1 / (1 + np.exp(-model.weights[-1]))  # of a line that says nothing
+    scores = np.clip(np.maximum(model.document_scores(lines), base), 1e-6, 1 - 1e-6)
+    odds = scores / (1 - scores) * places.ratios(paths)
+    return odds / (1 + odds)
+
+
+def train(sample: Sample, paths: list[list[str]], subjects: list[str], spec: SubjectSpec = DEFAULT, weak: Callable[[Model, Places], Sample] | None = None, outside: Callable[[Model], np.ndarray] | None = None, spark: SparkSession | None = None) -> Model:
+    """From hand-labelled documents and their address paths. `weak` gives weakly labelled documents by a first model, `outside` a model's tally over labelled documents that aren't among these."""
+    n = sample.bag.documents
+    if not n or not subjects:
         return Model(subjects, np.zeros(((1 << spec.bits) + 1, len(subjects)), np.float32), np.ones(len(subjects)))
-    n = len(labelled)
-    labels = np.array([[s in given for s in subjects] for _, given in labelled], dtype=np.float32)
-    bag = Bag.of([t for t, _ in labelled] + [t for t, _ in unlabelled], spec)
-    lines = Bag.of([line for _, line in unlabelled], spec)
-    every = np.vstack([labels, np.zeros((len(unlabelled), len(subjects)), np.float32)])
-    hand = np.arange(len(every)) < n
-    held = hand & (np.arange(len(every)) % spec.held_out == 0) & (n >= 10 * spec.held_out)
-
-    def fitted(part: np.ndarray) -> np.ndarray:
-        first = bag.only(part)
-        if not len(first.document):
-            return np.vstack([np.zeros((1 << spec.bits, len(subjects)), np.float32), np.full((1, len(subjects)), -10, np.float32)])
-        weights = _learn(first, every, spec, None, spec.rounds)
-        if unlabelled:
-            model = Model(subjects, weights)
-            seen = model.document_scores(bag)[n:]
-            seen = np.maximum(seen, 0.8 * model.document_scores(lines))
-            weak = every.copy()
-            weak[n:] = seen > spec.weak_above
-            weights = _learn(bag.only(part | (~hand & weak.any(axis=1))), weak, spec, weights, 2)
-        return weights
-
-    if not held.any():
-        # Too few to set a fifth aside: each fifth in turn is checked by a model of the others.
-        turn = np.arange(len(every)) % spec.held_out
-        counts = sum(tally(Model(subjects, fitted(hand & (turn != k))).document_scores(bag)[hand & (turn == k)], every[hand & (turn == k)]) for k in range(spec.held_out))
-        model = Model(subjects, fitted(hand))
-        return Model(subjects, model.weights, calibrate(counts + (outside(model) if outside else 0)))
-    trial = Model(subjects, fitted(hand & ~held))
-    counts = tally(trial.document_scores(bag)[held], every[held])
-    thresholds = calibrate(counts + (outside(trial) if outside else 0))
-    return Model(subjects, _learn(bag.only(hand), every, spec, trial.weights, 1) if not unlabelled else fitted(hand), thresholds)
-
-
-def chosen(model: Model, scores: np.ndarray, most: int) -> list[list[str]]:
-    """The subjects above their thresholds, the clearest first, at most so many."""
+    every = np.ones(n, dtype=bool)
+    turn = np.arange(n) % spec.held_out
+    # Where a fifth is too few to calibrate on, each fifth in turn is scored by a model of the others.
+    folds = [0] if n >= 10 * spec.held_out else list(range(spec.held_out))
+    parts = [*(turn != k for k in folds), every]
+    first = learn(sample, parts, [None] * len(parts), spec.rounds, spec, spark)
+    if weak:
+        more = weak(Model(subjects, first[0]), Places([p for p, kept in zip(paths, parts[0], strict=True) if kept], sample.labels[parts[0]], subjects, spec))
+        if more.bag.documents:
+            sample = sample.join(more)
+            parts = [np.r_[part, np.ones(more.bag.documents, dtype=bool)] for part in parts]
+            first = learn(sample, parts, first, 2, spec, spark)
+    counts = sum(tally(Model(subjects, first[at]).document_scores(sample.bag)[:n][turn == k], sample.labels[:n][turn == k]) for at, k in enumerate(folds))
+    thresholds = calibrate(counts + (outside(Model(subjects, first[0])) if outside else 0))
+    return Model(subjects, first[-1], thresholds)
+
+
+def chosen(model: Model, scores: np.ndarray, most: int | None = None) -> list[list[str]]:
+    """The subjects above their thresholds, the clearest first; at most `most` of them if that is given."""
     over = scores / model.thresholds
     order = np.argsort(-over, axis=1, kind="stable")[:, :most]
     return [[model.subjects[s] for s in row if over[i, s] > 1] for i, row in enumerate(order)]
 
 
-_SAMPLE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("wording", T.StringType()), T.StructField("line", T.StringType())])
+_PARSED = (("_id", T.LongType(), pa.int64()), ("_wording", T.StringType(), pa.string()), ("_line", T.StringType(), pa.string()), ("_path", T.ArrayType(T.StringType()), pa.list_(pa.string())))
+TEXTS_AT_ONCE = 512
+
+
+def parsed(documents: DataFrame, key: str, text: str, places: tuple[str, ...] = ()) -> DataFrame:
+    """Every message read once: all columns but the text, and `_id`, `_wording`, `_line` and `_path`, written down for all that follows. `places` are columns that belong to the address path."""
+    made = {name for name, _, _ in _PARSED}
+    keep = [f for f in documents.schema.fields if f.name != text and f.name not in made]
+    schema = T.StructType([*keep, *(T.StructField(n, t) for n, t, _ in _PARSED)])
+    names = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = {n: i for i, n in enumerate(whole.schema.names)}
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(start, TEXTS_AT_ONCE)
+                texts = batch.column(at["_text"]).to_pylist()
+                extra = list(zip(*(batch.column(at[p]).to_pylist() for p in places), strict=True)) if places else [()] * len(texts)
+                values = ([own_wording(t) for t in texts], [subject_line(t) for t in texts], [address_path(t, *x) for t, x in zip(texts, extra, strict=True)])
+                columns = [*(batch.column(at[n]) for n in names), batch.column(at["_key"]), *(pa.array(v, t) for v, (_, _, t) in zip(values, _PARSED[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    rows = documents.select(*(F.col(f"`{n}`") for n in names), F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    return cut(rows.mapInArrow(run, schema))
+
+
+_FEATURES = "_id long, sizes array<int>, grams array<int>, _path array<string>"
+
+
+def _hash_features(spec: SubjectSpec):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (b for b in batches if len(b)):
+            made = [features(t, spec) for t in batch["_wording"]]
+            yield pd.DataFrame({"_id": batch["_id"], "sizes": [s for s, _ in made], "grams": [g for _, g in made], "_path": batch["_path"]})
 
+    return run
 
-def _wording(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "wording": [own_wording(t) for t in batch["text"]], "line": [subject_line(t) for t in batch["text"]]})
 
+def _place(spec: SubjectSpec, salt: int):
+    return F.xxhash64(F.lit(spec.seed + salt), "_id")
 
-def _outside(base: DataFrame, given: DataFrame, spec: SubjectSpec, model: Model) -> np.ndarray:
-    """A model's tally over labelled documents, in one pass: given(doc_id, given). Only scores are shuffled, and only counts go to the driver."""
-    sent = base.sparkSession.sparkContext.broadcast((model.subjects, model.weights))
+
+def _weak_sample(messages: DataFrame, usable: DataFrame, spec: SubjectSpec, model: Model, places: Places) -> Sample:
+    """Weak labels for all messages; of the messages that get any, the `weak_docs` of least hash, without those that have hand-made labels."""
+    spark = messages.sparkSession
+    sent = spark.sparkContext.broadcast((model.subjects, model.weights, places))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subjects, weights, its_places = sent.value
+        for whole in batches:
+            for start in range(0, len(whole), TEXTS_AT_ONCE):
+                batch = whole.iloc[start : start + TEXTS_AT_ONCE]
+                found = weak_scores(Model(subjects, weights), its_places, Bag.of(batch["_line"], spec), batch["_path"]) > spec.weak_above
+                some = found.any(axis=1)
+                if not some.any():
+                    continue
+                yield pd.DataFrame({"_id": batch["_id"].to_numpy()[some], "_wording": batch["_wording"].to_numpy()[some], "_path": batch["_path"].to_numpy()[some], "given": [np.flatnonzero(f).tolist() for f in found[some]]})
+
+    weak = messages.filter(F.col("_id").isNotNull()).select("_id", "_wording", "_line", "_path").mapInPandas(score, "_id long, _wording string, _path array<string>, given array<int>")
+    once = weak.groupBy("_id").agg(F.min(F.struct("given", "_wording", "_path")).alias("r")).select("_id", "r.*")
+    picked = cut(once.orderBy(_place(spec, 1), "_id").limit(spec.weak_docs))
+    picked = picked.join(usable.select("_id").distinct().join(F.broadcast(picked.select("_id")), "_id", "left_semi"), "_id", "left_anti")
+    rows = sorted(picked.select("_id", "given").join(picked.mapInPandas(_hash_features(spec), _FEATURES), "_id").collect(), key=lambda r: r["_id"])  # at most weak_docs
+    labels = np.zeros((len(rows), len(model.subjects)), dtype=np.float32)
+    for i, r in enumerate(rows):
+        labels[i, r["given"]] = 1
+    return Sample(Bag.of_features((r["sizes"], r["grams"]) for r in rows), labels, np.zeros(len(rows), dtype=bool))
+
+
+def _outside(messages: DataFrame, given: DataFrame, spec: SubjectSpec, model: Model) -> np.ndarray:
+    """A model's tally over labelled documents, in one pass: given(_id, given). Only scores are shuffled, and only counts go to the driver."""
+    sent = messages.sparkSession.sparkContext.broadcast((model.subjects, model.weights))
     shape = (len(GRID), len(model.subjects), 3)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*sent.value)
         for whole in batches:
-            for start in range(0, len(whole), 512):  # so many texts at once
-                batch = whole.iloc[start : start + 512]
-                bag = Bag.of((own_wording(t) for t in batch["text"]), spec)
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "scores": list(own.document_scores(bag))})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, total = sent.value[0], np.zeros(shape, dtype=np.int64)
-        for batch in batches:
-            if len(batch):
-                total += tally(np.stack(batch["scores"].to_list()), np.array([[s in set(g) for s in names] for g in batch["given"]]))
-        yield pd.DataFrame({"place": np.arange(total.size), "n": total.ravel()})
-
-    scored = base.filter(F.col("doc_id").isNotNull()).mapInPandas(score, "doc_id long, scores array<float>")
+            for start in range(0, len(whole), TEXTS_AT_ONCE):
+                batch = whole.iloc[start : start + TEXTS_AT_ONCE]
+                marks = np.array([[s in set(g) for s in own.subjects] for g in batch["given"]], dtype=bool).reshape(-1, len(own.subjects))
+                total = tally(own.document_scores(Bag.of(batch["_wording"], spec)), marks)
+                yield pd.DataFrame({"place": np.arange(total.size), "n": total.ravel()})
+
+    counted = messages.select("_id", "_wording").join(given, "_id").mapInPandas(score, "place long, n long")
     counts = np.zeros(int(np.prod(shape)), dtype=np.int64)
-    for r in scored.join(given, "doc_id").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in counted.groupBy("place").agg(F.sum("n").alias("n")).collect():  # one row per cell of the tally
         counts[r["place"]] = r["n"]
     return counts.reshape(shape)
 
 
-def fit(documents: DataFrame, labels: DataFrame, areas: DataFrame, spec: SubjectSpec = DEFAULT) -> Model:
-    """Train on a bounded sample, calibrate on all labels: documents(doc_id, text), labels(doc_id, subject), areas(subject)."""
-    subjects = sorted({r["subject"].strip().lower() for r in areas.select("subject").collect() if r["subject"]})  # a fixed small table
-    usable = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(*subjects, NONE) & F.col("doc_id").isNotNull()).distinct()
-    place = lambda salt: F.pmod(F.xxhash64(F.lit(spec.seed + salt), "doc_id"), F.lit(1 << 40))
-    share = lambda wanted, there: int(min(1.0, wanted / max(1, there)) * (1 << 40))
-    n_labelled = usable.select("doc_id").distinct().count()
-    picked = usable.filter(place(0) < share(spec.labelled_docs, n_labelled)).limit(8 * spec.labelled_docs).collect()
-    given: dict[int, set[str]] = defaultdict(set)
-    for r in picked:
-        given[r["doc_id"]].add(r["subject"])
-    known = documents.sparkSession.createDataFrame([(int(i),) for i in sorted(given)], "doc_id long")  # at most labelled_docs and chance
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hand = base.join(F.broadcast(known), "doc_id", "left_semi").mapInPandas(_wording, _SAMPLE).limit(4 * spec.labelled_docs).collect()
-    weak = base.filter(place(1) < share(spec.weak_docs, documents.count())).mapInPandas(_wording, _SAMPLE).limit(2 * spec.weak_docs).collect()
-    labelled = [(r["wording"], given[r["doc_id"]] - {NONE}) for r in sorted(hand, key=lambda r: (r["doc_id"], r["wording"]))]
-    unlabelled = [(r["wording"], r["line"]) for r in sorted(weak, key=lambda r: (r["doc_id"] or 0, r["wording"])) if r["doc_id"] not in given]
-    if n_labelled <= spec.labelled_docs:
-        return train(labelled, unlabelled, subjects, spec)
-    rest = usable.filter(place(0) >= share(spec.labelled_docs, n_labelled)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_set("subject").alias("given"))
-    return train(labelled, unlabelled, subjects, spec, lambda model: _outside(base, rest, spec, model))
-
-
-def assign(documents: DataFrame, text: str, model: Model, spec: SubjectSpec = DEFAULT) -> DataFrame:
-    """All columns but the text, and `subjects`, an array that may be empty."""
-    keep = [f for f in documents.schema.fields if f.name not in (text, "subjects")]
+def fit(messages: DataFrame, labels: DataFrame, areas: DataFrame, spec: SubjectSpec = DEFAULT, key: str = "doc_id", subject: str = "subject") -> Model:
+    """Train on bounded samples, calibrate on all labels: messages of `parsed`, labels(key, subject), areas(subject)."""
+    spark = messages.sparkSession
+    subjects = sorted({r[0].strip().lower() for r in areas.select(subject).distinct().collect() if r[0]})  # a fixed small table
+    usable = labels.select(F.col(key).cast("long").alias("_id"), F.lower(F.trim(subject)).alias("_subject")).filter(F.col("_subject").isin(*subjects, NONE) & F.col("_id").isNotNull())
+    given = cut(usable.groupBy("_id").agg(F.array_sort(F.collect_set("_subject")).alias("given")))
+    picked = cut(given.orderBy(_place(spec, 0), "_id").limit(spec.labelled_docs))
+    hand = messages.select("_id", "_wording", "_path").join(F.broadcast(picked), "_id")  # at most labelled_docs
+    once = hand.groupBy("_id").agg(F.min(F.struct("given", "_wording", "_path")).alias("r")).select("_id", "r.*")
+    hashed_rows = cut(once).select("_id", "_wording", "_path").mapInPandas(_hash_features(spec), _FEATURES).join(picked, "_id")
+    rows = sorted(hashed_rows.collect(), key=lambda r: r["_id"])  # at most labelled_docs
+    marks = np.array([[s in r["given"] for s in subjects] for r in rows], dtype=np.float32).reshape(len(rows), len(subjects))
+    sample = Sample(Bag.of_features((r["sizes"], r["grams"]) for r in rows), marks, np.ones(len(rows), dtype=bool))
+    rest = given.join(F.broadcast(picked.select("_id")), "_id", "left_anti")
+    return train(sample, [r["_path"] for r in rows], subjects, spec, lambda m, p: _weak_sample(messages, given, spec, m, p), lambda m: _outside(messages, rest, spec, m), spark)
+
+
+def assign(messages: DataFrame, model: Model, spec: SubjectSpec = DEFAULT) -> DataFrame:
+    """All columns of the documents but the text, and `subjects`, an array that may be empty."""
+    keep = [f for f in messages.schema.fields if f.name not in {n for n, _, _ in _PARSED} and f.name != "subjects"]
     schema = T.StructType([*keep, T.StructField("subjects", T.ArrayType(T.StringType()))])
-    sent = documents.sparkSession.sparkContext.broadcast((model.subjects, model.weights, model.thresholds))  # 2**bits rows, fixed
-
+    sent = messages.sparkSession.sparkContext.broadcast((model.subjects, model.weights, model.thresholds))  # 2**bits rows, fixed
     names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):  # so many texts at once
-                batch = whole.slice(start, 512)
-                bag = Bag.of((own_wording(t) for t in batch.column(whole.schema.names.index(text)).to_pylist()), spec)
+            at = {n: i for i, n in enumerate(whole.schema.names)}
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(start, TEXTS_AT_ONCE)
+                bag = Bag.of(batch.column(at["_wording"]).to_pylist(), spec)
                 found = chosen(own, own.document_scores(bag), spec.most_subjects)
-                kept = [batch.column(whole.schema.names.index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.string()))], names=[*names, "subjects"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in names), pa.array(found, pa.list_(pa.string()))], names=[*names, "subjects"])
 
-    return documents.mapInArrow(run, schema)
+    return messages.select(*(F.col(f"`{n}`") for n in names), "_wording").mapInArrow(run, schema)
