@@ -105,10 +105,10 @@ class Bag:
     @staticmethod
     def of_features(found: Iterable[tuple[Iterable[int], Iterable[int]]]) -> Bag:
         found = list(found)
-        sizes = [np.asarray(s, dtype=np.int64) for s, _ in found] or [np.zeros(0, dtype=np.int64)]
-        grams = [np.asarray(g, dtype=np.int64) for _, g in found] or [np.zeros(0, dtype=np.int64)]
-        every = np.concatenate(sizes)
-        return Bag(np.repeat(np.arange(len(sizes)), [len(s) for s in sizes]), np.repeat(np.arange(len(every)), every), np.concatenate(grams), len(found))
+        whole = lambda parts: np.concatenate([np.asarray(p, dtype=np.int32) for p in parts] or [np.zeros(0, dtype=np.int32)])
+        sizes = whole(s for s, _ in found)
+        document = np.repeat(np.arange(len(found), dtype=np.int32), [len(s) for s, _ in found])
+        return Bag(document, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), whole(g for _, g in found), len(found))
 
     @staticmethod
     def of(texts: Iterable[str | None], spec: SubjectSpec) -> Bag:
@@ -117,7 +117,7 @@ class Bag:
     def only(self, documents: np.ndarray) -> Bag:
         """The part of the documents that are true in a mask; they keep their numbers."""
         kept = documents[self.document]
-        number = np.cumsum(kept) - 1
+        number = (np.cumsum(kept) - 1).astype(np.int32)
         pairs = kept[self.row] if len(self.row) else np.zeros(0, dtype=bool)
         return Bag(self.document[kept], number[self.row[pairs]], self.gram[pairs], self.documents)
 
@@ -146,34 +146,36 @@ class Model:
 
 
 def _fit(bag: Bag, targets: np.ndarray, start: np.ndarray, used: np.ndarray, spec: SubjectSpec) -> np.ndarray:
-    """Independent logistic regressions on soft targets, by Adam, from `start`."""
-    known = np.full(start.shape[0], -1, dtype=np.int64)
-    known[used] = np.arange(len(used))
-    pairs = known[bag.gram] >= 0
-    row, col = bag.row[pairs], known[bag.gram[pairs]]
+    """Independent logistic regressions on soft targets, by Adam, from `start`: the weights of the used n-grams and the bias, a column per subject."""
     n = len(bag.document)
-    w = np.vstack([start[used], start[-1:]]).astype(np.float32)
-    by_col = np.argsort(col, kind="stable")
-    col_sorted, row_of_col = col[by_col], row[by_col]
+    known = np.full((1 << spec.bits) + 1, -1, dtype=np.int32)
+    known[used] = np.arange(len(used), dtype=np.int32)
+    col = known[bag.gram]
+    kept = col >= 0
+    col, row = col[kept], bag.row[kept]
+    out = np.vstack([start[used], start[-1:]]).astype(np.float32)
     if not len(row):
-        return start
-    col_starts = np.flatnonzero(np.r_[True, col_sorted[1:] != col_sorted[:-1]])
+        return out
+    row_of_col = row[np.argsort(col, kind="stable")]
+    col_starts = np.r_[0, np.cumsum(np.bincount(col, minlength=len(used)))[:-1]]  # every used n-gram occurs
     row_starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    cols, rows = col_sorted[col_starts], row[row_starts]
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, spec.steps + 1):
-        z = np.tile(w[-1], (n, 1))
-        z[rows] += np.add.reduceat(w[col], row_starts, axis=0)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - targets).astype(np.float32)
-        gradient = spec.ridge * w
-        gradient[-1] = error.sum(axis=0)
-        gradient[cols] += np.add.reduceat(error[row_of_col], col_starts, axis=0)
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.99 * second + 0.01 * gradient**2
-        pace = 0.15 if step < 0.6 * spec.steps else 0.05
-        w -= pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-    out = start.copy()
-    out[used], out[-1] = w[:-1], w[-1]
+    rows = row[row_starts]
+    z = np.empty(n, dtype=np.float32)
+    for s in range(out.shape[1]):
+        w, target = out[:, s].copy(), targets[:, s]
+        first, second = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, spec.steps + 1):
+            z[:] = w[-1]
+            z[rows] += np.add.reduceat(w[col], row_starts)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target).astype(np.float32)
+            gradient = spec.ridge * w
+            gradient[-1] = error.sum()
+            gradient[:-1] += np.add.reduceat(error[row_of_col], col_starts)
+            first = 0.9 * first + 0.1 * gradient
+            second = 0.99 * second + 0.01 * gradient**2
+            pace = 0.15 if step < 0.6 * spec.steps else 0.05
+            w -= pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        out[:, s] = w
     return out
 
 
@@ -237,7 +239,7 @@ class Sample:
 
     def join(self, other: Sample) -> Sample:
         a, b = self.bag, other.bag
-        bag = Bag(np.r_[a.document, b.document + a.documents], np.r_[a.row, b.row + len(a.document)], np.r_[a.gram, b.gram], a.documents + b.documents)
+        bag = Bag(np.r_[a.document, b.document + np.int32(a.documents)], np.r_[a.row, b.row + np.int32(len(a.document))], np.r_[a.gram, b.gram], a.documents + b.documents)
         return Sample(bag, np.vstack([self.labels, other.labels]), np.r_[self.hand, other.hand])
 
 
@@ -296,15 +298,15 @@ def learn(sample: Sample, parts: list[np.ndarray], starts: list[np.ndarray | Non
         else:
             targets.append(_shared_out(Model([], start).sentence_scores(bag), ok))
         weights.append(start)
-    fixed = _Sent(spark, (bags, used))
+    fixed = _Sent(spark, (sample.bag, parts, used))
     for at in range(rounds):
         now = _Sent(spark, (weights, targets))
 
         def work(i: int, now: _Sent = now) -> np.ndarray:
             part, group = divmod(i, len(groups))
-            (its_bags, its_used), (its_weights, its_targets) = fixed.value, now.value
+            (bag, its_parts, its_used), (its_weights, its_targets) = fixed.value, now.value
             picked = groups[group]
-            return _fit(its_bags[part], its_targets[part][:, picked], its_weights[part][:, picked], its_used[part], spec)[np.r_[its_used[part], size - 1]].ravel()
+            return _fit(bag.only(its_parts[part]), its_targets[part][:, picked], its_weights[part][:, picked], its_used[part], spec).ravel()
 
         made = run(len(parts) * len(groups), work)
         now.drop()
