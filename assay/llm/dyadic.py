@@ -8,9 +8,9 @@ rows of `width` signed counters, an interval's count being the median of its sig
 linear: those of partitions, days or loads are merged by addition, and rows are deleted by adding weight -1.
 A rank is inverted by descending from the coarse level, at each step into the left or right half.
 
-Bounds: the value's relative error is at most 2**-mantissa_bits; the rank's error is random with a standard deviation of
-the root of the levels' second moments over the width (counters of other intervals that share a cell), see `rank_slack`. The size of a
-sketch is fixed by its `SketchSpec`, whatever it has counted.
+Bounds: the value's relative error is at most 2**-mantissa_bits; the rank's error is random, with a standard deviation that `invert` adds up
+over the levels it descends (counters of other intervals that share a cell), and never leaves the exactly counted interval it starts from. The
+size of a sketch is fixed by its `SketchSpec`, whatever it has counted.
 
 Hot groups: rows are first counted by (group, code) with map-side partial aggregation; a code space is finite, so
 however large a group is, at most `spec.universe` rows of it reach the one task that packs its sketch.
@@ -28,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.operators.ranks import running_sum
 from assay.session import cut
 
 
@@ -67,12 +68,8 @@ class SketchSpec:
 DEFAULT = SketchSpec()
 
 
-def rank_slack(sketches: np.ndarray, spec: SketchSpec, sigmas: float) -> np.ndarray:
-    """How many ranks an inverted rank may be off. Each sketched level errs by about the root of its second
-    moment over the width; the moment is read off the sketch itself, as the median of its rows' sums of squares."""
-    table = sketches[:, spec.exact_cells :].astype(np.float64).reshape(len(sketches), spec.levels, spec.depth, spec.width)
-    moments = np.median((table**2).sum(axis=3), axis=2)
-    return sigmas * np.sqrt(moments.sum(axis=1) / spec.width)
+#: Fixed value: the variance of the median of three equal normal variables in units of theirs.
+MEDIAN_OF_THREE = 0.4487
 
 
 def code_column(value: Column, spec: SketchSpec = DEFAULT) -> Column:
@@ -154,8 +151,18 @@ def estimate(sketches: np.ndarray, prefix: np.ndarray, level: int, spec: SketchS
     return np.median(np.stack(found), axis=0)
 
 
-def invert(sketches: np.ndarray, ranks: np.ndarray, spec: SketchSpec = DEFAULT) -> np.ndarray:
-    """The code at a rank (from 0) of each sketch, by descending the levels."""
+def moments(sketches: np.ndarray, spec: SketchSpec = DEFAULT) -> np.ndarray:
+    """(sketch, level): the sum of the squared counts of a level's intervals, read off the sketch as the median of its rows' sums of squares."""
+    table = sketches[:, spec.exact_cells :].astype(np.float64).reshape(len(sketches), spec.levels, spec.depth, spec.width)
+    return np.median((table**2).sum(axis=3), axis=2)
+
+
+def invert(sketches: np.ndarray, ranks: np.ndarray, spec: SketchSpec = DEFAULT, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The code at a rank (from 0) of each sketch, by descending the levels, and the standard deviation of the rank's error on that way.
+
+    A counter errs by the other intervals that share its cell: by the level's second moment (`known`, of `moments`) less the squares of the two halves looked at,
+    over the width. Each half is the median of `depth` counters, and both together give the split, which halves the variance. No split errs by more than what the interval holds."""
+    known = moments(sketches, spec) if known is None else known
     exact = sketches[:, : spec.exact_cells]
     below = np.cumsum(exact, axis=1)
     prefix = (below <= ranks[:, None]).sum(axis=1)
@@ -163,17 +170,21 @@ def invert(sketches: np.ndarray, ranks: np.ndarray, spec: SketchSpec = DEFAULT)
     rows = np.arange(len(sketches))
     held = exact[rows, prefix].astype(np.float64)
     left_over = ranks - (below[rows, prefix] - held)
+    variance = np.zeros(len(sketches))
+    of_median = MEDIAN_OF_THREE if spec.depth >= 3 else 1.0
     for level in range(spec.levels):
         left = prefix * 2
         count = np.clip(estimate(sketches, left, level, spec), 0, held)
         other = np.clip(estimate(sketches, left + 1, level, spec), 0, held)
+        noise = np.maximum(known[:, level] - count**2 - other**2, 0) / spec.width * of_median / 2
+        variance += np.minimum(noise, held**2)
         # The halves must add up to what the interval holds: share the disagreement.
         count = np.clip((count + (held - other)) / 2, 0, held)
         right = left_over >= count
         prefix = np.where(right, left + 1, left)
         left_over = np.where(right, left_over - count, left_over)
         held = np.where(right, held - count, count)
-    return np.minimum(prefix, spec.universe - 1)
+    return np.minimum(prefix, spec.universe - 1), np.sqrt(variance)
 
 
 FEW_CODES = 1024  # a sketch of so few distinct codes is stored as the codes it is made of
@@ -358,7 +369,7 @@ def coarse_bounds(sketches: np.ndarray, low_ranks: np.ndarray, high_ranks: np.nd
 def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float = 4.0, spec: SketchSpec = DEFAULT, certain: bool = False) -> DataFrame:
     """Adds, for each probability p (as per mille in the name: p500 for the median), `p.._low`, `p..` and `p.._high`:
     the estimate and a bracket that holds the true value unless the rank errs by more than `sigmas` standard deviations.
-    With `certain` also `p.._least` and `p.._most`, wider bounds of the interpolated percentile that always hold."""
+    With `certain` also `p.._least` and `p.._most`, wider bounds of the interpolated percentile that always hold; brackets never reach beyond them."""
     names = [f"p{round(p * 1000):03d}" for p in probabilities]
     kept = [f for f in sketches.schema.fields if f.name != "sketch"]
     all_ends = ("_low", "", "_high", *(("_least", "_most") if certain else ()))
@@ -369,21 +380,24 @@ def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float =
             for start in range(0, len(whole), 256):  # so many unpacked sketches at once
                 batch = whole.iloc[start : start + 256]
                 table = np.stack([unpack(d, spec) for d in batch["sketch"]])
+                known = moments(table, spec)
                 n = batch["n"].to_numpy(np.float64)
                 last = np.maximum(n - 1, 0)
-                slack = rank_slack(table, spec, sigmas) + 1
                 out = {f.name: batch[f.name] for f in kept}
                 least, most = batch["least"].to_numpy(float), batch["most"].to_numpy(float)
                 for p, name in zip(probabilities, names, strict=True):
                     at = p * last
-                    low = code_low(invert(table, np.clip(np.floor(at - slack), 0, last), spec), spec)
-                    high = code_high(invert(table, np.clip(np.ceil(at + slack), 0, last), spec), spec)
-                    code = invert(table, np.clip(np.round(at), 0, last), spec)
+                    code, deviation = invert(table, np.clip(np.round(at), 0, last), spec, known)
+                    slack = sigmas * deviation + 1
+                    low = code_low(invert(table, np.clip(np.floor(at - slack), 0, last), spec, known)[0], spec)
+                    high = code_high(invert(table, np.clip(np.ceil(at + slack), 0, last), spec, known)[0], spec)
+                    low, high = np.where(at - slack <= 0, least, low), np.where(at + slack >= last, most, high)
+                    bounds = coarse_bounds(table, np.floor(at), np.ceil(at), spec)
+                    low, high = np.maximum(low, bounds[0]), np.minimum(high, bounds[1])
                     top = code_high(code, spec)
                     middle = np.where(np.isinf(top), most, (code_low(code, spec) + top) / 2)
-                    sides = {"_low": np.where(at - slack <= 0, least, np.clip(low, least, most)), "": np.clip(middle, least, most), "_high": np.where(at + slack >= last, most, np.clip(high, least, most))}
+                    sides = {"_low": np.clip(low, least, most), "": np.clip(middle, least, most), "_high": np.clip(high, least, most)}
                     if certain:
-                        bounds = coarse_bounds(table, np.floor(at), np.ceil(at), spec)
                         sides |= {"_least": np.clip(bounds[0], least, most), "_most": np.clip(bounds[1], least, most)}
                     for end, v in sides.items():
                         out[name + end] = np.where(n > 0, v, np.nan)
@@ -393,28 +407,45 @@ def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float =
     return sketches.mapInPandas(run, schema)
 
 
+BROADCAST_ROWS = 100_000  # a table of more rows is joined by a shuffle instead
+
+
+def _few_or_shuffled(df: DataFrame) -> DataFrame:
+    """A written table as the small side of a join: sent to all executors only if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _same(keys: list[str], prefix: str = "_k") -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return same
+
+
 def _bracketed(df: DataFrame, keys: list[str], value: str, brackets: DataFrame, probabilities: list[float]) -> DataFrame:
-    """Percentiles by counting: null where a bracket misses its ranks."""
+    """Percentiles by counting: null where a bracket misses its ranks.
+
+    The brackets meet the rows before anything is shuffled: rows above a bracket go, those below it become a single count per task, and only values inside are
+    grouped. Their running counts are taken range by range, so a group of any size is no single task's."""
     names = [f"p{round(p * 1000):03d}" for p in probabilities]
     number = F.col(value).cast("double")
-    known = df.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")))
-    ends = [f"{n}{e}" for n in names for e in ("_low", "_high")]
-    wanted = brackets.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *ends, F.col("n").alias("_n"))
-    counts = known.select(*keys, number.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    joined = counts.join(wanted, same).drop(*(f"_k{i}" for i in range(len(keys))))
-    asked = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p"), F.col(f"{n}_low").alias("low"), F.col(f"{n}_high").alias("high")) for n, p in zip(names, probabilities, strict=True)))
-    tall = joined.select(*keys, "_v", "_c", "_n", F.explode(asked).alias("q")).select(*keys, "_v", "_c", "_n", "q.*").filter(F.col("_v") <= F.col("high"))
-    # What lies below a bracket is one row from here on.
-    place = F.when(F.col("_v") >= F.col("low"), F.col("_v"))
-    inside = tall.select(*keys, "_n", "name", "p", place.alias("_v"), "_c").groupBy(*keys, "_n", "name", "p", "_v").agg(F.sum("_c").alias("_c"))
-    up_to = F.sum("_c").over(Window.partitionBy(*keys, "name").orderBy(F.col("_v").asc_nulls_first()))
-    at = F.col("p") * (F.col("_n") - 1)
+    known = df.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).select(*keys, number.alias("_v"))
+    asked = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_low").alias("low"), F.col(f"{n}_high").alias("high")) for n in names))
+    wanted = brackets.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), asked.alias("_asked"))
+    tall = known.join(_few_or_shuffled(wanted), _same(keys)).select(*keys, "_v", F.explode("_asked").alias("q")).filter(F.col("_v") <= F.col("q.high"))
+    place = F.when(F.col("_v") >= F.col("q.low"), F.col("_v"))  # null for what lies below
+    inside = tall.select(*keys, F.col("q.name").alias("name"), place.alias("_v")).groupBy(*keys, "name", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = [*keys, "name", "_v"]
+    placed = running_sum(inside, order, "_c", "_before")
+    by = [*keys, "name"]
+    base = placed.groupBy(*by).agg(F.min("_before").alias("_base"))
+    ranks = brackets.select(*keys, F.col("n").alias("_n"), F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.lit(float(p)).alias("p")) for x, p in zip(names, probabilities, strict=True)))).alias("q"))
+    ranks = ranks.select(*keys, "_n", "q.name", (F.col("q.p") * (F.col("_n") - 1)).alias("_at"))
+    based = cut(ranks.join(base.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_base"), _same(by)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_n", "_at", "_base"))
+    joined = placed.join(_few_or_shuffled(based), _same(by)).withColumn("_up", F.col("_before") + F.col("_c") - F.col("_base"))
     pick = lambda rank: F.min(F.when(F.col("_up") > rank, F.struct("_up", "_v")))
-    found = inside.withColumn("_up", up_to).groupBy(*keys, "_n", "name", "p").agg(pick(F.floor(at)).alias("lo"), pick(F.ceil(at)).alias("hi"))
-    between = F.col("lo._v") + (F.col("hi._v") - F.col("lo._v")) * (at - F.floor(at))
+    found = joined.groupBy(*by, "_n", "_at").agg(pick(F.floor("_at")).alias("lo"), pick(F.ceil("_at")).alias("hi"))
+    between = F.col("lo._v") + (F.col("hi._v") - F.col("lo._v")) * (F.col("_at") - F.floor("_at"))
     return found.select(*keys, F.col("_n").alias("n"), "name", between.alias("percentile"))
 
 
@@ -423,7 +454,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, brackets: Data
     keys, n, `name` (p500 for the median) and `percentile`.
 
     Rows below a bracket are only counted and those inside are looked at by value, so no group's rows are ever
-    gathered. A bracket that turns out to miss its ranks is widened to the whole group, so no result depends on luck."""
+    gathered. A bracket that turns out to miss its ranks is widened to the whole group, so the result doesn't depend on the brackets."""
     ends = [f"p{round(p * 1000):03d}{e}" for p in probabilities for e in ("_low", "_high")]
     names = [f"p{round(p * 1000):03d}" for p in probabilities]
     brackets = cut(brackets)  # used twice; one row per group
@@ -431,11 +462,8 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, brackets: Data
 
     def left_out(of: DataFrame, present: DataFrame, by: list[str]) -> DataFrame:
         """Rows of `of` whose keys are not present; null keys are equal."""
-        there = present.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by))).distinct()
-        same = F.lit(True)
-        for i, k in enumerate(by):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return of.join(there, same, "left_anti")
+        there = cut(present.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by))).distinct())
+        return of.join(_few_or_shuffled(there), _same(by), "left_anti")
 
     asked = brackets.select(*keys, "n", F.explode(F.array(*(F.lit(n) for n in names))).alias("name"))
     missed = cut(left_out(asked, found, [*keys, "name"]).select(*keys, "n").distinct())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import collide, dyadic, packing, subjects, tokens
-from assay.session import ship
+from assay.session import cut, ship
 from assay.sources.tables import table
 
 QUERIES: dict = {}
@@ -36,15 +36,16 @@ def _amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups whose 95th percentile is at least four times the median: the cells that the sketch counts
-    exactly bound both for certain and leave the groups for which that can be true; only those are counted, inside the sketch's narrower brackets."""
+    """Groups whose 95th percentile is at least four times the median, by the inverted sketches: their certain bounds decide a group either way
+    unless four medians lie between the bounds of the 95th percentile; those few groups are decided by exact counts inside the sketches' brackets."""
     ship(spark)
     rows = _amounts(spark, sf)
-    sketched = dyadic.percentiles(dyadic.build(rows, GROUP, "credit_amount"), [0.5, 0.95], certain=True)
-    possible = sketched.filter((F.col("n") >= 60) & (F.col("p950_most") >= 4 * F.col("p500_least")))
-    exact = dyadic.exact_percentiles(rows, GROUP, "credit_amount", possible, [0.5, 0.95])
+    sketched = cut(dyadic.percentiles(dyadic.build(rows, GROUP, "credit_amount"), [0.5, 0.95], certain=True).filter(F.col("n") >= 60))
+    sure = F.col("p950_least") >= 4 * F.col("p500_most")
+    open_yet = cut(sketched.filter(~sure & (F.col("p950_most") >= 4 * F.col("p500_least"))))
+    exact = dyadic.exact_percentiles(rows, GROUP, "credit_amount", open_yet, [0.5, 0.95])
     both = exact.groupBy(*GROUP).agg(F.max(F.when(F.col("name") == "p500", F.col("percentile"))).alias("median"), F.max(F.when(F.col("name") == "p950", F.col("percentile"))).alias("top"))
-    return both.filter(F.col("top") >= 4 * F.col("median")).select(*GROUP)
+    return sketched.filter(sure).select(*GROUP).unionByName(both.filter(F.col("top") >= 4 * F.col("median")).select(*GROUP))
 
 
 @query
@@ -62,12 +63,25 @@ def p5_daily_merged(spark: SparkSession, sf: str) -> DataFrame:
     return dyadic.percentiles(dyadic.merge(daily, GROUP), PERCENTILES)
 
 
-SQL["p5_found"] = r"""
-SELECT dataset, sex, age_band FROM (
+@query
+def p5_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Each group's percentiles by exact counts, and whether the sketch's bracket holds them and its estimate is within the code's relative width of a value of the bracket's rank."""
+    ship(spark)
+    rows = _amounts(spark, sf)
+    sketched = cut(dyadic.percentiles(dyadic.build(rows, GROUP, "credit_amount"), PERCENTILES))
+    exact = dyadic.exact_percentiles(rows, GROUP, "credit_amount", sketched, PERCENTILES)
+    sides = F.array(*(F.struct(F.lit(f"p{round(p * 1000):03d}").alias("name"), F.col(f"p{round(p * 1000):03d}_low").alias("low"), F.col(f"p{round(p * 1000):03d}").alias("mid"), F.col(f"p{round(p * 1000):03d}_high").alias("high")) for p in PERCENTILES))
+    tall = sketched.select(*GROUP, F.explode(sides).alias("s")).select(*GROUP, "s.*")
+    holds = F.col("percentile").between(F.col("low"), F.col("high")) & F.col("mid").between(F.col("low"), F.col("high"))
+    return exact.join(tall, [*GROUP, "name"]).select(*GROUP, "n", "name", F.round("percentile", 6).alias("percentile"), holds.alias("bracket_holds"))
+
+
+_COUNTED = r"""(
   SELECT dataset, lower(regexp_replace(sex, '^\s+|\s+$', '', 'g')) AS sex, CASE WHEN age < 40 THEN 'under_40' WHEN age >= 40 AND NOT isnan(age) THEN '40_plus' END AS age_band, credit_amount
   FROM real_credit WHERE credit_amount IS NOT NULL AND NOT isnan(credit_amount) AND credit_amount > 0)
-WHERE sex IN ('male', 'female') AND age_band IS NOT NULL
-GROUP BY ALL HAVING count(*) >= 60 AND quantile_cont(credit_amount, 0.95) >= 4 * quantile_cont(credit_amount, 0.5)"""
+WHERE sex IN ('male', 'female') AND age_band IS NOT NULL"""
+SQL["p5_checked"] = " UNION ALL ".join(f"SELECT dataset, sex, age_band, count(*) AS n, 'p{round(p * 1000):03d}' AS name, round(quantile_cont(credit_amount, {p}), 6) AS percentile, true AS bracket_holds FROM {_COUNTED} GROUP BY ALL" for p in PERCENTILES)
+SQL["p5_found"] = f"SELECT dataset, sex, age_band FROM {_COUNTED} GROUP BY ALL HAVING count(*) >= 60 AND quantile_cont(credit_amount, 0.95) >= 4 * quantile_cont(credit_amount, 0.5)"
 
 # ---------------------------------------------------------------- p1: similar vectors
 

@@ -51,18 +51,50 @@ def test_days_add_up_to_the_whole_and_deletions_undo(spark):
     assert everything.first().n == len(data)
 
 
-def test_exact_percentiles_and_a_bracket_that_misses(spark):
+def test_exact_percentiles_and_brackets_that_miss(spark):
+    """Also of the group that holds half of all rows, which is then ordered whole, range by range."""
     data, df = rows(spark, 3000)
     sketched = dyadic.percentiles(dyadic.build(df, ["g"], "v"), [0.5, 0.95])
-    wrong = sketched.withColumn("p500_low", F.when(F.col("g") == "g1", F.lit(0.0)).otherwise(F.col("p500_low"))).withColumn("p500_high", F.when(F.col("g") == "g1", F.lit(1.0)).otherwise(F.col("p500_high")))
-    wrong = wrong.withColumn("p950_low", F.when(F.col("g") == "g2", F.lit(1e9)).otherwise(F.col("p950_low"))).withColumn("p950_high", F.when(F.col("g") == "g2", F.lit(1e9)).otherwise(F.col("p950_high")))
-    got = {(r.g, r["name"]): r.percentile for r in dyadic.exact_percentiles(df, ["g"], "v", wrong, [0.5, 0.95]).collect()}
+    wrong = {"p500_low": 0.0, "p500_high": 1.0, "p950_low": 1e9, "p950_high": 1e9}
+    poor = sketched.withColumns({c: F.when(F.col("g").isin("hot", "g1") if c < "p9" else F.col("g") == "g2", F.lit(v)).otherwise(F.col(c)) for c, v in wrong.items()})
+    got = {(r.g, r["name"]): r.percentile for r in dyadic.exact_percentiles(df, ["g"], "v", poor, [0.5, 0.95]).collect()}
     groups = {g for g, _, _ in data}
     assert set(got) == {(g, n) for g in groups for n in ("p500", "p950")}
     for (g, name), value in got.items():
         assert value == pytest.approx(np.percentile([v for h, _, v in data if h == g], int(name[1:]) / 10), rel=1e-12)
 
 
+def test_only_rows_inside_brackets_are_shuffled(spark):
+    _, df = rows(spark, 3000)
+    brackets = dyadic.percentiles(dyadic.build(df, ["g"], "v"), [0.5])
+    plan = dyadic._bracketed(df, ["g"], "v", dyadic.cut(brackets), [0.5])
+    assert plan.count() == 6 and "CartesianProduct" not in plan._jdf.queryExecution().toString()
+
+
+def test_many_brackets_are_joined_by_a_shuffle(spark, monkeypatch):
+    data, df = rows(spark, 2000)
+    df = df.withColumn("g", F.when(F.col("g") != "g3", F.col("g")))  # a null key too
+    monkeypatch.setattr(dyadic, "BROADCAST_ROWS", 0)
+    got = {r.g: r.percentile for r in dyadic.exact_percentiles(df, ["g"], "v", dyadic.percentiles(dyadic.build(df, ["g"], "v"), [0.5]), [0.5]).collect()}
+    for g, value in got.items():
+        assert value == pytest.approx(np.percentile([v for h, _, v in data if (None if h == "g3" else h) == g], 50), rel=1e-12)
+    assert len(got) == 6
+
+
+@pytest.mark.parametrize("shape", ["wide", "narrow", "lumps"])
+def test_rank_errors_stay_within_the_stated_deviation(shape):
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        codes = np.clip({"wide": rng.normal(50_000, 9000, 40_000), "narrow": rng.normal(50_000, 60, 40_000), "lumps": np.where(rng.random(40_000) < 0.5, rng.normal(40_000, 9, 40_000), rng.normal(60_000, 30, 40_000))}[shape], 0, SPEC.universe - 1).astype(int)
+        codes.sort()
+        sketch = dyadic.empty_sketch()
+        dyadic.add(sketch, *np.unique(codes, return_counts=True))
+        at = np.round(np.array([0.05, 0.25, 0.5, 0.75, 0.95]) * (len(codes) - 1))
+        found, deviation = dyadic.invert(np.repeat(sketch[None], 5, axis=0), at)
+        off = np.maximum(np.searchsorted(codes, found) - at, at - np.searchsorted(codes, found, "right"))
+        assert (off <= 4 * deviation + 1).all()
+
+
 def test_odd_values_null_keys_and_empty(spark):
     df = spark.createDataFrame([(None, 5.0), (None, math.nan), ("a", None), ("a", math.inf), ("b", 0.0), ("b", -3.0), ("b", -3.0)], "g string, v double")
     got = {r.g: (r.n, r.p500) for r in dyadic.percentiles(dyadic.build(df, ["g"], "v"), [0.5]).collect()}
