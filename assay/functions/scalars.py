@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
+def doubles(values: Iterable[float]) -> Column:
+    """A constant array, made of a single literal however long it is."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

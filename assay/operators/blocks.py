@@ -1,6 +1,8 @@
-"""Blocks of nearby vectors: split points fitted on a bounded sample, every vector assigned, queries routed by block ranges.
+"""Blocks of nearby vectors: split points fitted on a bounded sample, every vector assigned, queries routed down the tree of splits.
 
-The driver only ever sees the sample (at most `fit_rows` and chance) and one row of ranges per block (at most `max_blocks`).
+The driver only ever sees the sample (at most `fit_rows`) and one row of ranges per block (at most `max_blocks`, about 13 MB at eight projections), which is also
+all that is broadcast. Up to `block_rows` times `max_blocks` rows, 268 million by default, blocks keep their size; beyond that they grow with the data. The searches
+inside a block use sorted arrays or a tree of their own, so what a query costs then grows more slowly than its block.
 """
 
 from __future__ import annotations
@@ -10,13 +12,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.session import cut
 
 
+@dataclass(frozen=True)
+class BlockSpec:
+    block_rows: int = 4096
+    max_blocks: int = 65_536
+    fit_rows: int = 400_000
+    queries_per_task: int = 8192
+    seed: int = 3
+
+
+DEFAULT = BlockSpec()
+
+
 @dataclass(frozen=True)
 class Splits:
     """A tree of split points: at node i vectors whose coordinate on `axis[i]` is below `edge[i]` go to `left[i]`, others to
@@ -26,6 +40,12 @@ class Splits:
     edge: np.ndarray
     left: np.ndarray
 
+    @property
+    def leaves(self) -> np.ndarray:
+        """The node of each block."""
+        nodes = np.flatnonzero(self.axis < 0)
+        return nodes[np.argsort(self.left[nodes])]
+
     def block(self, vectors: np.ndarray) -> np.ndarray:
         node = np.zeros(len(vectors), dtype=np.int64)
         rows = np.arange(len(vectors))
@@ -36,6 +56,20 @@ class Splits:
             go_right = vectors[rows, np.maximum(self.axis[node], 0)] >= self.edge[node]
             node = np.where(inner, self.left[node] + go_right, node)
 
+    def meets(self, at: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, block) for every block that the window of half-width `reach` around a query may touch: one walk down the tree, both ways where the window lies across an edge."""
+        who, node = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
+        found_who, found_block = [], []
+        while len(who):
+            leaf = self.axis[node] < 0
+            found_who.append(who[leaf])
+            found_block.append(self.left[node[leaf]])
+            who, node = who[~leaf], node[~leaf]
+            on, edge = at[who, self.axis[node]], self.edge[node]
+            below, above = on - reach[who] < edge, on + reach[who] >= edge
+            who, node = np.r_[who[below], who[above]], np.r_[self.left[node[below]], self.left[node[above]] + 1]
+        return np.concatenate(found_who), np.concatenate(found_block)
+
 
 def fit_splits(sample: np.ndarray, blocks: int) -> Splits:
     """Halve the largest part on its widest coordinate until there are `blocks` parts or nothing is left to part."""
@@ -48,9 +82,11 @@ def fit_splits(sample: np.ndarray, blocks: int) -> Splits:
             if parts >= blocks or len(members) < 2:
                 continue
             part = sample[members]
-            widest = int(np.argmax(np.quantile(part, 0.95, axis=0) - np.quantile(part, 0.05, axis=0) + 1e-12 * np.ptp(part, axis=0)))
+            ordered = np.sort(part, axis=0)
+            last = len(members) - 1
+            widest = int(np.argmax(ordered[round(0.95 * last)] - ordered[round(0.05 * last)] + 1e-12 * (ordered[-1] - ordered[0])))
             values = part[:, widest]
-            middle = float(np.median(values))
+            middle = float(ordered[len(members) // 2, widest])
             if not (values < middle).any():  # half of the values or more are the least one
                 above = values[values > middle]
                 if not len(above):
@@ -70,14 +106,16 @@ def fit_splits(sample: np.ndarray, blocks: int) -> Splits:
     return Splits(axis_a, np.array(edges), left_a)
 
 
-def fit(rows: DataFrame, key: str, columns: list[str], project, block_rows: int, max_blocks: int, fit_rows: int, seed: int) -> Splits:
-    """Fit split points to `project`ed vectors of a sample drawn by a hash of the key."""
+def fit(rows: DataFrame, key: str, columns: list[str], project, spec: BlockSpec = DEFAULT) -> Splits:
+    """Fit split points to `project`ed vectors of the `fit_rows` rows of least hash."""
     total = rows.count()
-    share = min(1.0, fit_rows / max(1, total))
-    chance = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < int(share * (1 << 40))
-    sample = rows.filter(chance).select(*columns).limit(2 * fit_rows).toPandas().to_numpy(float).reshape(-1, len(columns))
-    blocks = int(np.clip(-(-total // block_rows), 1, max_blocks))
-    return fit_splits(project(sample), blocks) if len(sample) else Splits(np.array([-1]), np.array([0.0]), np.array([0]))
+    place = F.xxhash64(F.lit(spec.seed), key)
+    share = min(1.0, 1.2 * spec.fit_rows / max(1, total))
+    likely = rows if share == 1 else rows.filter(F.pmod(place, F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = likely.orderBy(F.pmod(place, F.lit(1 << 40)), key).select(*columns).limit(spec.fit_rows) if total > spec.fit_rows else rows.select(*columns)
+    vectors = sample.toPandas().to_numpy(float).reshape(-1, len(columns))
+    blocks = int(np.clip(-(-total // spec.block_rows), 1, spec.max_blocks))
+    return fit_splits(project(vectors), blocks) if len(vectors) else Splits(np.array([-1]), np.array([0.0]), np.array([0]))
 
 
 def assigned(rows: DataFrame, columns: list[str], splits: Splits, project) -> DataFrame:
@@ -92,39 +130,59 @@ def assigned(rows: DataFrame, columns: list[str], splits: Splits, project) -> Da
 
 @dataclass(frozen=True)
 class Ranges:
-    """Of each block its number of rows and the least and greatest value in each of some expressions."""
+    """Of each block its number of rows and the least and greatest value in each of some expressions; an empty block has none."""
 
-    block: np.ndarray
+    splits: Splits
     rows: np.ndarray
     low: np.ndarray
     high: np.ndarray
 
     @staticmethod
-    def of(placed: DataFrame, expressions: list[Column]) -> Ranges:
+    def of(placed: DataFrame, splits: Splits, expressions: list[Column]) -> Ranges:
         ends = [f(e).alias(f"{name}{i}") for i, e in enumerate(expressions) for name, f in (("lo", F.min), ("hi", F.max))]
-        known = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), *ends).toPandas().sort_values("_block")
-        take = lambda name: known[[f"{name}{i}" for i in range(len(expressions))]].to_numpy(float)
-        return Ranges(known["_block"].to_numpy(np.int64), known["n"].to_numpy(np.int64), take("lo"), take("hi"))
-
-    def touched(self, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """(query, block): whether the block's range meets the window of half-width `reach` in every expression."""
-        out = np.ones((len(at), len(self.block)), dtype=bool)
+        known = placed.groupBy("_block").agg(F.count(F.lit(1)).alias("n"), *ends).toPandas()  # at most max_blocks rows
+        n, at = len(splits.leaves), known["_block"].to_numpy(np.int64)
+        rows, low, high = np.zeros(n, dtype=np.int64), np.full((n, len(expressions)), np.inf), np.full((n, len(expressions)), -np.inf)
+        rows[at] = known["n"].to_numpy(np.int64)
+        for name, side in (("lo", low), ("hi", high)):
+            side[at] = known[[f"{name}{i}" for i in range(len(expressions))]].to_numpy(float)
+        return Ranges(splits, rows, low, high)
+
+    def part(self, expressions: slice) -> Ranges:
+        return Ranges(self.splits, self.rows, self.low[:, expressions], self.high[:, expressions])
+
+    def touch(self, who: np.ndarray, block: np.ndarray, at: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """For each (query, block) whether the block's range meets the window of half-width `reach` in every expression."""
+        out = np.ones(len(who), dtype=bool)
         for j in range(at.shape[1]):
-            out &= (self.low[:, j] <= at[:, j, None] + reach[:, None]) & (self.high[:, j] >= at[:, j, None] - reach[:, None])
+            out &= (self.low[block, j] <= at[who, j] + reach[who]) & (self.high[block, j] >= at[who, j] - reach[who])
         return out
 
-    def enough(self, vectors: np.ndarray, wanted: int) -> np.ndarray:
-        """A distance within which at least `wanted` rows lie, by the far corners of blocks; infinite if there are fewer rows."""
-        out = np.full(len(vectors), np.inf)
-        for s in range(0, len(vectors), 64):
-            q = vectors[s : s + 64, None, :]
-            far = np.sqrt((np.maximum(np.abs(q - self.low), np.abs(q - self.high)) ** 2).sum(axis=2))
-            order = np.argsort(far, axis=1)
-            full = np.cumsum(self.rows[order], axis=1) >= wanted
-            rows = np.arange(len(order))
-            if full.shape[1]:
-                out[s : s + 64] = np.where(full.any(axis=1), far[rows, order[rows, np.argmax(full, axis=1)]] * (1 + 1e-9) + 1e-9, np.inf)
-        return out
+    def boxes(self, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each block the corners of the smallest part of the tree around it that holds at least `wanted` rows; infinite where no part does."""
+        axis, left = self.splits.axis, self.splits.left
+        n, leaves = len(axis), self.splits.leaves
+        rows, low, high = np.zeros(n, dtype=np.int64), np.full((n, self.low.shape[1]), np.inf), np.full((n, self.low.shape[1]), -np.inf)
+        rows[leaves], low[leaves], high[leaves] = self.rows, self.low, self.high
+        inner = np.flatnonzero(axis >= 0)
+        depth = np.zeros(n, dtype=np.int64)
+        for i in inner:  # parents come before their parts
+            depth[left[i]] = depth[left[i] + 1] = depth[i] + 1
+        levels = [inner[depth[inner] == d] for d in range(int(depth[inner].max()) + 1)] if len(inner) else []
+        for level in reversed(levels):
+            a, b = left[level], left[level] + 1
+            rows[level], low[level], high[level] = rows[a] + rows[b], np.minimum(low[a], low[b]), np.maximum(high[a], high[b])
+        holder = np.where(rows >= wanted, np.arange(n), -1)
+        for level in levels:
+            for part in (left[level], left[level] + 1):
+                holder[part] = np.where(holder[part] >= 0, holder[part], holder[level])
+        at = holder[leaves]
+        return np.where(at[:, None] >= 0, low[at], -np.inf), np.where(at[:, None] >= 0, high[at], np.inf)
+
+
+def far_corner(vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The greatest distance from each vector to its box."""
+    return np.sqrt((np.maximum(np.abs(vectors - low), np.abs(vectors - high)) ** 2).sum(axis=1)) * (1 + 1e-9) + 1e-9
 
 
 def spread_over_copies(placed: DataFrame, visits: DataFrame, key: str, queries_per_task: int) -> tuple[DataFrame, DataFrame]:
@@ -136,73 +194,123 @@ def spread_over_copies(placed: DataFrame, visits: DataFrame, key: str, queries_p
     return points, wants
 
 
-def nearest_distance(points: DataFrame, queries: DataFrame, id_col: str, columns: list[str], exclude_same_id: bool, block_rows: int = 4096, max_blocks: int = 16384, fit_rows: int = 100_000, queries_per_task: int = 8192) -> DataFrame:
-    """The Euclidean distance of each query row to the nearest point, exactly: (id, distance).
-
-    A point with the query's own id is left out if `exclude_same_id`, never one at distance 0. Distances are sums of
-    squared differences, so an exact copy is at 0. Copies of one vector beyond the two of smallest id can't change a
-    result and are set aside map-side; queries are answered once per distinct vector and id.
-
-    Defined results: rows with a null, NaN or infinite coordinate or a null id take no part; a query without any other point has no row."""
-    from pyspark.sql import Window
-
-    kind = points.schema[id_col].dataType
-
-    def clean(df: DataFrame) -> DataFrame:
-        out = df.select(F.col(id_col).alias("_id"), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns))).filter(F.col("_id").isNotNull())
-        for i in range(len(columns)):
-            out = out.filter(F.col(f"_v{i}").isNotNull() & ~F.isnan(f"_v{i}") & (F.abs(f"_v{i}") != float("inf")))
+LEAF_ROWS = 48  # of the tree inside a block
+
+
+def nearest_in(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, other_id: np.ndarray) -> np.ndarray:
+    """The squared distance of each query to the nearest vector (of another id where `other_id`) of one block; infinite if none is found within `bound`.
+    A tree inside the block: each query meets its own leaf, then the leaves that its window touches."""
+    splits = fit_splits(vectors, max(1, len(vectors) // LEAF_ROWS))
+    leaf = splits.block(vectors)
+    order = np.argsort(leaf, kind="stable")
+    vectors, ids, leaf = vectors[order], ids[order], leaf[order]
+    starts = np.searchsorted(leaf, np.arange(len(splits.leaves) + 1))
+    best = np.full(len(queries), np.inf)
+
+    def meet(who: np.ndarray, where: np.ndarray) -> None:
+        if not len(who):
+            return
+        by = np.argsort(where, kind="stable")
+        who, where = who[by], where[by]
+        edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+        for a, b in zip(edges, edges[1:], strict=False):
+            rows = slice(starts[where[a]], starts[where[a] + 1])
+            for s in range(a, b, 4096):
+                some = who[s : min(b, s + 4096)]
+                d2 = np.zeros((len(some), rows.stop - rows.start))
+                for j in range(vectors.shape[1]):
+                    d2 += (queries[some, j, None] - vectors[None, rows, j]) ** 2
+                if other_id.any():
+                    d2[other_id[some, None] & (query_ids[some, None] == ids[None, rows])] = np.inf
+                if d2.shape[1]:
+                    best[some] = np.minimum(best[some], d2.min(axis=1))
+
+    home = splits.block(queries)
+    meet(np.arange(len(queries)), home)
+    reach = np.minimum(np.sqrt(best), bound) * (1 + 1e-9) + 1e-9
+    low = np.full((len(splits.leaves), vectors.shape[1]), np.inf)
+    high = np.full_like(low, -np.inf)
+    np.minimum.at(low, leaf, vectors)
+    np.maximum.at(high, leaf, vectors)
+    for s in range(0, len(queries), 4096):
+        who, where = splits.meets(queries[s : s + 4096], reach[s : s + 4096])
+        who = who + s
+        gap = np.maximum(np.maximum(low[where] - queries[who], queries[who] - high[where]), 0)
+        close = (where != home[who]) & ((gap**2).sum(axis=1) <= reach[who] ** 2)
+        meet(who[close], where[close])
+    return best
+
+
+class NearestIndex:
+    """The exact Euclidean distance of query rows to the nearest of a table's rows, by an index that is built once and asked any number of times.
+
+    Distances are sums of squared differences, so an exact copy is at 0. Copies of one vector beyond the two of smallest id can't change a
+    result and are set aside map-side.
+
+    Defined results: rows with a null, NaN or infinite coordinate or a null id take no part; a query without any other point has no row;
+    repeated query rows are each answered."""
+
+    def __init__(self, points: DataFrame, id_col: str, columns: list[str], spec: BlockSpec = DEFAULT) -> None:
+        self.id_col, self.columns, self.spec = id_col, columns, spec
+        self.v = [f"_v{i}" for i in range(len(columns))]
+        self.kind = points.schema[id_col].dataType
+        rows = self._clean(points).withColumn("_n", F.row_number().over(Window.partitionBy(*self.v).orderBy("_id"))).filter("_n <= 2").drop("_n")
+        rows = cut(rows)
+        self.splits = fit(rows, "_id", self.v, lambda x: x, spec)
+        self.placed = cut(assigned(rows, self.v, self.splits, lambda x: x))
+        self.ranges = Ranges.of(self.placed, self.splits, [F.col(c) for c in self.v])
+
+    def _clean(self, df: DataFrame, *more: Column) -> DataFrame:
+        out = df.select(F.col(self.id_col).alias("_id"), *more, *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(self.columns))).filter(F.col("_id").isNotNull())
+        for c in self.v:
+            out = out.filter(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
         return out
 
-    v = [f"_v{i}" for i in range(len(columns))]
-    same = lambda x: x
-    rows = clean(points).withColumn("_n", F.row_number().over(Window.partitionBy(*v).orderBy("_id"))).filter("_n <= 2").drop("_n")
-    rows = cut(rows)
-    splits = fit(rows, "_id", v, same, block_rows, max_blocks, fit_rows, 3)
-    placed = cut(assigned(rows, v, splits, same))
-    asked = cut(assigned(clean(queries).distinct(), v, splits, same))
-    ranges = Ranges.of(placed, [F.col(c) for c in v])
-    visit = T.StructType([T.StructField("_id", kind), *(T.StructField(c, T.DoubleType()) for c in v), T.StructField("_bound", T.DoubleType()), T.StructField("_block", T.IntegerType())])
-    found = T.StructType([T.StructField("_id", kind), *(T.StructField(c, T.DoubleType()) for c in v), T.StructField("d2", T.DoubleType())])
-
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(_bound=ranges.enough(batch[v].to_numpy(float), 2))[visit.names]
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s in range(0, len(batch), 256):
-                part = batch.iloc[s : s + 256]
-                hit = ranges.touched(part[v].to_numpy(float), part["_bound"].to_numpy(float) * (1 + 1e-9) + 1e-9)
-                hit &= ranges.block[None, :] != part["_block"].to_numpy(np.int64)[:, None]
-                who, where = np.nonzero(hit)
-                yield part.iloc[who].assign(_block=ranges.block[where].astype("int32"))[visit.names]
-
-    def probe(block: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(wants):
-            return pd.DataFrame({f.name: [] for f in found.fields})
-        vectors, ids, q = block[v].to_numpy(float), block["_id"].to_numpy(), wants[v].to_numpy(float)
-        best = np.empty(len(q))
-        for s in range(0, len(q), 128):
-            d2 = np.zeros((len(q[s : s + 128]), len(vectors)))
-            for j in range(len(v)):
-                d2 += (q[s : s + 128, j, None] - vectors[None, :, j]) ** 2
-            if exclude_same_id:
-                d2[wants["_id"].to_numpy()[s : s + 128, None] == ids[None, :]] = np.inf
-            best[s : s + 128] = d2.min(axis=1)
-        return wants.assign(d2=best)[found.names]
-
-    def searched(visits: DataFrame) -> DataFrame:
-        at, wants = spread_over_copies(placed, visits, "_id", queries_per_task)
-        return at.groupBy("_block", "_share").cogroup(wants.groupBy("_block", "_share")).applyInPandas(lambda _key, a, b: probe(a, b), found)
-
-    start = cut(asked.mapInPandas(home, visit))
-    first = cut(searched(start))
-    match = (F.col("a._id") == F.col("b._id")) & F.lit(True)
-    for c in v:
-        match = match & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    bounded = start.alias("a").join(first.alias("b"), match, "left").select("a._id", *(F.col(f"a.{c}").alias(c) for c in v), F.least("_bound", F.sqrt("d2")).alias("_bound"), "_block")
-    visits = cut(bounded.mapInPandas(route, visit))
-    every = first.unionByName(searched(visits)).groupBy("_id", *v).agg(F.min("d2").alias("d2")).filter(F.col("d2") != float("inf"))
-    asked_again = clean(queries)
-    return asked_again.join(every, ["_id", *v]).select(F.col("_id").alias(id_col), F.sqrt("d2").alias("distance"))
+    def nearest(self, queries: DataFrame, other_id: bool | str) -> DataFrame:
+        """(id, distance) of each query row; a point with the query's own id is left out if `other_id`, never one at distance 0 for that.
+        `other_id` may be the name of a boolean column that says so for each row, and is then kept."""
+        v, splits, ranges = self.v, self.splits, self.ranges
+        own = [("_id", self.kind), *((c, T.DoubleType()) for c in v), ("_skip", T.BooleanType()), ("_copies", T.LongType())]
+        visit = T.StructType([*(T.StructField(n, t) for n, t in own), T.StructField("_bound", T.DoubleType()), T.StructField("_block", T.IntegerType())])
+        found = T.StructType([*visit.fields, T.StructField("d2", T.DoubleType())])
+        low, high = ranges.boxes(2)
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                at = batch[v].to_numpy(float)
+                block = splits.block(at)
+                yield batch.assign(_bound=far_corner(at, low[block], high[block]), _block=block.astype("int32"))[visit.names]
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                at, reach, at_home = batch[v].to_numpy(float), batch["_bound"].to_numpy(float) * (1 + 1e-9) + 1e-9, batch["_block"].to_numpy(np.int64)
+                who, where = splits.meets(at, reach)
+                hit = (where != at_home[who]) & ranges.touch(who, where, at, reach)
+                yield batch.iloc[who[hit]].assign(_block=where[hit].astype("int32"))[visit.names]
+
+        def probe(_key: tuple, block: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
+            if not len(wants):
+                return pd.DataFrame({f.name: [] for f in found.fields})
+            best = np.full(len(wants), np.inf)
+            if len(block):
+                best = nearest_in(block[v].to_numpy(float), block["_id"].to_numpy(), wants[v].to_numpy(float), wants["_id"].to_numpy(), wants["_bound"].to_numpy(float), wants["_skip"].to_numpy(bool))
+            return wants.assign(d2=best)[found.names]
+
+        def searched(visits: DataFrame) -> DataFrame:
+            at, wants = spread_over_copies(self.placed, visits, "_id", self.spec.queries_per_task)
+            return at.groupBy("_block", "_share").cogroup(wants.groupBy("_block", "_share")).applyInPandas(probe, found)
+
+        skip = F.col(other_id) if isinstance(other_id, str) else F.lit(other_id)
+        names = [n for n, _ in own]
+        asked = self._clean(queries, skip.alias("_skip")).groupBy(*names[:-1]).agg(F.count(F.lit(1)).alias("_copies"))
+        first = cut(searched(cut(asked.select(*names).mapInPandas(home, visit))))
+        visits = cut(first.withColumn("_bound", F.least("_bound", F.sqrt("d2"))).select(*visit.names).mapInPandas(route, visit))
+        every = first.unionByName(searched(visits)).groupBy(*names).agg(F.min("d2").alias("d2")).filter(F.col("d2") != float("inf"))
+        every = every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        kept = [F.col("_skip").alias(other_id)] if isinstance(other_id, str) else []
+        return every.select(F.col("_id").alias(self.id_col), *kept, F.sqrt("d2").alias("distance"))
+
+
+def nearest_distance(points: DataFrame, queries: DataFrame, id_col: str, columns: list[str], other_id: bool, spec: BlockSpec = DEFAULT) -> DataFrame:
+    """The same for a single question."""
+    return NearestIndex(points, id_col, columns, spec).nearest(queries, other_id)

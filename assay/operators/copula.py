@@ -1,7 +1,8 @@
 """Synthetic tables by a Gaussian copula: marginals as in the real table, correlations kept, targets from a fitted model.
 
-Fitting takes one pass per column for its quantile table and one for the correlations; the model is a few numbers and `grid` quantiles per
-column, so sampling is a pure projection over a range of ids and scales with the rows asked for.
+Fitting counts the values of all columns in one melted table and orders them once, range by range; ranks and quantile grids of every column come from that.
+The model is a few numbers, `grid` quantiles per column and the shares of the category's levels, so sampling is a pure projection over a range of ids and scales
+with the rows asked for. A category of more than 10,000 levels is refused, never cut off.
 """
 
 from __future__ import annotations
@@ -12,10 +13,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.scalars import logistic, normal, normal_cdf, normal_quantile, uniform
+from assay.functions.scalars import doubles, logistic, normal, normal_cdf, normal_quantile, uniform, usable
 from assay.operators.encode import scales, z_scores
 from assay.operators.models import fit_logistic
-from assay.operators.ranks import positions, running_sum
+from assay.operators.ranks import few_or_shuffled, positions, running_sum_within
+from assay.session import cut
+
+
+#: What is added to the correlations' diagonal, and by how much latent scores are spread.
+RIDGE, TEMPERATURE = 1e-6, 1.08
 
 
 @dataclass(frozen=True)
@@ -30,15 +36,42 @@ class Copula:
     deviations: dict[str, float]
 
 
-def normal_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns as normal scores of their mid-ranks. Ranks come from the counts of distinct values, so no rows are gathered."""
+def ordered_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of all columns, once in order: `column` (its place), `_v`, `_n` (rows), `_before` (rows of the column below) and `_all` (its rows)."""
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns))))
+    tall = df.select(cells.alias("x")).select("x.column", F.col("x.v").alias("_v")).filter(usable(F.col("_v")))
+    counted = tall.groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return cut(running_sum_within(counted, ["column"], ["_v"], "_n", "_before", "_all"))
+
+
+def normal_scores(df: DataFrame, columns: list[str], ordered: DataFrame | None = None) -> DataFrame:
+    """Columns as normal scores of their mid-ranks, joined back by value: a column of few distinct values is sent to all executors."""
+    ordered = ordered_values(df, columns) if ordered is None else ordered
     out = df
-    n = df.count()
-    for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-        ranks = running_sum(counts, ["_value"], "_n", "_before")
-        score = normal_quantile((F.col("_before") + (F.col("_n") + 1) / 2.0) / (n + 1))
-        out = out.join(ranks.select("_value", score.alias(f"{c}_score")), F.col(c) == F.col("_value"), "left").drop("_value")
+    for i, c in enumerate(columns):
+        score = normal_quantile((F.col("_before") + (F.col("_n") + 1) / 2.0) / (F.col("_all") + 1))
+        ranks = ordered.filter(F.col("column") == i).select(F.col("_v").alias("_value"), score.alias(f"{c}_score"))
+        out = out.join(few_or_shuffled(ranks), F.col(c).cast("double") == F.col("_value"), "left").drop("_value")
+    return out
+
+
+def quantile_grids(ordered: DataFrame, columns: list[str], grid: int) -> dict[str, list[float]]:
+    """For each column its linearly interpolated quantiles at 0, 1/grid, ... 1, in whole-number arithmetic on ranks."""
+    span = F.greatest(F.col("_all") - 1, F.lit(1))
+    up = lambda x, y: F.expr(f"({x} + {y} - 1) div {y}")
+    rows = ordered.withColumn("_span", span).withColumn("_g", F.lit(grid).cast("long"))
+    low = rows.withColumn("_from", up("_before * _g", "_span")).withColumn("_to", F.least(F.expr("((_before + _n) * _g - 1) div _span"), F.col("_g")))
+    high = rows.withColumn("_from", F.when(F.col("_before") == 0, F.lit(0)).otherwise(F.expr("((_before - 1) * _g) div _span") + 1)).withColumn("_to", F.least(F.expr("((_before + _n - 1) * _g) div _span"), F.col("_g")))
+    parts = [x.filter("_from <= _to").select("column", "_all", F.explode(F.sequence("_from", "_to")).alias("i"), F.lit(side).alias("side"), "_v") for side, x in ((0, low), (1, high))]
+    at = parts[0].unionByName(parts[1]).groupBy("column", "_all", "i").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("hi"))
+    share = F.expr(f"(i * (_all - 1)) % {grid}") / grid
+    value = F.coalesce(F.col("lo") + (F.col("hi") - F.col("lo")) * share, "lo", "hi")
+    out: dict[str, list[float]] = {c: [float("nan")] * (grid + 1) for c in columns}
+    for r in at.select("column", "i", value.alias("value")).collect():  # columns times grid points
+        out[columns[r["column"]]][r["i"]] = r["value"]
+    for c, values in out.items():  # a single row has only its ends
+        known = [v for v in values if v == v]
+        out[c] = [v if v == v else known[0] for v in values] if known else []
     return out
 
 
@@ -52,25 +85,31 @@ def correlations(df: DataFrame, columns: list[str]) -> np.ndarray:
     return out
 
 
+def level_shares(df: DataFrame, category: str, limit: int = 10_000) -> dict[str, float]:
+    """Shares of the levels among the rows that have one; more than `limit` levels are refused."""
+    counts = df.filter(F.col(category).isNotNull()).groupBy(category).count().limit(limit + 1).collect()
+    if len(counts) > limit:
+        raise ValueError(f"{category} has more than {limit} levels")
+    total = sum(r[1] for r in counts) or 1
+    return {r[0]: r[1] / total for r in sorted(counts, key=lambda r: r[0])}
+
+
 def fit(real: DataFrame, columns: list[str], category: str, target: str, grid: int = 1000) -> Copula:
-    scored = normal_scores(real, columns)
+    ordered = ordered_values(real, columns)
+    scored = normal_scores(real, columns, ordered)
     corr = correlations(scored, [f"{c}_score" for c in columns])
-    points = [i / grid for i in range(grid + 1)]
-    table = real.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in points))).alias(c) for c in columns)).first()
-    shares = {r[0]: r[1] for r in real.groupBy(category).count().limit(1000).collect() if r[0] is not None}  # levels of one column
-    total = sum(shares.values()) or 1
     s = scales(real, columns)
     model = fit_logistic(z_scores(real, s, columns), columns, target)
     row = s.first()
-    factor = np.linalg.cholesky(corr + 1e-6 * np.eye(len(columns)))
-    return Copula(tuple(columns), factor, {c: list(table[c]) for c in columns}, {k: v / total for k, v in sorted(shares.items())}, tuple(model.coefficients), float(model.intercept), {c: row[f"{c}_mean"] for c in columns}, {c: row[f"{c}_std"] for c in columns})
+    factor = np.linalg.cholesky(corr + RIDGE * np.eye(len(columns)))
+    return Copula(tuple(columns), factor, quantile_grids(ordered, columns, grid), level_shares(real, category), tuple(model.coefficients), float(model.intercept), {c: row[f"{c}_mean"] for c in columns}, {c: row[f"{c}_std"] for c in columns})
 
 
 #: Bounds of the generated columns.
 LIMITS = {"duration": (4, 72), "age": (19, 80), "installment_rate": (1, 4), "credit_amount": (250, 20000)}
 
 
-def sample(spark: SparkSession, model: Copula, rows: int, category: str, target: str, tag: str, temperature: float = 1.08, target_from_model: bool = True) -> DataFrame:
+def sample(spark: SparkSession, model: Copula, rows: int, category: str, target: str, tag: str, temperature: float = TEMPERATURE, target_from_model: bool = True) -> DataFrame:
     """`rows` new rows with `rid` from 0."""
     df = spark.range(rows).withColumnRenamed("id", "rid")
     key = F.col("rid")
@@ -80,7 +119,7 @@ def sample(spark: SparkSession, model: Copula, rows: int, category: str, target:
         mixed = sum((F.col(f"_z{j}") * float(model.factor[i, j]) for j in range(i + 1)), F.lit(0.0))
         table = model.quantiles[c]
         at = F.floor(normal_cdf(mixed) * (len(table) - 1)).cast("int")
-        value: Column = F.element_at(F.array(*(F.lit(float(x)) for x in table)), F.greatest(F.lit(1), F.least(at + 1, F.lit(len(table)))))
+        value: Column = F.element_at(doubles(table), F.greatest(F.lit(1), F.least(at + 1, F.lit(len(table)))))
         if c in LIMITS:
             value = F.least(F.greatest(value, F.lit(float(LIMITS[c][0]))), F.lit(float(LIMITS[c][1])))
         df = df.withColumn(c, F.floor(value + 0.5))
@@ -90,10 +129,10 @@ def sample(spark: SparkSession, model: Copula, rows: int, category: str, target:
         df = df.withColumn(target, (uniform(f"{tag}/target", key) < logistic(score)).cast("int"))
     else:
         df = df.withColumn(target, (uniform(f"{tag}/target", key) < 0.5).cast("int"))
-    u, reached, level = uniform(f"{tag}/{category}", key), 1.0, F.lit(None).cast("string")
-    for name, share in reversed(list(model.shares.items())):
-        level = F.when(u < reached, name).otherwise(level)
-        reached -= share
+    names, ends = list(model.shares), np.cumsum(list(model.shares.values()))[:-1].tolist()
+    u = uniform(f"{tag}/{category}", key)
+    at = F.size(F.filter(doubles(ends), lambda end: end <= u)) if ends else F.lit(0)
+    level = F.element_at(F.array(*(F.lit(n) for n in names)), at + 1) if names else F.lit(None).cast("string")
     return df.withColumn(category, level)
 
 

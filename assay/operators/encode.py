@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import uniform
+from assay.operators.ranks import positions_within
 
 
 def levels(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
@@ -18,10 +19,8 @@ def levels(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
 
 def one_hot(df: DataFrame, column: str, known: list[str]) -> DataFrame:
     """One 0/1 column per level but the first sorted one; a null row is all zeros. The column itself goes."""
-    out = df
-    for value in known[1:]:
-        out = out.withColumn(f"{column}_{value}", F.when(F.col(column) == value, 1.0).otherwise(0.0))
-    return out.drop(column)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return df.select(*kept, *(F.when(F.col(f"`{column}`") == value, 1.0).otherwise(0.0).alias(f"{column}_{value}") for value in known[1:]))
 
 
 def align(real: DataFrame, synthetic: DataFrame, categorical: list[str], source: str = "src") -> DataFrame:
@@ -38,8 +37,13 @@ def default_target(df: DataFrame, wanted: str = "target") -> str:
     return wanted if wanted in df.columns else df.columns[-1]
 
 
+def present(df: DataFrame, column: str | None) -> bool:
+    """Whether a column is named and there."""
+    return column is not None and column in df.columns
+
+
 def default_sensitive(df: DataFrame, wanted: str = "sex") -> str | None:
-    return wanted if wanted in df.columns else None
+    return wanted if present(df, wanted) else None
 
 
 def scales(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,14 +61,19 @@ def z_scores(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
     return joined.withColumns({c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}).drop(*drop)
 
 
+def _shuffled_positions(df: DataFrame, by: list[str], key: str, tag: str) -> DataFrame:
+    """Adds each row's place in its class, in an order that depends on the key alone, and the class's size."""
+    return positions_within(df.withColumn("_turn", uniform(tag, *(F.col(c) for c in by), F.col(key))), by, ["_turn", key], "_at", "_size").drop("_turn")
+
+
 def holdout(df: DataFrame, by: list[str], key: str, share: float, tag: str = "split") -> DataFrame:
-    """Adds `is_test`: a repeatable split that keeps each class's share. A row's side depends on its key alone, so nothing is ranked or shuffled;
-    the share is met up to chance."""
-    return df.withColumn("is_test", uniform(tag, *(F.col(c) for c in by), F.col(key)) < share)
+    """Adds `is_test`: a repeatable split that takes `share` of each class, to the nearest row. A null class is a class of its own."""
+    return _shuffled_positions(df, by, key, tag).withColumn("is_test", F.col("_at") < F.floor(F.col("_size") * share + 0.5)).drop("_at", "_size")
 
 
-def folds(df: DataFrame, key: str, k: int, tag: str = "fold") -> DataFrame:
-    return df.withColumn("fold", F.floor(uniform(tag, F.col(key)) * k).cast("int"))
+def folds(df: DataFrame, by: list[str], key: str, k: int, tag: str = "fold") -> DataFrame:
+    """Adds `fold` from 0 to k - 1: each class is dealt out evenly, so its folds differ by one row at most."""
+    return _shuffled_positions(df, by, key, tag).withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at", "_size")
 
 
 def conditional_update(df: DataFrame, column: str, where: Column, value: object) -> DataFrame:

@@ -6,13 +6,15 @@ tables give the metric's neutral value where it has one, else null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import usable
-from assay.operators.ranks import exact_quantiles, positions, running_sum
+from assay.operators.encode import present
+from assay.operators.ranks import exact_quantiles, positions, quantiles, running_sum
 
 #: The lower edges of ten equal bins as doubles, and the upper end.
 EDGES = (0.0, 0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9, 1.0)
@@ -38,6 +40,23 @@ def group_quality(df: DataFrame, group: str, y: str, pred: str) -> DataFrame:
     return whole.select(F.coalesce("eo", F.lit(0.0)).alias("equal_opportunity"), F.when(F.col("n") > 0, F.when(overall > 0, F.least(F.col("worst") / overall, F.lit(1.0))).otherwise(1.0)).otherwise(1.0).alias("subgroup_performance"))
 
 
+#: What a table without a sensitive column has, and what one without two classes has instead of a model's metrics.
+NO_GROUPS = {"demographic_parity": 0.0, "equal_opportunity": 0.0, "subgroup_performance": 1.0}
+ONE_CLASS = {"equal_opportunity": 0.0, "subgroup_performance": 1.0}
+
+
+def fairness(df: DataFrame, group: str | None, y: str, predicted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """demographic_parity, equal_opportunity and subgroup_performance of a table and of the predictions (`pred`) that `predicted` adds to it.
+
+    Without a sensitive column, or where it is named but not there, the neutral values; with fewer than two classes parity and neutral values, and no model is asked."""
+    if not present(df, group):
+        return df.limit(0).agg(*(F.coalesce(F.max(F.lit(v)), F.lit(v)).alias(n) for n, v in NO_GROUPS.items()))
+    parity = demographic_parity(df, group, y)
+    if df.filter(F.col(y).isNotNull()).select(F.col(y).cast("int")).distinct().limit(2).count() < 2:
+        return parity.select("*", *(F.lit(v).alias(n) for n, v in ONE_CLASS.items()))
+    return parity.crossJoin(group_quality(predicted(df), group, y, "pred"))
+
+
 def agreement(df: DataFrame, one: str, other: str) -> Column:
     return F.avg((F.col(one) == F.col(other)).cast("double"))
 
@@ -75,10 +94,10 @@ def tail_coverage(real: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     """Share of the real rows below the 5th or above the 95th percentile that lies within the synthetic range; mean over the columns that have such rows, 1 if none has."""
     tall = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.c", "x.v").filter(usable(F.col("v")))
     counted = tall(real).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    ends = counted.groupBy("c").agg(F.expr("percentile(v, array(0.05, 0.95), n)").alias("q"))
+    ends = quantiles(tall(real), ["c"], "v", [0.05, 0.95], ["p05", "p95"]).drop("n")
     span = tall(synthetic).groupBy("c").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     limits = ends.join(span, "c", "left")  # one row per column
-    tail = counted.join(F.broadcast(limits), "c").filter((F.col("v") < F.col("q")[0]) | (F.col("v") > F.col("q")[1]))
+    tail = counted.join(F.broadcast(limits), "c").filter((F.col("v") < F.col("p05")) | (F.col("v") > F.col("p95")))
     inside = F.coalesce(F.col("v").between(F.col("lo"), F.col("hi")), F.lit(False)).cast("long")
     per = tail.groupBy("c").agg((F.sum(inside * F.col("n")) / F.sum("n")).alias("share"))
     return per.agg(F.coalesce(F.avg("share"), F.lit(1.0)).alias("tail_coverage"))
@@ -105,24 +124,28 @@ def rare_recall(df: DataFrame, y: str, pred: str, rare: DataFrame) -> DataFrame:
 
 def privacy(real: DataFrame, synthetic: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """membership_inference, nn_distance_ratio and duplicate_rate, from exact nearest distances in units of the real table's population deviations."""
-    from assay.operators.blocks import nearest_distance
+    from assay.operators.blocks import NearestIndex
     from assay.operators.encode import scales
     from assay.session import cut
 
     deviations = scales(real, columns).first()  # one row
     scaled = lambda df: df.select(key, *((F.col(c) / F.lit(float(deviations[f"{c}_std"]))).alias(c) for c in columns))
-    # Distances that are equal but for the last bits of the scaling must compare as equal.
-    nearest = lambda *a: nearest_distance(*a).withColumn("distance", F.round("distance", 9))
     r, s = cut(scaled(real)), cut(scaled(synthetic))
-    own = exact_quantiles(cut(nearest(r, r, key, columns, True)), "distance", [0.5, 0.05], ["rr", "p05"])
-    near = cut(nearest(r, s, key, columns, False))
-    copies = near.crossJoin(F.broadcast(own)).agg(F.avg((F.col("distance") <= F.col("p05")).cast("double")).alias("duplicate_rate"), F.max(F.when(F.col("rr") > 0, F.col("rr")).otherwise(1e-9)).alias("rr"))
-    copies = copies.crossJoin(exact_quantiles(near, "distance", [0.5], ["sr"])).select("duplicate_rate", (F.col("sr") / F.col("rr")).alias("nn_distance_ratio"))
-    reach = nearest(s, r, key, columns, False)
-    ranked = cut(positions(r.select(key), [key]))
+    both = r.withColumn("_own", F.lit(True)).unionByName(s.withColumn("_own", F.lit(False)))
+    # Distances that are equal but for the last bits of the scaling must compare as equal.
+    rounded = F.round("distance", 9).alias("distance")
+    to_real = cut(NearestIndex(r, key, columns).nearest(both, "_own").select("_own", rounded))
+    near = to_real.filter("NOT _own")
+    reach = cut(NearestIndex(s, key, columns).nearest(r, False).select(key, rounded))
+    kinds = to_real.select(F.when(F.col("_own"), "rr").otherwise("sr").alias("kind"), "distance").unionByName(reach.select(F.lit("rs").alias("kind"), "distance"))
+    found = cut(quantiles(kinds, ["kind"], "distance", [0.05, 0.5], ["p05", "p50"]))  # three rows
+    at = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col(name))).alias(f"{kind}_{name}")
+    limits = found.agg(at("rr", "p05"), at("rr", "p50"), at("sr", "p50"), at("rs", "p50"))
+    copies = near.crossJoin(F.broadcast(limits)).agg(F.avg((F.col("distance") <= F.col("rr_p05")).cast("double")).alias("duplicate_rate"))
+    ratio = limits.select((F.col("sr_p50") / F.when(F.col("rr_p50") > 0, F.col("rr_p50")).otherwise(1e-9)).alias("nn_distance_ratio"))
+    ranked = cut(positions(reach, [key]))
     total = ranked.count()
-    guessed = cut(reach.join(ranked, key))
-    tau = exact_quantiles(guessed, "distance", [0.5], ["tau"])
     member = (F.col("position") < total // 2).cast("int")
-    hit = guessed.crossJoin(F.broadcast(tau)).agg((F.abs(F.avg(((F.col("distance") <= F.col("tau")).cast("int") == member).cast("double")) - 0.5) * 2).alias("membership_inference"))
-    return hit.crossJoin(copies).select("membership_inference", "nn_distance_ratio", "duplicate_rate")
+    guessed = (F.col("distance") <= F.col("rs_p50")).cast("int")
+    hit = ranked.crossJoin(F.broadcast(limits)).agg((F.abs(F.avg((guessed == member).cast("double")) - 0.5) * 2).alias("membership_inference"))
+    return hit.crossJoin(copies).crossJoin(ratio).select("membership_inference", "nn_distance_ratio", "duplicate_rate")

@@ -15,7 +15,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.scalars import normal, uniform
+from assay.functions.scalars import normal
+from assay.operators.encode import folds
+from assay.session import cut
 
 
 @dataclass(frozen=True)
@@ -63,8 +65,7 @@ def scored(model, df: DataFrame, features: list[str], p: str, pred: str) -> Data
 
 def calibrated(df: DataFrame, test: DataFrame, key: str, features: list[str], target: str, p: str = "p", k: int = 3, spec: ForestSpec = ForestSpec()) -> DataFrame:
     """`test` scored by the mean of k forests, each calibrated by isotonic regression on the fold it has not seen."""
-    fold = F.floor(uniform("calibration", F.col(key)) * k).cast("int")
-    rows = df.withColumn("_fold", fold)
+    rows = cut(folds(df, [target], key, k, "calibration").withColumnRenamed("fold", "_fold"))
     out = test
     for i in range(k):
         model = fit_forest(rows.filter(F.col("_fold") != i), key, features, target, spec)

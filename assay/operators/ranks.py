@@ -1,17 +1,34 @@
-"""Running sums, positions and exact quantiles of whole tables, without a window over all rows in one task.
+"""Running sums, positions and exact quantiles of whole tables and groups, without a window over all rows in one task.
 
 Rows are range-partitioned by the order, each partition runs its own sum, and the partitions' totals, one row each, are summed
 up and broadcast. The range-partitioned rows are written to the checkpoint folder first: both steps must see the same partitions.
+A group of any size is cut into ranges like everything else, so none is a single task's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import usable
 from assay.session import cut
 
+BROADCAST_ROWS = 100_000  # a table of more rows is joined by a shuffle instead
+
+
+def few_or_shuffled(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table as the small side of a join: sent to all executors only if it has few rows."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def same(keys: list[str], prefix: str = "_k") -> Column:
+    """Equality of keys with columns named by their place; nulls are equal."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
+    return out
+
 
 def running_sum(df: DataFrame, order: list[str], amount: str, name: str) -> DataFrame:
     """Adds the sum of `amount` over all rows before a row in the order (0 for the first). Rows of equal order follow each other in any order, so it should be a total one."""
@@ -24,35 +41,71 @@ def running_sum(df: DataFrame, order: list[str], amount: str, name: str) -> Data
     return inner.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_within")).drop("_part", "_offset", "_within")
 
 
+def running_sum_within(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str, total: str | None = None) -> DataFrame:
+    """Adds the sum of `amount` over the rows before a row in its group, and the group's whole sum as `total` if that is named."""
+    placed = running_sum(df, [*keys, *order], amount, "_all_before")
+    per = cut(placed.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min("_all_before").alias("_base"), F.sum(amount).alias("_total")))
+    out = placed.join(few_or_shuffled(per), same(keys)).drop(*(f"_k{i}" for i in range(len(keys))))
+    out = out.withColumn(name, F.col("_all_before") - F.col("_base"))
+    return (out.withColumnRenamed("_total", total) if total else out.drop("_total")).drop("_all_before", "_base")
+
+
 def positions(df: DataFrame, order: list[str], name: str = "position", start: int = 0) -> DataFrame:
     """Adds the global position of each row."""
     summed = running_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", name)
     return summed.withColumn(name, (F.col(name) + start).cast("long")).drop("_one")
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], names: list[str], direct_rows: int = 5_000_000) -> DataFrame:
-    """One row of exact, linearly interpolated quantiles of the values that are neither null nor NaN; null for none.
-
-    Up to `direct_rows` rows the built-in aggregate does it, which holds all distinct values in one place. Beyond that a summary with a guaranteed
-    rank error of a ten-thousandth brackets each quantile, and only values inside the brackets are ordered."""
-    known = df.select(F.col(column).cast("double").alias("_v")).filter(usable(F.col("_v")))
-    n = known.count()
-    wanted = F.array(*(F.lit(float(p)) for p in probabilities))
-    if n <= direct_rows:
-        return known.agg(F.percentile("_v", wanted).alias("_q")).select(*(F.col("_q")[i].alias(name) for i, name in enumerate(names)))
-    slack = 0.0005
-    ends = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)]
-    row = known.agg(F.percentile_approx("_v", ends, 10_000).alias("q"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
-    out = None
+def positions_within(df: DataFrame, keys: list[str], order: list[str], name: str = "position", total: str | None = None) -> DataFrame:
+    """Adds the position (from 0) of each row in its group, and the group's number of rows as `total` if that is named."""
+    return running_sum_within(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", name, total).drop("_one")
+
+
+def percentiles_within(known: DataFrame, keys: list[str], value: str, brackets: DataFrame, probabilities: list[float], names: list[str]) -> DataFrame:
+    """Exact, linearly interpolated percentiles by counting inside brackets: keys, `n`, `name` and `percentile`, null where a bracket misses its ranks.
+
+    `brackets` are written rows of keys, `n` (rows of the group) and for each name `<name>_low` and `<name>_high`. They meet the rows before anything is
+    shuffled: rows above a bracket go, those below it become a single count per task, and only values inside are grouped."""
+    known = known.select(*keys, F.col(value).alias("_v"))
+    asked = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_low").alias("low"), F.col(f"{n}_high").alias("high")) for n in names))
+    wanted = brackets.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), asked.alias("_asked"))
+    tall = known.join(few_or_shuffled(wanted), same(keys)).select(*keys, "_v", F.explode("_asked").alias("q")).filter(F.col("_v") <= F.col("q.high"))
+    place = F.when(F.col("_v") >= F.col("q.low"), F.col("_v"))  # null for what lies below
+    by = [*keys, "name"]
+    inside = tall.select(*keys, F.col("q.name").alias("name"), place.alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = running_sum_within(inside, by, ["_v"], "_c", "_before").withColumn("_up", F.col("_before") + F.col("_c"))
+    at = F.array(*(F.struct(F.lit(x).alias("name"), F.lit(float(p)).alias("p")) for x, p in zip(names, probabilities, strict=True)))
+    ranks = brackets.select(*keys, "n", F.explode(at).alias("q")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("q.name").alias(f"_k{len(keys)}"), "n", (F.col("q.p") * (F.col("n") - 1)).alias("_at"))
+    joined = placed.join(few_or_shuffled(cut(ranks)), same(by))
+    pick = lambda rank: F.min(F.when(F.col("_up") > rank, F.struct("_up", "_v")))
+    found = joined.groupBy(*by, "n", "_at").agg(pick(F.floor("_at")).alias("lo"), pick(F.ceil("_at")).alias("hi"))
+    between = F.when(F.col("lo._v") == F.col("hi._v"), F.col("lo._v")).otherwise(F.col("lo._v") + (F.col("hi._v") - F.col("lo._v")) * (F.col("_at") - F.floor("_at")))
+    return found.select(*by, "n", between.alias("percentile"))
+
+
+#: Ranks that a summary of this accuracy may be off, as a share of the rows, with room to spare.
+_ACCURACY, _SLACK = 10_000, 0.0005
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[float], names: list[str]) -> DataFrame:
+    """Exact quantiles per group of the values that are neither null nor NaN: keys, `n`, `least`, `most` and a column per name.
+    A summary with a guaranteed rank error brackets each quantile, so only values inside the brackets are shuffled and ordered, range by range."""
+    known = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(usable(F.col("_v")))
+    ends = [min(1.0, max(0.0, p + s)) for p in probabilities for s in (-_SLACK, _SLACK)]
+    summary = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.percentile_approx("_v", ends, _ACCURACY).alias("_q"))
+    sides = {}
     for i, (p, name) in enumerate(zip(probabilities, names, strict=True)):
-        low = row["lo"] if p <= slack else row["q"][2 * i]
-        high = row["hi"] if p >= 1 - slack else row["q"][2 * i + 1]
-        below = known.filter(F.col("_v") < low).count()
-        counts = known.filter(F.col("_v").between(low, high)).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-        placed = running_sum(counts, ["_v"], "_n", "_before").withColumn("_to", F.lit(below) + F.col("_before") + F.col("_n"))
-        at = p * (n - 1)
-        first, second = int(at), int(at) + (at > int(at))
-        ends_of = placed.agg(F.min(F.when(F.col("_to") > first, F.col("_v"))).alias("a"), F.min(F.when(F.col("_to") > second, F.col("_v"))).alias("b"))
-        one = ends_of.select((F.col("a") + (F.col("b") - F.col("a")) * (at - first)).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out
+        # Of few rows all lie inside: the slack must be worth some ranks.
+        narrow = F.col("n") * _SLACK >= 4
+        sides[f"{name}_low"] = F.when(narrow & F.lit(p > _SLACK), F.col("_q")[2 * i]).otherwise(F.col("least"))
+        sides[f"{name}_high"] = F.when(narrow & F.lit(p < 1 - _SLACK), F.col("_q")[2 * i + 1]).otherwise(F.col("most"))
+    brackets = cut(summary.filter("n > 0").withColumns(sides).drop("_q"))
+    found = percentiles_within(known, keys, "_v", brackets, probabilities, names)
+    wide = found.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(*(F.max(F.when(F.col("name") == x, F.col("percentile"))).alias(x) for x in names))
+    return brackets.select(*keys, "n", "least", "most").join(few_or_shuffled(cut(wide)), same(keys)).select(*keys, "n", "least", "most", *names)
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], names: list[str]) -> DataFrame:
+    """One row of exact quantiles of a whole table; null for none."""
+    found = quantiles(df, [], column, probabilities, names)
+    return found.agg(*(F.max(x).alias(x) for x in names))

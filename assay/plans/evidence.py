@@ -112,10 +112,10 @@ def dropna_counts(spark: SparkSession, sf: str) -> DataFrame:
 _U = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
 
 
-@query(_PAIR + f" SELECT rid, sex, CASE WHEN sex = 'female' AND target = 1 AND {_U.format("'flip:' || rid")} < 0.11::DOUBLE THEN 0 ELSE target END AS target FROM s")
+@query(_PAIR + f" SELECT rid, sex, CASE WHEN sex = 'female' AND target = 1 AND {_U.format("'flip:' || rid")} < {copula.FLIPPED}::DOUBLE THEN 0 ELSE target END AS target FROM s")
 def cond_update(spark: SparkSession, sf: str) -> DataFrame:
     """A repeatable ninth of one group's positives set to 0."""
-    hit = (F.col("sex") == "female") & (F.col("target") == 1) & (uniform("flip", F.col("rid")) < 0.11)
+    hit = (F.col("sex") == "female") & (F.col("target") == 1) & (uniform("flip", F.col("rid")) < copula.FLIPPED)
     return encode.conditional_update(_synthetic(spark, sf), "target", hit, 0).select("rid", "sex", "target")
 
 
@@ -162,11 +162,16 @@ def ordinal_rank(spark: SparkSession, sf: str) -> DataFrame:
     return ranks.positions(table(spark, sf, "part").select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], "rank", 1).select("p_partkey", "rank")
 
 
-@query(_PAIR + f" SELECT target, count(*) AS n, count(*) FILTER ({_U.format("'split:' || target || ':' || rid")} < 0.4::DOUBLE) AS test, sum(CAST(floor({_U.format("'fold:' || rid")} * 3) AS BIGINT)) AS folds FROM r GROUP BY target")
+@query(
+    _PAIR
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY rid) - 1 AS pos, count(*) OVER (PARTITION BY target) AS n_all FROM r)
+SELECT target, count(*) AS n, count(*) FILTER (pos < floor(n_all * 0.4::DOUBLE + 0.5::DOUBLE)) AS test, count(*) FILTER (pos % 3 = 0) AS fold_0, count(*) FILTER (pos % 3 = 1) AS fold_1, count(*) FILTER (pos % 3 = 2) AS fold_2,
+  sum(rid) AS rids FROM o GROUP BY target"""
+)
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeatable holdout of two fifths and three folds, per class."""
-    df = encode.folds(encode.holdout(_real(spark, sf), ["target"], "rid", 0.4), "rid", 3)
-    return df.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test"), F.sum(F.col("fold").cast("long")).alias("folds"))
+    """Holdout of two fifths and three folds, exact to one row in each class; the sum of ids shows that no row is lost or doubled."""
+    df = encode.folds(encode.holdout(_real(spark, sf), ["target"], "rid", 0.4), ["target"], "rid", 3)
+    return df.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test"), *(F.count_if(F.col("fold") == k).alias(f"fold_{k}") for k in range(3)), F.sum("rid").alias("rids"))
 
 
 @query("SELECT round(corr(p_size, p_retailprice), 8) AS size_price, round(corr(p_partkey, p_retailprice), 8) AS key_price, round(corr(p_partkey, p_size), 8) AS key_size FROM part")
@@ -178,9 +183,8 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query(_PAIR + " SELECT c, quantile_cont(v, 0.05) AS p05, median(v) AS p50, quantile_cont(v, 0.95) AS p95, min(v) AS lo, max(v) AS hi FROM (UNPIVOT r ON credit_amount, age, duration, installment_rate INTO NAME c VALUE v) GROUP BY c")
 def quantile_table(spark: SparkSession, sf: str) -> DataFrame:
     tall = _real(spark, sf).unpivot([], NUMBERS, "c", "v")
-    counted = tall.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    q = F.expr("percentile(v, array(0.05, 0.5, 0.95), n)")
-    return counted.groupBy("c").agg(q.alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).select("c", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "lo", "hi")
+    found = ranks.quantiles(tall, ["c"], "v", [0.05, 0.5, 0.95], ["p05", "p50", "p95"])
+    return found.select("c", "p05", "p50", "p95", F.col("least").alias("lo"), F.col("most").alias("hi"))
 
 
 @query("SELECT coalesce(sex, '?') AS sex, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM synthetic_credit GROUP BY sex")
@@ -334,14 +338,37 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return real.filter("NOT is_test"), real.filter("is_test"), both.filter("src = 's'")
 
 
+def _with_logistic(df: DataFrame) -> DataFrame:
+    return models.scored(models.fit_logistic(df, FEATURES, "target"), df, FEATURES, "p", "pred")
+
+
 @query()
 def logistic_fairness(spark: SparkSession, sf: str) -> DataFrame:
     """Group quality of a logistic regression trained and scored on the synthetic rows."""
     df = _aligned(spark, sf).filter("src = 's'").withColumn("sex", F.when(F.col("sex_male") == 1, "male").otherwise("female"))
-    df = cut(df)
-    model = models.fit_logistic(df, FEATURES, "target")
-    out = kernels.group_quality(models.scored(model, df, FEATURES, "p", "pred"), "sex", "target", "pred")
-    return out.crossJoin(kernels.demographic_parity(df, "sex", "target"))
+    return kernels.fairness(cut(df), "sex", "target", _with_logistic)
+
+
+@query("SELECT 'none named' AS sensitive, 0.0::DOUBLE AS demographic_parity, 0.0::DOUBLE AS equal_opportunity, 1.0::DOUBLE AS subgroup_performance UNION ALL SELECT 'not there', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE")
+def fairness_without_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """No sensitive column is named, or the one that is named is not there."""
+    df = _synthetic(spark, sf).drop("sex")
+    rows = [kernels.fairness(df, group, "target", _with_logistic).select(F.lit(name).alias("sensitive"), "*") for name, group in (("none named", encode.default_sensitive(df)), ("not there", "sex"))]
+    return rows[0].unionByName(rows[1])
+
+
+@query(_PAIR + ", o AS (SELECT * FROM s WHERE target = 1) SELECT (SELECT max(x) - min(x) FROM (SELECT avg(target) AS x FROM o GROUP BY sex)) AS demographic_parity, 0.0::DOUBLE AS equal_opportunity, 1.0::DOUBLE AS subgroup_performance")
+def fairness_of_one_class(spark: SparkSession, sf: str) -> DataFrame:
+    """With a single class the parity is that of the table and the rest is neutral."""
+    return kernels.fairness(_synthetic(spark, sf).filter("target = 1"), "sex", "target", _with_logistic)
+
+
+@query("SELECT 'rid' AS col, true AS is_there UNION ALL SELECT 'sex', false UNION ALL SELECT 'target', true UNION ALL SELECT 'default_target', true UNION ALL SELECT 'default_sensitive', false")
+def column_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether columns are there, and what is taken by default where none is named."""
+    df = table(spark, sf, "synthetic_credit").drop("sex")
+    rows = [(c, encode.present(df, c)) for c in ("rid", "sex", "target")] + [("default_target", encode.default_target(df) == "target"), ("default_sensitive", encode.default_sensitive(df) is not None)]
+    return spark.createDataFrame(rows, "col string, is_there boolean")
 
 
 def _forests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -425,7 +452,20 @@ def copula_variants(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("variant", "sex").agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("rate"), *(F.avg(c).alias(f"mean_{c}") for c in NUMBERS))
 
 
-@query()
+def _normal_sql(tag: str) -> str:
+    one, two = (_U.format(f"'base/{tag}/{end}:' || rid") for end in "ab")
+    return f"(sqrt(-2 * ln(({one} * 4294967296.0::DOUBLE + 1) / 4294967297.0::DOUBLE)) * cos(2 * pi() * {two}))"
+
+
+_BASE = "WITH n AS (SELECT CAST(range AS BIGINT) AS rid FROM range((SELECT count(*) FROM real_credit))), g AS (SELECT rid, " + ", ".join(
+    [f"floor(least(greatest({mean} + {deviation} * {_normal_sql(name)}, {low}), {high})::DOUBLE + 0.5::DOUBLE)::BIGINT AS {name}" for name, (mean, deviation, low, high) in NORMAL.items()]
+    + [f"floor(least(greatest(exp({LOG_AMOUNT[0]}::DOUBLE + {LOG_AMOUNT[1]}::DOUBLE * {_normal_sql('amount')}), {LOG_AMOUNT[2]}), {LOG_AMOUNT[3]})::DOUBLE + 0.5::DOUBLE)::BIGINT AS credit_amount"]
+    + [f"CAST(1 + floor({RATES} * {_U.format(chr(39) + 'base/rate:' + chr(39) + ' || rid')}) AS INT) AS installment_rate"]
+    + [f"CASE WHEN {_U.format(chr(39) + 'base/sex:' + chr(39) + ' || rid')} < {MALE_SHARE}::DOUBLE THEN 'male' ELSE 'female' END AS sex"]
+) + f" FROM n) SELECT *, CAST({_U.format(chr(39) + 'base/target:' + chr(39) + ' || rid')} < 1 / (1 + exp(-({INTERCEPT}::DOUBLE" + "".join(f" + {w}::DOUBLE * ({c} - {centre}::DOUBLE) / {scale}" for c, w, centre, scale in TERMS) + "))) AS INT) AS target FROM g"
+
+
+@query(_BASE)
 def base_generator(spark: SparkSession, sf: str) -> DataFrame:
     """A table of the same shape from nothing but a row count, that of real_credit."""
     from assay.functions.scalars import normal

@@ -86,12 +86,41 @@ def test_nearest_distance_is_exact(spark, exclude):
     queries = points[::3] if exclude else [(1000 + i, tuple(map(float, rng.normal(0, 30, 3)))) for i in range(60)]
     make = lambda rows: frame(spark, [(i, *v) for i, v in rows], "id long, a double, b double, c double")
     bad = frame(spark, [(5000, None, 1.0, 1.0), (5001, math.nan, 1.0, 1.0), (None, 1.0, 1.0, 1.0)], "id long, a double, b double, c double")
-    got = blocks.nearest_distance(make(points).union(bad), make(queries).union(bad), "id", ["a", "b", "c"], exclude, block_rows=32)
+    got = blocks.nearest_distance(make(points).union(bad), make(queries).union(bad), "id", ["a", "b", "c"], exclude, blocks.BlockSpec(block_rows=32, queries_per_task=16))
     want = nearest_by_hand(points, queries, exclude)
     found = {r.id: r.distance for r in got.collect()}
     assert found.keys() == want.keys() and all(found[i] == pytest.approx(want[i], abs=1e-9) for i in want)
 
 
+def test_an_index_answers_several_tables(spark):
+    rng = np.random.default_rng(13)
+    points = [(i, tuple(map(float, v))) for i, v in enumerate(rng.normal(0, 1, (250, 2)))]
+    others = [(i, tuple(map(float, v))) for i, v in enumerate(rng.normal(0, 2, (80, 2)))]
+    make = lambda rows: frame(spark, [(i, *v) for i, v in rows], "id long, a double, b double")
+    index = blocks.NearestIndex(make(points), "id", ["a", "b"], blocks.BlockSpec(block_rows=40))
+    for asked, other_id in ((points, True), (others, False)):
+        found = {r.id: r.distance for r in index.nearest(make(asked).withColumn("distance", F.lit("clash")), other_id).collect()}
+        assert found == pytest.approx(nearest_by_hand(points, asked, other_id))
+
+
+def test_trees_route_like_their_ranges():
+    rng = np.random.default_rng(14)
+    sample = np.vstack([rng.normal(0, 1, (500, 3)), np.zeros((200, 3))])
+    splits = blocks.fit_splits(sample, 37)
+    block = splits.block(sample)
+    assert len(splits.leaves) == len(set(block)) <= 37 and (splits.left[splits.leaves] == np.arange(len(splits.leaves))).all()
+    queries, reach = rng.normal(0, 1, (40, 3)), rng.random(40)
+    got = set(zip(*(x.tolist() for x in splits.meets(queries, reach)), strict=True))
+    near = {(q, int(b)) for q in range(40) for b in set(block[(np.abs(sample - queries[q]) <= reach[q]).all(axis=1)])}
+    assert near <= got and len(got) < 40 * len(splits.leaves)
+    n = len(splits.leaves)
+    low, high = (np.array([f(sample[block == b], axis=0) for b in range(n)]) for f in (np.min, np.max))
+    boxes = blocks.Ranges(splits, np.bincount(block, minlength=n), low, high).boxes(60)
+    for b in range(n):
+        assert ((sample >= boxes[0][b]) & (sample <= boxes[1][b])).all(axis=1).sum() >= 60
+    assert not np.isfinite(blocks.Ranges(splits, np.bincount(block, minlength=n), low, high).boxes(10**6)[0]).any()
+
+
 def test_nearest_distance_of_few_rows(spark):
     one = frame(spark, [(1, 0.0, 0.0)], "id long, a double, b double")
     assert blocks.nearest_distance(one, one, "id", ["a", "b"], True).count() == 0
@@ -135,14 +164,57 @@ def test_normal_functions(spark):
     assert abs(statistics.mean(sample)) < 0.06 and abs(statistics.stdev(sample) - 1) < 0.05
 
 
-@pytest.mark.parametrize("direct_rows", [0, 10**6])
-def test_exact_quantiles(spark, direct_rows):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(8)
-    values = np.round(rng.lognormal(3, 1, 3001), 1)
+    values = np.round(rng.lognormal(3, 1, 30_001), 2)
     df = frame(spark, [(float(v),) for v in values] + [(None,), (math.nan,)], "v double").repartition(5)
     shares = [0.0, 0.05, 0.5, 0.9501, 1.0]
-    row = ranks.exact_quantiles(df, "v", shares, [f"q{i}" for i in range(5)], direct_rows).first()
+    row = ranks.exact_quantiles(df, "v", shares, [f"q{i}" for i in range(5)]).first()
     assert list(row) == pytest.approx(np.percentile(values, [100 * p for p in shares]).tolist(), rel=1e-12)
+    assert ranks.exact_quantiles(df.limit(0), "v", [0.5], ["q"]).first().q is None
+
+
+def test_quantiles_by_group_with_a_hot_and_a_null_key(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 else f"g{i % 4}", float(v)) for i, v in enumerate(rng.normal(0, 5, 1500))]
+    df = frame(spark, rows, "g string, v double")
+    for most in (100_000, 0):
+        monkeypatch.setattr(ranks, "BROADCAST_ROWS", most)
+        got = {r.g: (r.n, r.a, r.b) for r in ranks.quantiles(df, ["g"], "v", [0.1, 0.5], ["a", "b"]).collect()}
+        assert len(got) == 6
+        for g, found in got.items():
+            own = [v for k, v in rows if k == g]
+            assert found == pytest.approx((len(own), *np.percentile(own, [10, 50])), rel=1e-12)
+
+
+def test_splits_take_their_share_of_each_class(spark):
+    rows = [(i, 1 if i % 10 == 0 else None if i % 17 == 0 else 0) for i in range(530)]
+    df = encode.folds(encode.holdout(frame(spark, rows, "k long, y int").repartition(5), ["y"], "k", 0.4), ["y"], "k", 3)
+    got = df.collect()
+    assert sorted(r.k for r in got) == list(range(530))
+    for y in (0, 1, None):
+        own = [r for r in got if r.y == y]
+        assert sum(r.is_test for r in own) == math.floor(len(own) * 0.4 + 0.5)
+        sizes = [sum(r.fold == f for r in own) for f in range(3)]
+        assert max(sizes) - min(sizes) <= 1
+    again = encode.holdout(frame(spark, rows[::-1], "k long, y int").repartition(3), ["y"], "k", 0.4)
+    assert {r.k for r in again.filter("is_test").collect()} == {r.k for r in got if r.is_test}
+    assert encode.holdout(df.limit(0).drop("is_test"), ["y"], "k", 0.4).count() == 0
+
+
+def test_fairness_without_groups_or_classes(spark):
+    df = frame(spark, [("a", 1, 5.0), ("b", 1, 6.0), (None, 1, 7.0)], "g string, y int, x double")
+
+    def never(_):
+        raise AssertionError("no model is asked")
+
+    for group in (None, "gone"):
+        assert kernels.fairness(df, group, "y", never).first().asDict() == kernels.NO_GROUPS
+    assert kernels.fairness(df, "g", "y", never).first().asDict() == {"demographic_parity": 0.0, **kernels.ONE_CLASS}
+    assert kernels.fairness(df.limit(0), "g", "y", never).first().asDict() == {"demographic_parity": 0.0, **kernels.ONE_CLASS}
+    two = df.union(frame(spark, [("a", 0, 1.0)], "g string, y int, x double"))
+    row = kernels.fairness(two, "g", "y", lambda d: d.withColumn("pred", F.lit(1))).first()
+    assert row.demographic_parity == 0.5 and row.equal_opportunity == 0.0
 
 
 def test_running_sum(spark):

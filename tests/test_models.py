@@ -47,3 +47,28 @@ def test_copula_keeps_marginals_and_correlations(spark, real):
     assert share(copula.fairness_degraded(spark, model, 3000)) < share(copula.high_fidelity(spark, model, 3000))
     assert abs(copula.low_utility(spark, model, 3000).agg(F.avg("target")).first()[0] - 0.5) < 0.05
     assert np.allclose(model.factor, np.tril(model.factor))
+
+
+def test_quantile_grids_and_scores_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(0, 3, (57, 2)), 1)
+    df = spark.createDataFrame([(i, float(a), float(b) if i % 5 else None) for i, (a, b) in enumerate(values)], "rid long, a double, b double")
+    grids = copula.quantile_grids(copula.ordered_values(df, ["a", "b"]), ["a", "b"], 200)
+    for c, own in (("a", values[:, 0]), ("b", values[[i for i in range(57) if i % 5], 1])):
+        assert np.allclose(grids[c], np.quantile(own, np.arange(201) / 200), rtol=1e-12)
+    one = copula.quantile_grids(copula.ordered_values(df.limit(1), ["a"]), ["a"], 4)["a"]
+    assert len(set(one)) == 1 and len(one) == 5
+    scores = {r.rid: r.a_score for r in copula.normal_scores(df, ["a", "b"]).collect()}
+    order = sorted(range(57), key=lambda i: values[i, 0])
+    assert len(scores) == 57 and all(scores[i] <= scores[j] for i, j in zip(order, order[1:], strict=False))
+
+
+def test_no_level_is_lost(spark):
+    df = spark.range(6000).selectExpr("id % 1500 AS n").selectExpr("concat('level', n) AS level")
+    shares = copula.level_shares(df, "level")
+    assert len(shares) == 1500 and sum(shares.values()) == pytest.approx(1) and min(shares.values()) == pytest.approx(1 / 1500)
+    with pytest.raises(ValueError):
+        copula.level_shares(df, "level", 1499)
+    model = copula.Copula(("age",), np.eye(1), {"age": [20.0, 30.0]}, shares, (0.1,), 0.0, {"age": 25.0}, {"age": 5.0})
+    drawn = copula.sample(spark, model, 30_000, "level", "target", "t").groupBy("level").count().collect()
+    assert len(drawn) > 1490 and all(r.level for r in drawn)
