@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.operators.ranks import running_sum
+from assay.operators.ranks import few_or_shuffled, percentiles_within, same
 from assay.session import cut
 
 
@@ -407,46 +407,11 @@ def percentiles(sketches: DataFrame, probabilities: list[float], sigmas: float =
     return sketches.mapInPandas(run, schema)
 
 
-BROADCAST_ROWS = 100_000  # a table of more rows is joined by a shuffle instead
-
-
-def _few_or_shuffled(df: DataFrame) -> DataFrame:
-    """A written table as the small side of a join: sent to all executors only if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def _same(keys: list[str], prefix: str = "_k") -> Column:
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{i}"))
-    return same
-
-
 def _bracketed(df: DataFrame, keys: list[str], value: str, brackets: DataFrame, probabilities: list[float]) -> DataFrame:
-    """Percentiles by counting: null where a bracket misses its ranks.
-
-    The brackets meet the rows before anything is shuffled: rows above a bracket go, those below it become a single count per task, and only values inside are
-    grouped. Their running counts are taken range by range, so a group of any size is no single task's."""
-    names = [f"p{round(p * 1000):03d}" for p in probabilities]
+    """Percentiles by counting: null where a bracket misses its ranks."""
     number = F.col(value).cast("double")
-    known = df.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).select(*keys, number.alias("_v"))
-    asked = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"{n}_low").alias("low"), F.col(f"{n}_high").alias("high")) for n in names))
-    wanted = brackets.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), asked.alias("_asked"))
-    tall = known.join(_few_or_shuffled(wanted), _same(keys)).select(*keys, "_v", F.explode("_asked").alias("q")).filter(F.col("_v") <= F.col("q.high"))
-    place = F.when(F.col("_v") >= F.col("q.low"), F.col("_v"))  # null for what lies below
-    inside = tall.select(*keys, F.col("q.name").alias("name"), place.alias("_v")).groupBy(*keys, "name", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    order = [*keys, "name", "_v"]
-    placed = running_sum(inside, order, "_c", "_before")
-    by = [*keys, "name"]
-    base = placed.groupBy(*by).agg(F.min("_before").alias("_base"))
-    ranks = brackets.select(*keys, F.col("n").alias("_n"), F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.lit(float(p)).alias("p")) for x, p in zip(names, probabilities, strict=True)))).alias("q"))
-    ranks = ranks.select(*keys, "_n", "q.name", (F.col("q.p") * (F.col("_n") - 1)).alias("_at"))
-    based = cut(ranks.join(base.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_base"), _same(by)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_n", "_at", "_base"))
-    joined = placed.join(_few_or_shuffled(based), _same(by)).withColumn("_up", F.col("_before") + F.col("_c") - F.col("_base"))
-    pick = lambda rank: F.min(F.when(F.col("_up") > rank, F.struct("_up", "_v")))
-    found = joined.groupBy(*by, "_n", "_at").agg(pick(F.floor("_at")).alias("lo"), pick(F.ceil("_at")).alias("hi"))
-    between = F.col("lo._v") + (F.col("hi._v") - F.col("lo._v")) * (F.col("_at") - F.floor("_at"))
-    return found.select(*keys, F.col("_n").alias("n"), "name", between.alias("percentile"))
+    known = df.filter(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).select(*keys, number.alias("_value"))
+    return percentiles_within(known, keys, "_value", brackets, probabilities, [f"p{round(p * 1000):03d}" for p in probabilities])
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, brackets: DataFrame, probabilities: list[float]) -> DataFrame:
@@ -463,7 +428,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, brackets: Data
     def left_out(of: DataFrame, present: DataFrame, by: list[str]) -> DataFrame:
         """Rows of `of` whose keys are not present; null keys are equal."""
         there = cut(present.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(by))).distinct())
-        return of.join(_few_or_shuffled(there), _same(by), "left_anti")
+        return of.join(few_or_shuffled(there), same(by), "left_anti")
 
     asked = brackets.select(*keys, "n", F.explode(F.array(*(F.lit(n) for n in names))).alias("name"))
     missed = cut(left_out(asked, found, [*keys, "name"]).select(*keys, "n").distinct())

@@ -37,13 +37,40 @@ def test_true_neighbours_with_ties_copies_and_outliers(spark, threshold):
     rows = data()
     df = spark.createDataFrame(rows, SCHEMA)
     bad = spark.createDataFrame([(9001, None, 1.0, 1.0, 1.0), (9002, math.nan, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0, 1.0), (9003, math.inf, 0.0, 0.0, 0.0)], SCHEMA)
-    spec = collide.CollisionSpec(k=5, block_rows=48, queries_per_task=40, threshold=threshold)
+    spec = collide.CollisionSpec(k=5, block_rows=48, queries_per_task=40, threshold=threshold, stretch=1.0)
     got = {}
     for r in collide.similar(df.union(bad), df.union(bad), "id", list("abcd"), SPREAD, spec).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.near_id)
     assert got == by_hand(rows, rows, 5)
 
 
+def test_recall_where_windows_are_narrower_than_the_radius(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, x)) for i, x in enumerate(np.vstack([rng.normal(0, 1, (1500, 4)), rng.normal(9, 0.01, (500, 4))]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = by_hand(rows, rows[::5], 10)
+    found = collide.similar(df, df.filter("id % 5 = 0"), "id", list("abcd"), SPREAD, collide.CollisionSpec(block_rows=300)).collect()
+    assert len(found) == 4000 and collide.DEFAULT.threshold < 1 < collide.DEFAULT.stretch
+    assert sum(r.near_id in want[r.query_id] for r in found) >= 0.99 * 4000
+
+
+def test_only_those_that_collide_often_enough_are_verified():
+    rng = np.random.default_rng(6)
+    vectors, ids = rng.normal(0, 1, (3000, 4)), np.arange(3000)
+    looked_at = []
+    for threshold in (0.25, 0.625, 1.0):
+        spec = collide.CollisionSpec(threshold=threshold)
+        arrays = collide.Arrays(ids, vectors, collide.directions(4, spec), spec)
+        before, seen = np.einsum, []
+        np.einsum = lambda how, a, b, before=before, seen=seen: seen.append(len(a)) or before(how, a, b)
+        try:
+            list(arrays.search(ids[:50], vectors[:50], np.full(50, np.inf)))
+        finally:
+            np.einsum = before
+        looked_at.append(sum(seen))
+    assert looked_at[0] > 2 * looked_at[1] and looked_at[1] > looked_at[2]
+
+
 def test_few_rows_extra_columns_and_empty(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, "x"), (2, 1.0, 0.0, 0.0, 0.0, "y")], SCHEMA + ", rank string")
     got = collide.similar(df, df, "id", list("abcd"), SPREAD).collect()

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.llm import dyadic
+from assay.operators import ranks
 
 SPEC = dyadic.DEFAULT
 
@@ -74,7 +75,7 @@ def test_only_rows_inside_brackets_are_shuffled(spark):
 def test_many_brackets_are_joined_by_a_shuffle(spark, monkeypatch):
     data, df = rows(spark, 2000)
     df = df.withColumn("g", F.when(F.col("g") != "g3", F.col("g")))  # a null key too
-    monkeypatch.setattr(dyadic, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
     got = {r.g: r.percentile for r in dyadic.exact_percentiles(df, ["g"], "v", dyadic.percentiles(dyadic.build(df, ["g"], "v"), [0.5]), [0.5]).collect()}
     for g, value in got.items():
         assert value == pytest.approx(np.percentile([v for h, _, v in data if (None if h == "g3" else h) == g], 50), rel=1e-12)
