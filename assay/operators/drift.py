@@ -2,18 +2,18 @@
 
 1. `field_profiles` reads every record once and folds it into one row per file and field path: the JSON types
    seen there (the tagged union: alternatives are kept side by side and never widened into one another) and a
-   fixed-size picture of the contents. Batches are folded in Python, the folds are merged by plain sums, minima
+   fixed-size picture of the contents. Each task folds all it reads, the folds are merged by plain sums, minima
    and maxima, so a file that holds a third of all rows is summed up map-side like any other.
 2. `changes` compares each file with the one before it in its feed. What it gathers per file is one row per
-   field, not per record.
+   field, not per record. `alternatives` reports every type that a path takes on or gives up between two files, be it the commonest one or not.
 3. `unified` fuses the schemas: fields linked by renames get one canonical name, each alternative type of a
-   field gets a typed branch column beside the canonical text, and objects written as key-value lists become
+   field gets a typed branch column beside the canonical text, at any depth, and objects written as key-value lists become
    objects.
 
 Defined results: payloads that are null, empty, cut off, not valid JSON (also NaN and Infinity) or not an object
 have no fields; lines without feed, file_id or file_no can't be placed and are left out of the comparison; a
 field that is only ever null has no type and is not compared by type; of several types in one file the most
-frequent one is the field's type (ties: the first in JSON_TYPES). Repeated lines change nothing.
+frequent one is the field's type in `changes` (ties: the first in JSON_TYPES). Repeated lines change nothing.
 """
 
 from __future__ import annotations
@@ -68,14 +68,15 @@ def _number(text: str) -> float | int:
 
 
 _decoder = json.JSONDecoder(parse_constant=_no_constant, parse_float=_number)
+_quick_decoder = json.JSONDecoder(parse_constant=_no_constant)
 
 
-def parse_record(text: object) -> dict | None:
-    """The object that a payload holds, or None."""
+def parse_record(text: object, exact: bool = True) -> dict | None:
+    """The object that a payload holds, or None. Unless `exact`, numbers beyond a double are infinite."""
     if not isinstance(text, str):
         return None
     try:
-        value = _decoder.decode(text)
+        value = (_decoder if exact else _quick_decoder).decode(text)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -94,25 +95,6 @@ def json_type(value: object) -> int:
     return 3 if isinstance(value, dict) else 4
 
 
-def walk(record: dict) -> Iterator[tuple[str, object]]:
-    """Every field of a record as path and value; elements of arrays come as `path[]`. Not recursive, so depth is no limit."""
-    stack: list[tuple[str, object]] = [("", record)]
-    while stack:
-        at, value = stack.pop()
-        if isinstance(value, dict):
-            for key, child in value.items():
-                path = f"{at}.{key}" if at else key
-                yield path, child
-                if isinstance(child, (dict, list)):
-                    stack.append((path, child))
-        elif isinstance(value, list):
-            inner = f"{at}[]"
-            for child in value:
-                yield inner, child
-                if isinstance(child, (dict, list)):
-                    stack.append((inner, child))
-
-
 def shape_of(text: str) -> int:
     for at, (name, pattern) in enumerate(_SHAPE):
         if pattern.match(text):
@@ -121,44 +103,85 @@ def shape_of(text: str) -> int:
 
 
 class _Fold:
-    __slots__ = ("hashes", "high", "low", "n", "shapes", "squares", "total", "types", "whole")
+    __slots__ = ("below", "hashes", "high", "low", "n", "shapes", "total", "types", "whole")
 
     def __init__(self) -> None:
         self.n = 0
         self.types = [0] * len(JSON_TYPES)
         self.shapes = [0] * len(SHAPES)
         self.whole = 0
-        self.total = self.squares = 0.0
+        self.total = 0.0
         self.low, self.high = float("inf"), float("-inf")
         self.hashes: set[int] = set()
+        self.below = 1 << 32  # hashes from here on can't be among the smallest
+
+    def string(self, known: tuple[int, int]) -> None:
+        shape, hashed = known
+        self.types[0] += 1
+        self.shapes[shape] += 1
+        if hashed < self.below:
+            self.hashes.add(hashed)
+            if len(self.hashes) > 4 * KEPT_HASHES:
+                self.hashes = set(sorted(self.hashes)[:KEPT_HASHES])
+                self.below = max(self.hashes)
+
+    def number(self, value: float) -> None:
+        try:
+            number = float(value)
+        except OverflowError:
+            number = float("inf") if value > 0 else float("-inf")
+        number = min(max(number, -1.7e308), 1.7e308)
+        self.types[1] += 1
+        self.whole += number == int(number)
+        self.total += number
+        if number < self.low:
+            self.low = number
+        if number > self.high:
+            self.high = number
+
+    def row(self) -> tuple:
+        return (self.n, *self.types, *self.shapes, self.whole, self.total, self.low, self.high, sorted(self.hashes)[:KEPT_HASHES])
+
 
-    def add(self, value: object, shapes: dict[str, int]) -> None:
-        self.n += 1
-        kind = json_type(value)
-        if kind < 0:
-            return
-        self.types[kind] += 1
-        if kind == 0:
-            at = shapes.get(value)
-            if at is None:
-                at = shape_of(value)
-                if len(shapes) < 50_000:
-                    shapes[value] = at
-            self.shapes[at] += 1
-            self.keep(zlib.crc32(value.encode("utf-8", "surrogatepass")))
-        elif kind == 1:
-            try:
-                number = float(value)
-            except OverflowError:
-                number = 1.7e308 if value > 0 else -1.7e308
-            self.whole += number == int(number)
-            self.total += number
-            self.low, self.high = min(self.low, number), max(self.high, number)
-
-    def keep(self, hashed: int) -> None:
-        self.hashes.add(hashed)
-        if len(self.hashes) > 4 * KEPT_HASHES:
-            self.hashes = set(sorted(self.hashes)[:KEPT_HASHES])
+class _Texts(dict):
+    """Shape and hash of texts, remembered while they are not too many."""
+
+    def __missing__(self, text: str) -> tuple[int, int]:
+        made = shape_of(text), zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        if len(self) < 50_000 and len(text) < 1000:
+            self[text] = made
+        return made
+
+
+def fold_record(record: dict, folds: dict[str, _Fold], texts: _Texts) -> None:
+    """Add every field of a record to the folds of its file; elements of arrays come as `path[]`. Not recursive, so depth is no limit."""
+    stack: list[tuple[str, object]] = [("", record)]
+    while stack:
+        at, holder = stack.pop()
+        if type(holder) is dict:
+            head = f"{at}." if at else ""
+            fields = [(head + key, value) for key, value in holder.items()]
+        else:
+            inner = f"{at}[]"
+            fields = [(inner, value) for value in holder]
+        for path, value in fields:
+            fold = folds.get(path)
+            if fold is None:
+                fold = folds[path] = _Fold()
+            fold.n += 1
+            kind = type(value)
+            if kind is str:
+                fold.string(texts[value])
+            elif kind is float or kind is int:
+                fold.number(value)
+            elif kind is bool:
+                fold.types[2] += 1
+            elif kind is dict:
+                fold.types[3] += 1
+                stack.append((path, value))
+            elif kind is list:
+                fold.types[4] += 1
+                stack.append((path, value))
 
 
 _FOLDED = T.StructType(
@@ -169,24 +192,35 @@ _FOLDED = T.StructType(
 )
 
 
+FOLDS_HELD = 100_000  # a task gives out its folds when it holds so many
+
+
 def _fold_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shapes: dict[str, int] = {}
+    texts = _Texts()
+    files: dict[tuple, dict[str, _Fold]] = defaultdict(dict)
+    held = 0
+
+    def given() -> pd.DataFrame:
+        return pd.DataFrame([(*key, path, *fold.row()) for key, folds in files.items() for path, fold in folds.items()], columns=_FOLDED.names)
+
     for batch in batches:
-        folds: dict[tuple, _Fold] = {}
         for feed, file_no, file_id, payload in zip(batch["feed"], batch["file_no"], batch["file_id"], batch["payload"], strict=True):
-            key = (feed, int(file_no), file_id)
+            folds = files[(feed, int(file_no), file_id)]
+            before = len(folds)
             # A row for the file itself, so that a file without any valid record still is a file.
-            folds.setdefault((*key, ""), _Fold()).n += 1
-            record = parse_record(payload)
-            if record is None:
-                continue
-            for path, value in walk(record):
-                fold = folds.get((*key, path))
-                if fold is None:
-                    fold = folds[(*key, path)] = _Fold()
-                fold.add(value, shapes)
-        rows = [(*key, f.n, *f.types, *f.shapes, f.whole, f.total, f.low, f.high, sorted(f.hashes)[:KEPT_HASHES]) for key, f in folds.items()]
-        yield pd.DataFrame(rows, columns=_FOLDED.names)
+            if "" not in folds:
+                folds[""] = _Fold()
+            folds[""].n += 1
+            record = parse_record(payload, exact=False)
+            if record is not None:
+                fold_record(record, folds, texts)
+            held += len(folds) - before
+            if held > FOLDS_HELD:
+                yield given()
+                files.clear()
+                held = 0
+    if files:
+        yield given()
 
 
 def field_profiles(lines: DataFrame, payload: str) -> DataFrame:
@@ -195,6 +229,7 @@ def field_profiles(lines: DataFrame, payload: str) -> DataFrame:
     placed = placed.select("feed", F.col("file_no").cast("long").alias("file_no"), "file_id", F.col(payload).alias("payload"))
     folded = placed.mapInPandas(_fold_batches, _FOLDED)
     sums = ["n", *(f"t_{t}" for t in JSON_TYPES), *(f"s_{s}" for s in SHAPES), "whole", "total"]
+    # One row per task and field comes in, each with at most KEPT_HASHES hashes.
     merged = folded.groupBy(*FILE, "path").agg(
         *(F.sum(c).alias(c) for c in sums), F.min("low").alias("low"), F.max("high").alias("high"), F.flatten(F.collect_list("hashes")).alias("hashes")
     )
@@ -355,6 +390,22 @@ def changes(profiles: DataFrame) -> DataFrame:
     return gathered.mapInPandas(_compare_files, _CHANGE)
 
 
+def alternatives(profiles: DataFrame) -> DataFrame:
+    """Every alternative type that a path takes on or gives up from one file of a feed to the next: feed, file_id (the file in which that began), path, change
+    (`alternative_added`, `alternative_removed`), json_type and `records` (values of that type, in the file that has them). Only paths count that have a type in both files."""
+    order = Window.partitionBy("feed").orderBy("file_no", "file_id")
+    files = profiles.filter(F.col("path") == "").select(*FILE)
+    before = files.select(*FILE, F.lag("file_no").over(order).alias("_old_no"), F.lag("file_id").over(order).alias("_old_id")).filter(F.col("_old_id").isNotNull())
+    types = profiles.filter(F.col("path") != "").select(*FILE, "path", *(F.col(f"t_{t}").alias(t) for t in JSON_TYPES))
+    known = types.filter(" + ".join(JSON_TYPES) + " > 0")
+    old = known.select("feed", F.col("file_no").alias("_old_no"), F.col("file_id").alias("_old_id"), "path", F.struct(*JSON_TYPES).alias("_old"))
+    pairs = known.join(before, list(FILE)).join(old, ["feed", "_old_no", "_old_id", "path"])
+    sides = F.array(*(F.struct(F.lit(t).alias("json_type"), F.col(t).alias("now"), F.col(f"_old.{t}").alias("was")) for t in JSON_TYPES))
+    each = pairs.select("feed", "file_id", "path", F.explode(sides).alias("s")).filter("(s.now > 0) <> (s.was > 0)")
+    change = F.when(F.col("s.now") > 0, "alternative_added").otherwise("alternative_removed")
+    return each.select("feed", "file_id", "path", change.alias("change"), "s.json_type", F.greatest("s.now", "s.was").alias("records"))
+
+
 # ---------------------------------------------------------------- one consistent table
 
 
@@ -431,48 +482,90 @@ def canonical_value(value: object, at: str, names: Names, mixed: set[str]) -> ob
     return value
 
 
-def _together(profiles: DataFrame, paths: list[str]) -> list[tuple[str, str]]:
-    """Pairs of these paths that occur in one file, at most as many as there are pairs of names."""
-    held = profiles.filter(F.col("path").isin(paths)).groupBy(*FILE).agg(F.array_sort(F.collect_set("path")).alias("held"))
+def _together(profiles: DataFrame, linked_names: list[str]) -> list[tuple[str, str]]:
+    """Pairs of paths with linked names that occur in one file, at most as many as there are pairs of names."""
+    held = profiles.filter(F.element_at(F.split("path", r"\."), -1).isin(linked_names)).groupBy(*FILE).agg(F.array_sort(F.collect_set("path")).alias("held"))
     one = held.select("held", F.explode("held").alias("a"))
     pairs = one.select("a", F.explode(F.filter("held", lambda p: p > F.col("a"))).alias("b")).distinct()
-    return [(r["a"], r["b"]) for r in pairs.collect() if r["a"].count(".") == r["b"].count(".")]
+    depth = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("."), F.lit("")))
+    return [(r["a"], r["b"]) for r in _no_more_than(pairs.filter(depth("a") == depth("b")), MOST_PATHS)]
+
+
+MOST_PATHS = 20_000  # names that may go to the driver: columns of the table, fields with several types, renamed fields
+
+
+def _no_more_than(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} fields are columns, renamed or of several types: the keys of some objects look like data")
+    return rows
+
+
+def _values_at(record: dict, steps: list[tuple[str, int]]) -> object:
+    """What is at a path of (name, arrays right below it): a list, nested as the arrays are, where it lies below arrays; None where something is in the way."""
+    (name, arrays), rest = steps[0], steps[1:]
+    value = record.get(name)
+
+    def below(value: object, arrays: int) -> object:
+        if arrays:
+            return [below(x, arrays - 1) for x in value] if isinstance(value, list) else None
+        if not rest:
+            return value
+        return _values_at(value, rest) if isinstance(value, dict) else None
+
+    return below(value, arrays)
+
+
+def _flat(value: object, arrays: int) -> list:
+    """The members of nested arrays in one list; where an array is missing, none."""
+    if not arrays:
+        return [value]
+    return [x for part in value for x in _flat(part, arrays - 1)] if isinstance(value, list) else []
 
 
 def unified(lines: DataFrame, payload: str) -> DataFrame:
     """Every line as one row: the line's own columns, `is_valid`, and for each canonical top-level field its
     text and one branch column per JSON type that it ever has (`<field>__string`, `__number`, `__boolean`,
-    `__json`). Names linked by a rename that occur together in any file stay two fields. Lines that can't be placed have
-    their fields too, each payload as a file of its own. Only names of fields go to the driver, as many as the schemas have,
-    however many lines there are."""
+    `__json`). A field beneath another one that has several types gets such branches too, named by its path with `_`; below arrays they hold an array each, in order
+    of the elements, with nulls for elements of another type. Names linked by a rename that occur together in any file stay two fields. Lines that can't be placed have
+    their fields too, each payload as a file of its own. Names go to the driver, never records: those of top-level fields, of fields with several types and of renamed
+    ones; more than `MOST_PATHS` are refused. A key that itself holds a dot is taken for a path, and a top-level one gets no column."""
     from assay.session import cut
 
     placed = cut(field_profiles(lines, payload))
-    linked = changes(placed).filter(F.col("change_kind") == "renamed").groupBy("old_field", "new_field").count().collect()
+    linked = _no_more_than(changes(placed).filter(F.col("change_kind") == "renamed").groupBy("old_field", "new_field").count(), MOST_PATHS)
     renames = {(r["old_field"], r["new_field"]): r["count"] for r in linked}
     loose = lines.filter(F.col("feed").isNull() | F.col("file_no").isNull() | F.col("file_id").isNull())
     loose = loose.select(F.lit("").alias("feed"), F.lit(0).alias("file_no"), F.xxhash64(payload).cast("string").alias("file_id"), payload)
     profiles = placed.unionByName(cut(field_profiles(loose, payload)).withColumn("feed", F.lit(None).cast("string")))
-    kinds = profiles.filter(F.col("path") != "").groupBy("path").agg(F.count(F.lit(1)).alias("files"), *(F.max((F.col(f"t_{t}") > 0).cast("int")).alias(t) for t in JSON_TYPES)).collect()
-    linked_names = {p.rpartition(".")[2] for pair in renames for p in pair}
-    together = _together(profiles, sorted(r["path"] for r in kinds if r["path"].rpartition(".")[2] in linked_names)) if renames else []
-    names = Names(renames, {r["path"]: r["files"] for r in kinds}, together)
-    union: dict[str, set[str]] = defaultdict(set)
-    for r in kinds:
-        union[names.canonical(r["path"])] |= {t for t in JSON_TYPES if r[t]}
+    kinds = cut(profiles.filter(F.col("path") != "").groupBy("path").agg(F.count(F.lit(1)).alias("files"), *(F.max((F.col(f"t_{t}") > 0).cast("int")).alias(t) for t in JSON_TYPES)))
+    linked_names = sorted({p.rpartition(".")[2] for pair in renames for p in pair})
+    together = _together(profiles, linked_names) if renames else []
+    counts = {r["path"]: r["files"] for r in _no_more_than(kinds.filter(F.col("path").isin([p for pair in renames for p in pair])).select("path", "files"), MOST_PATHS)} if renames else {}
+    names = Names(renames, counts, together)
+    canonical = F.pandas_udf(lambda paths: paths.map(names.canonical), "string")
+    fused = kinds.groupBy(canonical("path").alias("path")).agg(*(F.max(t).alias(t) for t in JSON_TYPES))
+    tagged = F.greatest("string", F.lit(0)) + F.col("number") + F.col("boolean") + F.greatest("object", "array")
+    top_level = ~F.col("path").contains(".") & ~F.col("path").endswith("[]")
+    wanted = fused.filter(top_level | (tagged > 1) | ((F.col("object") == 1) & (F.col("array") == 1)))
+    union = {r["path"]: {t for t in JSON_TYPES if r[t]} for r in _no_more_than(wanted, MOST_PATHS)}
     mixed = {p for p, types in union.items() if {"object", "array"} <= types}
-    top = sorted(p for p in union if "." not in p and not p.endswith("[]"))
     branch = {"string": ("string", T.StringType()), "number": ("number", T.DoubleType()), "boolean": ("boolean", T.BooleanType()), "object": ("json", T.StringType()), "array": ("json", T.StringType())}
     taken = {c.lower() for c in lines.columns} - {payload.lower()} | {"is_valid"}
     columns: list[tuple[str, str | None, str, T.DataType]] = []
-    for p in top:
-        tags = [None, *dict.fromkeys(branch[t] for t in JSON_TYPES if t in union[p])]
-        for tag in tags:
-            name = p if tag is None else f"{p}__{tag[0]}"
+    for p in sorted(union, key=lambda p: ("." in p or p.endswith("[]"), p)):
+        nested = "." in p or p.endswith("[]")
+        tags = list(dict.fromkeys(branch[t] for t in JSON_TYPES if t in union[p]))
+        if nested and len(tags) < 2:
+            continue
+        for tag in tags if nested else [None, *tags]:
+            plain = p.replace("[]", "").replace(".", "_")
+            name = plain if tag is None else f"{plain}__{tag[0]}"
             while name.lower() in taken:
                 name += "_"
             taken.add(name.lower())
-            columns.append((p, None if tag is None else tag[0], name, T.StringType() if tag is None else tag[1]))
+            kind = T.StringType() if tag is None else tag[1]
+            columns.append((p, None if tag is None else tag[0], name, T.ArrayType(kind) if "[]" in p else kind))
     own = [f for f in lines.schema.fields if f.name != payload]
     schema = T.StructType([*own, T.StructField("is_valid", T.BooleanType()), *(T.StructField(n, t) for _, _, n, t in columns)])
 
@@ -481,6 +574,7 @@ def unified(lines: DataFrame, payload: str) -> DataFrame:
 
     kind_of = {"json": pa.string(), "string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), None: pa.string()}
     tag_of = {-1: None, 0: "string", 1: "number", 2: "boolean", 3: "json", 4: "json"}
+    steps = {p: [(s.replace("[]", ""), s.count("[]")) for s in p.split(".")] for p, _, _, _ in columns}
 
     def number_of(value: object) -> float:
         try:
@@ -488,7 +582,12 @@ def unified(lines: DataFrame, payload: str) -> DataFrame:
         except OverflowError:
             return float("inf") if value > 0 else float("-inf")
 
-    def convert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def as_tag(value: object, tag: str | None) -> object:
+        if value is None or (tag is not None and tag_of[json_type(value)] != tag):
+            return None
+        return number_of(value) if tag == "number" else value if tag == "boolean" else text_of(value)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             place = whole.schema.names.index
             for start in range(0, whole.num_rows, 1000):  # so many parsed records at once
@@ -497,14 +596,12 @@ def unified(lines: DataFrame, payload: str) -> DataFrame:
                 plain = [canonical_value(r, "", names, mixed) if r is not None else {} for r in records]
                 made = [batch.column(place(f.name)) for f in own] + [pa.array([r is not None for r in records], pa.bool_())]
                 for field, tag, _, _ in columns:
-                    values = [r.get(field) for r in plain]
-                    if tag is not None:
-                        values = [v if tag_of[json_type(v)] == tag else None for v in values]
-                    if tag == "number":
-                        values = [None if v is None else number_of(v) for v in values]
-                    elif tag != "boolean":
-                        values = [text_of(v) for v in values]
-                    made.append(pa.array(values, kind_of[tag]))
+                    values = [_values_at(r, steps[field]) for r in plain]
+                    arrays = sum(n for _, n in steps[field])
+                    if arrays:
+                        made.append(pa.array([None if v is None else [as_tag(x, tag) for x in _flat(v, arrays)] for v in values], pa.list_(kind_of[tag])))
+                    else:
+                        made.append(pa.array([as_tag(v, tag) for v in values], kind_of[tag]))
                 yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     return lines.mapInArrow(convert, schema)

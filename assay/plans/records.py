@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.operators import badrows, drift, shred
-from assay.session import ship
+from assay.session import cut, ship
 from assay.sources.tables import table
 
 KEY = ("log_id",)
@@ -60,11 +60,27 @@ def p3_metric_values(spark: SparkSession, sf: str) -> DataFrame:
     return _tables(spark, sf)["metric_values"]
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Every change of the fields between consecutive files of a feed."""
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles of all files, written down as they are used more than once."""
     ship(spark)
     lines = table(spark, sf, "audit_line").select("feed", "file_id", "file_no", "payload")
-    return drift.changes(drift.field_profiles(lines, "payload")).select("file_id", "change_kind", "old_field", "new_field")
+    return cut(drift.field_profiles(lines, "payload"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every change of the fields between consecutive files of a feed."""
+    return drift.changes(_profiles(spark, sf)).select("file_id", "change_kind", "old_field", "new_field")
+
+
+def p4_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each path has each JSON type in each file."""
+    found = _profiles(spark, sf).filter("path <> ''")
+    return found.select("feed", "file_no", "file_id", "path", "n", *(F.col(f"t_{t}").alias(t) for t in drift.JSON_TYPES))
+
+
+def p4_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every alternative type that a path takes on or gives up, with the file in which that began."""
+    return drift.alternatives(_profiles(spark, sf))
 
 
 def p4_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +90,7 @@ def p4_table(spark: SparkSession, sf: str) -> DataFrame:
     return drift.unified(lines, "payload")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p3_found, p3_records, p3_categories, p3_metrics, p3_metric_values, p4_found, p4_table)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p3_found, p3_records, p3_categories, p3_metrics, p3_metric_values, p4_found, p4_table, p4_profiles, p4_alternatives)}
 
 _QUOTED = r'("([^"]|"")*"|[^",]*)'
 _PARSED = rf"""
@@ -114,3 +130,27 @@ UNION ALL SELECT log_id, 'metric_values[' || metric_values_key || ']' FROM ({_P3
 UNION ALL SELECT log_id, 'production_outcome' FROM audit_record WHERE production_outcome.deployment_date IS NOT NULL OR production_outcome.incident_observed IS NOT NULL
   OR production_outcome.drift_detected IS NOT NULL OR production_outcome.audit_finding IS NOT NULL OR production_outcome.retraining_triggered IS NOT NULL
   OR production_outcome.production_success_label IS NOT NULL"""
+
+_KINDS = {"string": ("VARCHAR",), "number": ("UBIGINT", "BIGINT", "DOUBLE", "HUGEINT"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
+_PROFILES = (
+    r"""WITH placed AS (SELECT feed, CAST(file_no AS BIGINT) AS file_no, file_id, payload FROM audit_line WHERE feed IS NOT NULL AND file_no IS NOT NULL AND file_id IS NOT NULL),
+good AS (SELECT * FROM placed WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+cells AS (SELECT feed, file_no, file_id, replace(regexp_replace(substr(t.fullkey, 3), '\[[0-9]+\]', '[]', 'g'), '"', '') AS path, t.type AS kind FROM good, json_tree(good.payload) AS t WHERE t.fullkey <> '$'),
+p AS (SELECT feed, file_no, file_id, path, count(*) AS n, """
+    + ", ".join(f"count(*) FILTER (kind IN {kinds if len(kinds) > 1 else '(' + repr(kinds[0]) + ')'}) AS {name}" for name, kinds in _KINDS.items())
+    + " FROM cells GROUP BY ALL)"
+)
+SQL["p4_profiles"] = _PROFILES + " SELECT * FROM p"
+SQL["p4_alternatives"] = (
+    _PROFILES
+    + """, files AS (SELECT DISTINCT feed, file_no, file_id FROM placed),
+steps AS (SELECT *, lag(file_no) OVER w AS old_no, lag(file_id) OVER w AS old_id FROM files WINDOW w AS (PARTITION BY feed ORDER BY file_no, file_id)),
+pairs AS (SELECT now.feed, now.file_id, now.path, """
+    + ", ".join(f"now.{t} AS now_{t}, was.{t} AS was_{t}" for t in _KINDS)
+    + """ FROM p AS now JOIN steps AS s ON now.feed = s.feed AND now.file_no = s.file_no AND now.file_id = s.file_id
+  JOIN p AS was ON was.feed = s.feed AND was.file_no = s.old_no AND was.file_id = s.old_id AND was.path = now.path
+  WHERE """
+    + " AND ".join("(" + " OR ".join(f"{side}.{t} > 0" for t in _KINDS) + ")" for side in ("now", "was"))
+    + ") "
+    + " UNION ALL ".join(f"SELECT feed, file_id, path, CASE WHEN now_{t} > 0 THEN 'alternative_added' ELSE 'alternative_removed' END AS change, '{t}' AS json_type, greatest(now_{t}, was_{t}) AS records FROM pairs WHERE (now_{t} > 0) <> (was_{t} > 0)" for t in _KINDS)
+)

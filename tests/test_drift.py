@@ -110,9 +110,9 @@ def test_renames_do_not_depend_on_file_size(spark):
 
 def test_part_of_a_large_vocabulary_is_alike():
     def picture(values):
-        fold, shapes = drift._Fold(), {}
+        fold, texts = drift._Fold(), drift._Texts()
         for v in values:
-            fold.add(v, shapes)
+            fold.string(texts[v])
         return {"t_string": fold.types[0], "hashes": sorted(fold.hashes)[: drift.KEPT_HASHES], **{f"s_{s}": c for s, c in zip(drift.SHAPES, fold.shapes, strict=True)}}
 
     letters = "abcdefghij"
@@ -163,3 +163,45 @@ def test_floats_beyond_a_double(spark):
     assert sorted(r.a__number for r in got) == 2 * [float("-inf")] + [2.0, 2.0] + 2 * [float("inf")]
     assert {int(r.a) for r in got} == {10**400, -25 * 10**399, 2}
     assert all("Infinity" not in r.m for r in got) and {json.loads(r.m)["b"] for r in got} >= {-(10**400), 0.0}
+
+
+def test_alternatives_that_appear_and_go(spark):
+    numbers = [{"a": i, "m": {"b": "x"}, "l": [{"c": 1}]} for i in range(100)]
+    mixed = [{"a": i if i % 3 else str(i), "m": {"b": "x"}, "l": [{"c": True if i == 7 else 1}]} for i in range(100)]
+    only = [{"a": str(i), "m": {"b": None}, "l": []} for i in range(100)]
+    df = lines(spark, {("f", 1): numbers, ("f", 2): mixed, ("f", 4): only, ("g", 1): only})
+    got = {(r.file_id, r.path, r.change, r.json_type, r.records) for r in drift.alternatives(drift.field_profiles(df, "payload")).collect()}
+    assert got == {("f/2", "a", "alternative_added", "string", 34), ("f/2", "l[].c", "alternative_added", "boolean", 1), ("f/4", "a", "alternative_removed", "number", 66)}
+    assert found(spark, {("f", 1): numbers, ("f", 2): mixed}) == []  # the commonest types stay
+
+
+def test_branches_of_nested_fields(spark):
+    records = [{"m": {"b": 1, "c": "x"}, "l": [{"v": 1.5}, {"v": "high"}, 7, {}]}, {"m": {"b": "one"}, "l": [{"v": None}]}, {"m": 3, "l": None}, {"k": 1}]
+    got = {r.line_id: r for r in drift.unified(lines(spark, {("f", 1): records}), "payload").collect()}
+    assert (got[1].m_b__number, got[1].m_b__string, got[2].m_b__number, got[2].m_b__string, got[3].m_b__number) == (1.0, None, None, "one", None)
+    assert (got[1].l_v__number, got[1].l_v__string, got[2].l_v__number) == ([1.5, None, None, None], [None, "high", None, None], [None])
+    assert got[3].l_v__number is None and got[4].l_v__string is None and got[4].k == "1"
+    assert got[3].m__number == 3.0 and got[1].m__json == json.dumps({"b": 1, "c": "x"}) and "m_c__string" not in got[1]
+
+
+def test_too_many_names_are_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(drift, "MOST_PATHS", 5)
+    with pytest.raises(ValueError):
+        drift.unified(lines(spark, {("f", 1): [{f"k{i}": i for i in range(6)}]}), "payload")
+    # Keys below a field are not columns, however many they are.
+    df = drift.unified(lines(spark, {("f", 1): [{"m": {f"k{i}": i for i in range(60)}}]}), "payload")
+    assert df.columns[-2:] == ["m", "m__json"]
+
+
+def test_folds_given_out_early_add_up(spark, monkeypatch):
+    rows = [{"a": i, "b": f"w{i}"} for i in range(40)]
+    df = lines(spark, {("f", 1): rows, ("f", 2): rows}).coalesce(1)
+    want = sorted(map(str, drift.field_profiles(df, "payload").collect()))
+    batches = [df.toPandas()]
+    monkeypatch.setattr(drift, "FOLDS_HELD", 2)
+    parts = list(drift._fold_batches(batches))
+    assert len(parts) > 1
+    monkeypatch.setattr(drift, "_fold_batches", lambda _: iter(parts))
+    assert len(want) == 6 and sum(p["n"].sum() for p in parts) == 6 * 40
