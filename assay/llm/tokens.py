@@ -5,8 +5,11 @@ that overlap by `overlap` characters, and the chunks are pre-tokenised in parall
 has no memory: what follows a boundary depends only on the text after it. So where a boundary found by one chunk
 in the overlap is also found by the next one, the two agree from there on. They are right there if the earlier chunk is, and
 that one is right from its first change of a non-space to a white space on, since no pre-token spans such a change, wherever it was begun.
-The text is cut at that place, the pieces are encoded in parallel, and their ids are put together in order. Where no
-such boundary is shared within the overlap, the two chunks stay one piece.
+The text is cut at that place, each chunk encodes its own piece, and the ids are put together in order. A text of which two chunks share no
+such boundary within the overlap is put together again and encoded in the pieces that it has.
+
+The corpus is scanned twice, once for the short and once for the long texts. A long text is shuffled once, as chunks, which are written down: what
+is sent to them after that is only where to cut.
 
 Defined results: an empty text and a null text both give an empty list; special-token strings in a text are ordinary
 text; every input row gives one row, with repeated rows and null ids too; columns of the input that clash with
@@ -24,9 +27,13 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from assay.operators.ranks import few_or_shuffled
+from assay.session import cut
 
 #: Where the public vocabularies lie; they are not part of this package.
 TOKENIZERS = os.environ.get("ASSAY_TOKENIZERS", "/opt/tokenizers")
@@ -98,43 +105,78 @@ def shared_cut(tail: Iterable[int], head: Iterable[int]) -> int | None:
     return min(common) if common else None
 
 
-def _long_pieces(long_texts: DataFrame, spec: ChunkSpec) -> DataFrame:
-    """(text_key, piece_no, piece) of texts with columns text_key and text."""
+CHUNKS_AT_ONCE = 256
+
+
+def _chunked(keep: list[str], spec: ChunkSpec):
+    """Rows of chunks: `_row` (a number of the text), `no`, `part`, and with the first chunk the columns to keep as `_k0`, `_k1`, ..."""
 
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for key, text in zip(batch["text_key"], batch["text"], strict=True):
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            made: list[tuple[int, int, str, int | None]] = []
+            for i, text in enumerate(batch.column(at["_text"]).to_pylist()):
                 for no, start in enumerate(range(0, len(text), spec.chunk)):
                     # What a chunk needs: itself, the overlap after it, and two characters to look ahead at.
-                    part = text[start : start + spec.chunk + spec.overlap + 2]
-                    yield pd.DataFrame({"text_key": [key], "no": [no], "part": [part], "is_last": [start + len(part) >= len(text)]})
+                    made.append((row, no, text[start : start + spec.chunk + spec.overlap + 2], None if no else i))
+                    if len(made) == CHUNKS_AT_ONCE:
+                        yield _chunk_batch(made, batch, at, keep)
+                        made = []
+                row += 1
+            if made:
+                yield _chunk_batch(made, batch, at, keep)
+
+    return run
+
+
+def _chunk_batch(made: list[tuple], batch: pa.RecordBatch, at: dict[str, int], keep: list[str]) -> pa.RecordBatch:
+    rows, numbers, parts, first = zip(*made, strict=True)
+    origin = pa.array(first, pa.int64())
+    kept = [batch.column(at[f"_k{i}"]).take(origin) for i in range(len(keep))]
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.string()), *kept], names=["_row", "no", "part", *(f"_k{i}" for i in range(len(keep)))])
+
+
+def _cuts(chunks: DataFrame, spec: ChunkSpec) -> DataFrame:
+    """Of each long text `cuts`: for each chunk but the first where its piece begins, in characters of the text, null where it shares no boundary with the chunk before."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            heads, tails = [], []
-            for no, part in zip(batch["no"], batch["part"], strict=True):
-                head, tail = head_and_tail(part, no == 0, spec)
-                heads.append(head)
-                tails.append([b - spec.chunk for b in tail])
-            yield pd.DataFrame({"text_key": batch["text_key"], "no": batch["no"], "head": heads, "tail": tails})
-
-    chunks = long_texts.mapInPandas(chunked, "text_key string, no int, part string, is_last boolean")
-    chunks = chunks.repartition("text_key", "no")
-    marks = chunks.mapInPandas(marked, "text_key string, no int, head array<int>, tail array<int>")
-    order = Window.partitionBy("text_key").orderBy("no")
-    agreed = F.array_min(F.array_intersect("head", F.lag("tail").over(order)))
-    cuts = marks.withColumn("at", F.when(F.col("no") > 0, F.col("no") * spec.chunk + agreed)).filter(F.col("at").isNotNull())
-    cuts = cuts.groupBy("text_key").agg(F.array_sort(F.collect_list("at")).alias("cuts"))
-    with_cuts = long_texts.join(cuts, "text_key", "left")
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = [head_and_tail(part, no == 0, spec) for no, part in zip(batch["no"], batch["part"], strict=True)]
+            yield pd.DataFrame({"_row": batch["_row"], "no": batch["no"], "head": [h for h, _ in found], "tail": [[b - spec.chunk for b in t] for _, t in found]})
+
+    marks = chunks.select("_row", "no", "part").mapInPandas(marked, "_row long, no int, head array<int>, tail array<int>")
+    agreed = F.array_min(F.array_intersect("head", F.lag("tail").over(Window.partitionBy("_row").orderBy("no"))))
+    at = marks.select("_row", "no", (F.col("no") * spec.chunk + agreed).alias("at"))
+    return at.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "at"))), lambda c: c["at"]).alias("cuts"))
+
+
+def _pieces(spec: ChunkSpec):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            cut_from = []
+            for no, part, cuts in zip(batch.column(at["no"]).to_pylist(), batch.column(at["part"]).to_pylist(), batch.column(at["cuts"]).to_pylist(), strict=True):
+                begin = cuts[no] - no * spec.chunk if no else 0
+                cut_from.append(part[begin : cuts[no + 1] - no * spec.chunk if no + 1 < len(cuts) else len(part)])
+            kept = [(n, batch.column(i)) for n, i in at.items() if n not in ("part", "cuts")]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(cut_from, pa.string())], names=[*(n for n, _ in kept), "piece"])
+
+    return run
+
+
+def _rejoined(spec: ChunkSpec):
+    """Texts with a missing cut, each put together from its chunks and cut where it can be."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text, at in zip(batch["text_key"], batch["text"], batch["cuts"], strict=True):
-                edges = [0, *(int(x) for x in (at if at is not None else [])), len(text)]
-                parts = [text[a:b] for a, b in zip(edges, edges[1:], strict=False) if b > a]
-                yield pd.DataFrame({"text_key": [key] * len(parts), "no": range(len(parts)), "piece": parts})
+            for row, parts, cuts in zip(batch["_row"], batch["parts"], batch["cuts"], strict=True):
+                text = "".join(p["part"][: spec.chunk] for p in parts)
+                edges = [0, *(int(c) for c in cuts if c is not None and c == c), len(text)]
+                some = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+                yield pd.DataFrame({"_row": [row] * len(some), "no": range(len(some)), "piece": some})
 
-    return with_cuts.mapInPandas(pieces, "text_key string, no int, piece string")
+    return run
 
 
 def _arrow_encode(name: str, spec: ChunkSpec, keep: list[str], text: str, counted: bool):
@@ -153,26 +195,38 @@ def _arrow_encode(name: str, spec: ChunkSpec, keep: list[str], text: str, counte
 
 def _encoded(df: DataFrame, text: str, name: str, spec: ChunkSpec, counted: bool) -> DataFrame:
     made = "n_tokens" if counted else "ids"
+    value = T.StructField(made, T.LongType() if counted else T.ArrayType(T.IntegerType()))
     keep = [c for c in df.columns if c not in (text, made)]
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    kind = "bigint" if counted else "array<int>"
-    size = F.coalesce(F.length(text), F.lit(0))
-    schema = f"{fields + ', ' if fields else ''}{made} {kind}"
-    short = df.filter(size <= spec.chunk).select(*keep, text).mapInArrow(_arrow_encode(name, spec, keep, text, counted), schema)
-    long_rows = df.filter(size > spec.chunk).select(*keep, F.col(text).alias("_text"))
-    # A key per row and not per text: a text that a third of all rows share would be a hot key.
-    identity = F.concat(F.to_json(F.struct(*keep)), F.lit("\u0000"), F.col("_text")) if keep else F.col("_text")
-    keyed = long_rows.withColumn("_text_key", F.sha2(identity.cast("binary"), 256))
-    distinct = keyed.select(F.col("_text_key").alias("text_key"), F.col("_text").alias("text")).dropDuplicates(["text_key"])
-    pieces = _long_pieces(distinct, spec).repartition("text_key", "no")
-    done = pieces.mapInArrow(_arrow_encode(name, spec, ["text_key", "no"], "piece", counted), f"text_key string, no int, {made} {kind}")
+    kept_fields = [df.schema[c] for c in keep]
+    size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
+    quoted = [F.col(f"`{c}`") for c in keep]
+    own = "_text"
+    while own in keep:
+        own += "_"
+    short = df.filter(size <= spec.chunk).select(*quoted, F.col(f"`{text}`").alias(own)).mapInArrow(_arrow_encode(name, spec, keep, own, counted), T.StructType([*kept_fields, value]))
+    long_texts = df.filter(size > spec.chunk).select(*(c.alias(f"_k{i}") for i, c in enumerate(quoted)), F.col(f"`{text}`").alias("_text"))
+    head = [T.StructField("_row", T.LongType()), T.StructField("no", T.IntegerType())]
+    carried = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(kept_fields)]
+    chunks = long_texts.mapInArrow(_chunked(keep, spec), T.StructType([*head, T.StructField("part", T.StringType()), *carried]))
+    # Written down: numbers of texts must not change if a part of this has to run again.
+    chunks = cut(chunks.repartition("_row", "no"))
+    cuts = cut(_cuts(chunks, spec))
+    whole = ~F.exists(F.slice("cuts", 2, F.greatest(F.size("cuts") - 1, F.lit(0))), lambda c: c.isNull())
+    names = [f.name for f in carried]
+    pieces = chunks.join(few_or_shuffled(cuts.filter(whole)), "_row").mapInArrow(_pieces(spec), T.StructType([*head, *carried, T.StructField("piece", T.StringType())]))
+    done = pieces.mapInArrow(_arrow_encode(name, spec, ["_row", "no", *names], "piece", counted), T.StructType([*head, *carried, value]))
+    torn = chunks.join(few_or_shuffled(cuts.filter(~whole)), "_row")
+    rejoined = torn.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("no", "part"))).alias("parts"), F.first("cuts").alias("cuts")).mapInPandas(_rejoined(spec), "_row long, no int, piece string")
+    mended = rejoined.mapInArrow(_arrow_encode(name, spec, ["_row", "no"], "piece", counted), T.StructType([*head, value]))
+    first_chunks = torn.filter("no = 0").select(F.col("_row"), F.lit(-1).alias("no"), *names)  # the columns to keep
+    every = done.unionByName(mended, allowMissingColumns=True).unionByName(first_chunks, allowMissingColumns=True)
     if counted:
-        whole = done.groupBy("text_key").agg(F.sum("n_tokens").alias("n_tokens"))
+        put_together = F.coalesce(F.sum(made), F.lit(0)).alias(made)
     else:
-        in_order = F.array_sort(F.collect_list(F.struct("no", "ids")))
-        whole = done.groupBy("text_key").agg(F.flatten(F.transform(in_order, lambda p: p["ids"])).alias("ids"))
-    whole = whole.withColumnRenamed("text_key", "_text_key")
-    return short.unionByName(keyed.drop("_text").join(whole, "_text_key").drop("_text_key"))
+        in_order = F.array_sort(F.collect_list(F.when(F.col("no") >= 0, F.struct("no", made))))
+        put_together = F.flatten(F.transform(in_order, lambda p: p[made])).alias(made)
+    texts = every.groupBy("_row").agg(put_together, *(F.first(n, ignorenulls=True).alias(n) for n in names))
+    return short.unionByName(texts.select(*(F.col(n).alias(f.name) for n, f in zip(names, kept_fields, strict=True)), made))
 
 
 def token_ids(df: DataFrame, text: str, name: str = "byte_bpe_50k", spec: ChunkSpec = DEFAULT) -> DataFrame:

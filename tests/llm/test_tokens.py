@@ -55,6 +55,23 @@ def test_repeated_rows_empty_table_and_clashing_column(spark):
     got = tokens.token_ids(df, "text", spec=tokens.ChunkSpec(chunk=32, overlap=8)).collect()
     assert len(got) == 3 and len({tuple(r.ids) for r in got}) == 1
     assert tokens.token_ids(df.limit(0), "text").count() == 0
+    clash = spark.createDataFrame([("mine", 5, {"a": 1}, "word " * 100), (None, None, None, "word " * 90), ("mine", 5, None, "short")], "_text string, _row int, _k0 map<string,int>, body string")
+    got = tokens.token_counts(clash, "body", spec=tokens.ChunkSpec(chunk=32, overlap=8)).collect()
+    assert sorted((str(r._text), r._row or 0, str(r._k0), r.n_tokens) for r in got) == [("None", 0, "None", 91), ("mine", 5, "None", 1), ("mine", 5, "{'a': 1}", 101)]
     other = spark.createDataFrame([("mine", "k", 7, "word " * 100), ("mine", "k", 7, "short")], "text string, text_key string, no int, body string")
     got = tokens.token_counts(other, "body", spec=tokens.ChunkSpec(chunk=32, overlap=8)).collect()
     assert sorted((r.text, r.text_key, r.no, r.n_tokens) for r in got) == [("mine", "k", 7, 1), ("mine", "k", 7, 101)]
+
+
+def test_texts_without_shared_boundaries_are_put_together_again(spark, encode):
+    """Runs of letters longer than an overlap leave chunks without a common boundary; two rows share a text."""
+    texts = ["x" * 300 + " end", "ab " * 40 + "y" * 100 + " cd" * 60, "z" * 64, "x" * 300 + " end", "ab " * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: list(r.ids) for r in tokens.token_ids(df, "text", spec=tokens.ChunkSpec(chunk=40, overlap=8)).collect()}
+    assert got == {i: encode(t) for i, t in enumerate(texts)}
+
+
+def test_long_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(i, "some words " * 50) for i in range(20)], "doc_id long, text string")
+    plan = tokens.token_ids(df, "text", spec=tokens.ChunkSpec(chunk=40, overlap=8))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_row") <= 2 and "piece" not in "".join(line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line)
