@@ -9,7 +9,8 @@ there is none.
 
 An item longer than the capacity is split into full containers and a rest, which is an item like any other; nothing else is split.
 
-Defined results: items of size 0 or null join any open window (or open one); negative sizes count as 0; repeated
+Defined results: items of size 0 or null join any open window (or open one); negative sizes count as 0; a container takes at most `container_items` items, so
+that the empty ones, however many, neither gather in one window nor share one container; repeated
 rows are packed as the separate items they are; null ids are kept; an empty table gives no containers.
 """
 
@@ -33,6 +34,7 @@ class PackSpec:
     windows: int = 256
     partition_items: int = 100_000
     merge_items: int = 200_000
+    container_items: int = 50_000
 
 
 DEFAULT = PackSpec()
@@ -41,27 +43,31 @@ DEFAULT = PackSpec()
 class Windows:
     """Open containers of one capacity. Numbers are given in the order of opening."""
 
-    def __init__(self, capacity: int, limit: int | None) -> None:
-        self.capacity, self.limit = capacity, limit
+    def __init__(self, capacity: int, limit: int | None, most_items: int) -> None:
+        self.capacity, self.limit, self.most_items = capacity, limit, most_items
         self.room: list[tuple[int, int]] = []  # (room left, number), sorted
+        self.items: dict[int, int] = {}  # of the open ones
         self.opened = 0
         self.closed: set[int] = set()
 
+    def _close(self, number: int) -> None:
+        del self.items[number]
+        self.closed.add(number)
+
     def place(self, size: int) -> int:
         """The number of the container that takes an item of at most the capacity."""
-        if size == 0 and self.room:
-            return self.room[-1][1]
-        at = bisect_left(self.room, (size, -1))
+        at = len(self.room) - 1 if size == 0 and self.room else bisect_left(self.room, (size, -1))
         if at == len(self.room):
             if self.limit is not None and len(self.room) >= self.limit:
-                self.closed.add(self.room.pop(0)[1])
+                self._close(self.room.pop(0)[1])
             number, left = self.opened, self.capacity
             self.opened += 1
         else:
             left, number = self.room.pop(at)
         left -= size
-        if left == 0:
-            self.closed.add(number)
+        self.items[number] = self.items.get(number, 0) + 1
+        if left == 0 or self.items[number] >= self.most_items:
+            self._close(number)
         else:
             insort(self.room, (left, number))
         return number
@@ -86,7 +92,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int
 
     def online(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        open_by = {name: Windows(capacity, spec.windows) for name, capacity in order}
+        open_by = {name: Windows(capacity, spec.windows, spec.container_items) for name, capacity in order}
         held: dict[tuple[str, int], list[tuple]] = {}  # rows of windows that are still open
         types = [pa.string(), pa.string(), None, pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
 
@@ -116,10 +122,12 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: dict[str, int
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        open_by = {name: Windows(capacity, None) for name, capacity in order}
+        open_by = {name: Windows(capacity, None, spec.container_items) for name, capacity in order}
         for batch in batches:
             named = batch.column(0).to_pylist()
             numbers = [open_by[name].place(size) for name, size in zip(named, batch.column(5).to_pylist(), strict=True)]
+            for windows in open_by.values():
+                windows.closed.clear()
             containers = [f"{name}-m{part:05d}-{number:09d}" for name, number in zip(named, numbers, strict=True)]
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[1], columns[6] = pa.array(containers, pa.string()), pa.array([False] * len(named), pa.bool_())

@@ -27,8 +27,8 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,11 +60,24 @@ def byte_encoding(name: str, folder: str = TOKENIZERS):
     """A byte-level tokenizer without special tokens, once per Python worker."""
     import tiktoken
 
-    with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as lines:
+    path = os.path.join(folder, f"{name}.tiktoken")
+    with open(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def send_vocabulary(spark: SparkSession, name: str, folder: str = TOKENIZERS) -> None:
+    """Give executors that don't have the folder the driver's vocabulary file (about a megabyte), once per application."""
+    sent = (spark.sparkContext.applicationId, name, folder)
+    path = os.path.join(folder, f"{name}.tiktoken")
+    if sent not in _sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    _sent.add(sent)
+
+
+_sent: set[tuple[str, str, str]] = set()
+
+
 def decode(ids: Iterable[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
     """The raw bytes of the ids, put together, as text."""
     encoding = byte_encoding(name, folder)
@@ -194,6 +207,7 @@ def _arrow_encode(name: str, spec: ChunkSpec, keep: list[str], text: str, counte
 
 
 def _encoded(df: DataFrame, text: str, name: str, spec: ChunkSpec, counted: bool) -> DataFrame:
+    send_vocabulary(df.sparkSession, name, spec.folder)
     made = "n_tokens" if counted else "ids"
     value = T.StructField(made, T.LongType() if counted else T.ArrayType(T.IntegerType()))
     keep = [c for c in df.columns if c not in (text, made)]

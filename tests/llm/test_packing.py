@@ -63,3 +63,19 @@ def test_null_and_large_ids(spark):
     rows = packing.pack(df, "doc_id", "n", {"a": 20}).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.n_tokens) for r in rows if r.doc_id is not None) == [(False, big, 5), (False, big + 1, 10), (False, big + 1, 20)]
     assert [r.n_tokens for r in rows if r.doc_id is None] == [5]
+
+
+def test_many_empty_items_share_no_single_container(spark):
+    sizes = [0] * 500 + [7] * 20
+    rows = check(packed(spark, sizes, {"a": 10}, container_items=30), sizes, {"a": 10})
+    held = {}
+    for r in rows:
+        held[r.container_id] = held.get(r.container_id, 0) + 1
+    assert max(held.values()) <= 30 and len(held) <= 20 + 500 // 25
+
+
+def test_vocabularies_are_sent_where_the_folder_is_missing(spark, tmp_path):
+    from assay.llm import tokens
+
+    tokens.send_vocabulary(spark, "byte_bpe_50k")
+    assert tokens.byte_encoding("byte_bpe_50k", str(tmp_path)).encode_ordinary("some words") == tokens.byte_encoding("byte_bpe_50k").encode_ordinary("some words")
