@@ -64,3 +64,14 @@ def normal_quantile(p: Column) -> Column:
 def label(name: Column) -> Column:
     """A machine name as a title."""
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def utc_iso(time: Column | None = None) -> Column:
+    """A time (now, if none is given) as ISO text with its offset; microseconds only where there are any. The session's zone is UTC."""
+    time = F.current_timestamp() if time is None else time
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(time, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(time, "SSSSSS"))).otherwise(""), F.lit("+00:00"))
+
+
+def utc_minute(time: Column | None = None) -> Column:
+    """A time (now, if none is given) to the minute, for people."""
+    return F.concat(F.date_format(F.current_timestamp() if time is None else time, "yyyy-MM-dd HH:mm"), F.lit(" UTC"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.scalars import label
+from assay.functions.scalars import label, round4, utc_minute
 
 #: Metric, category, direction, bound of the strong band, bound of the moderate band.
 BANDS = (
@@ -108,11 +108,42 @@ def nested_record(interpreted: DataFrame, categories: DataFrame, run: str = "run
     return nested.join(values, run).withColumn("production_outcome", outcome)
 
 
-def report_lines(interpreted: DataFrame, categories: DataFrame, run: str = "run_id") -> DataFrame:
-    """A Markdown table of the evidence of each run, as one text."""
-    row = F.concat(F.lit("| "), label(F.col("metric_key")), F.lit(" | "), F.coalesce(F.format_string("%.4f", "value"), F.lit("-")), F.lit(" | "), threshold_text(F.col("direction"), F.col("strong_at"), F.col("weak_below")), F.lit(" | "), F.initcap("strength"), F.lit(" |"))
-    rows = interpreted.withColumn("_row", row).groupBy(run, "category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("metric_ord", "metric_key", "_row"))), lambda x: x["_row"]), "\n").alias("_rows"))
+#: The fields of a whole record, in order; the decision's own fields are taken over from wherever they were decided.
+CARRIED = ("record_id", "timestamp_utc", "config_version", "dataset", "task", "risk_tier", "fired_rule_id", "hard_flag", "reason", "recommendation")
+RECORD = ("record_id", "timestamp_utc", "config_version", "dataset", "task", "risk_tier", "metric_values", "categories", "overall_confidence", "fired_rule_id", "hard_flag", "reason", "recommendation", "production_outcome")
+
+
+def last_records(records: DataFrame, run: str = "run_id") -> DataFrame:
+    """Of each run the record that came last (ties: the largest log_id), with the carried fields and `ingested_at`."""
+    known = records.filter(F.col(run).isNotNull()).select(run, F.struct("ingested_at", "log_id", *CARRIED).alias("_row"))
+    return known.groupBy(run).agg(F.max("_row").alias("_row")).select(run, "_row.ingested_at", *(F.col(f"_row.{c}").alias(c) for c in CARRIED))
+
+
+def whole_record(nested: DataFrame, categories: DataFrame, records: DataFrame, run: str = "run_id") -> DataFrame:
+    """Nested rows of `nested_record` with all fields of a record: those of `last_records`, and the weakest category as overall confidence. A run without a record has nulls."""
+    overall = weakest(categories, run).select(run, F.col("confidence").alias("overall_confidence"))
+    return nested.join(overall, run).join(records, run, "left").select(run, *RECORD)
+
+
+def report_lines(interpreted: DataFrame, categories: DataFrame, records: DataFrame | None = None, run: str = "run_id") -> DataFrame:
+    """A Markdown report of each run, as one text: evidence tables by category and, with `records` of `last_records`, a header, a summary, the bounds that were applied, and what was decided by which rule."""
+    value = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.format_string("%.4f", round4(F.col("value")))).otherwise("-")
+    bounds = threshold_text(F.col("direction"), F.col("strong_at"), F.col("weak_below"))
+    row = F.concat(F.lit("| "), label(F.col("metric_key")), F.lit(" | "), value, F.lit(" | "), bounds, F.lit(" | "), F.initcap("strength"), F.lit(" |"))
+    joined = lambda order, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(line)))), lambda x: x[line]), "\n")
+    lines = interpreted.withColumn("_row", row).withColumn("_bound", F.concat(F.lit("- "), label(F.col("metric_key")), F.lit(": "), bounds))
+    rows = lines.groupBy(run, "category").agg(joined(("metric_ord", "metric_key"), "_row").alias("_rows"))
     part = F.concat(F.lit("### "), label(F.col("category")), F.lit(": "), F.initcap("confidence"), F.lit("\n"), F.col("reason"), F.lit("\n| Metric | Value | Threshold | Strength |\n|---|---|---|---|\n"), F.col("_rows"))
     parts = categories.join(rows, [run, "category"]).withColumn("_part", part)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "_part"))), lambda x: x["_part"]), "\n\n")
-    return parts.groupBy(run).agg(text.alias("report"))
+    evidence = parts.groupBy(run).agg(text.alias("_evidence"))
+    if records is None:
+        return evidence.withColumnRenamed("_evidence", "report")
+    applied = lines.groupBy(run).agg(joined(("metric_ord", "metric_key"), "_bound").alias("_bounds"))
+    overall = weakest(categories, run).select(run, F.initcap("confidence").alias("_overall"))
+    every = evidence.join(applied, run).join(overall, run).join(records, run, "left")
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    head = F.concat(F.lit("# Evidence report\n\nRecord: "), said("record_id"), F.lit("\nMade: "), F.coalesce(utc_minute(F.col("ingested_at")), F.lit("-")), F.lit("\nSettings: "), said("config_version"))
+    summary = F.concat(F.lit("\n\n## Summary\n\n- Dataset: "), said("dataset"), F.lit("\n- Task: "), F.coalesce(label(F.col("task")), F.lit("-")), F.lit("\n- Risk tier: "), F.coalesce(F.initcap("risk_tier"), F.lit("-")), F.lit("\n- Overall confidence: "), F.col("_overall"), F.lit("\n\n## Evidence\n\n"))
+    trail = F.concat(F.lit("\n\n## Bounds applied\n\n"), F.col("_bounds"), F.lit("\n\n## Decision\n\n- Rule: "), said("fired_rule_id"), F.lit("\n- Flag: "), said("hard_flag"), F.lit("\n- Result: "), said("recommendation"), F.lit("\n- Reason: "), said("reason"))
+    return every.select(run, F.concat(head, summary, F.col("_evidence"), trail).alias("report"))

@@ -150,16 +150,21 @@ def fairness_degraded(spark: SparkSession, model: Copula, rows: int) -> DataFram
     return out.withColumn("target", F.when((F.col("sex") == "female") & (F.col("target") == 1) & (uniform("flip", F.col("rid")) < FLIPPED), 0).otherwise(F.col("target")))
 
 
+def overwritten_by_position(df: DataFrame, source: DataFrame, columns: list[str], key: str, first: int, tag: str) -> DataFrame:
+    """The first rows of a table, those whose position `_at` is below `first`, with the columns of rows of `source` that a hash of the position draws with replacement.
+    Positions on both sides are by key; the draw is a join on the position drawn, of which each row of `source` has its share whatever their number."""
+    n = source.count()
+    numbered = positions(source.select(key, *columns), [key], "_drawn").select("_drawn", *(F.col(c).alias(f"_r_{c}") for c in columns))
+    drawn = df.withColumn("_drawn", F.when(F.col("_at") < first, F.floor(uniform(tag, F.col("_at")) * n).cast("long")))
+    joined = drawn.join(numbered, "_drawn", "left")
+    hit = F.col("_drawn").isNotNull() & F.lit(n > 0)
+    return joined.select(*(F.when(hit, F.col(f"_r_{c}")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def privacy_leaky(spark: SparkSession, model: Copula, real: DataFrame, rows: int) -> DataFrame:
     """The first 35 % of the rows are copies of real ones, drawn with replacement by a hash."""
-    out = sample(spark, model, rows, "sex", "target", "privacy_leaky")
-    own = [*model.columns, "sex", "target"]
-    numbered = positions(real.select("rid", *own), ["rid"], "_at").drop("rid")
-    n = real.count()
-    drawn = out.withColumn("_at", F.when(F.col("rid") < int(COPIED * rows), F.floor(uniform("copy", F.col("rid")) * n).cast("long")))
-    copies = numbered.select("_at", *(F.col(c).alias(f"_r_{c}") for c in own))
-    joined = drawn.join(copies, "_at", "left")
-    return joined.select("rid", *(F.coalesce(f"_r_{c}", c).cast(out.schema[c].dataType).alias(c) for c in out.columns if c != "rid"))
+    out = sample(spark, model, rows, "sex", "target", "privacy_leaky").withColumn("_at", F.col("rid"))
+    return overwritten_by_position(out, real, [*model.columns, "sex", "target"], "rid", int(COPIED * rows), "copy").drop("_at")
 
 
 def low_utility(spark: SparkSession, model: Copula, rows: int) -> DataFrame:

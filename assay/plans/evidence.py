@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.scalars import clip, label, logistic, round4, uniform, usable
+from assay.functions.scalars import clip, label, logistic, normal_cdf, normal_quantile, round4, uniform, usable
 from assay.operators import copula, encode, kernels, models, ranks
 from assay.session import cut, ship
 from assay.sources.tables import table
@@ -435,6 +435,49 @@ def full_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return interpret(found.drop("category"), band_table(spark)).select("metric_ord", "category", "metric_key", label(F.col("metric_key")).alias("title"), "value", "strength")
 
 
+_COPIES = f"{copula.COPIED}::DOUBLE"
+
+
+@query(
+    _PAIR
+    + f""", sp AS (SELECT *, row_number() OVER (ORDER BY rid) - 1 AS pos FROM s), rp AS (SELECT *, row_number() OVER (ORDER BY rid) - 1 AS pos FROM r),
+d AS (SELECT sp.*, CASE WHEN pos < floor((SELECT count(*) FROM s) * {_COPIES}) THEN CAST(floor({_U.format("'draw:' || pos")} * (SELECT count(*) FROM r)) AS BIGINT) END AS drawn FROM sp)
+SELECT d.rid, coalesce(rp.credit_amount, d.credit_amount) AS credit_amount, coalesce(rp.duration, d.duration) AS duration, coalesce(rp.target, d.target) AS target FROM d LEFT JOIN rp ON d.drawn = rp.pos"""
+)
+def positional_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    """The first synthetic rows overwritten by real ones that are drawn with replacement."""
+    own = ["credit_amount", "duration", "target"]
+    synthetic = cut(ranks.positions(_synthetic(spark, sf).select("rid", *own), ["rid"], "_at"))
+    return copula.overwritten_by_position(synthetic, cut(_real(spark, sf)), own, "rid", int(copula.COPIED * synthetic.count()), "draw").drop("_at")
+
+
+@query(_PAIR + " SELECT " + ", ".join(f"round(stddev_samp({c}), 6) AS {c}" for c in NUMBERS) + " FROM r")
+def sample_deviations(spark: SparkSession, sf: str) -> DataFrame:
+    """Sample deviations, the unit of the noise that rows are perturbed with."""
+    return _real(spark, sf).agg(*(F.round(F.stddev_samp(c), 6).alias(c) for c in NUMBERS))
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, i / 100.0::DOUBLE AS share, CASE WHEN i < 50 THEN -1 WHEN i > 50 THEN 1 ELSE 0 END AS side FROM range(1, 100) AS t(i)")
+def normal_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The normal distribution undoes its inverse, and the inverse is below 0 for the lower half."""
+    share = F.col("id") / 100.0
+    z = normal_quantile(share)
+    side = F.when(F.abs(z) < 0.001, 0).when(z < 0, -1).otherwise(1)
+    return spark.range(1, 100).select(F.col("id").alias("i"), (F.floor(normal_cdf(z) * 100 + 0.5) / 100).alias("share"), side.alias("side"))
+
+
+@query("SELECT round(corr(p_size, p_retailprice), 6) AS size_price, round(corr(p_partkey, p_retailprice), 6) AS key_price, round(corr(p_partkey, p_size), 6) AS key_size, 1.0::DOUBLE AS own FROM part")
+def factor_product(spark: SparkSession, sf: str) -> DataFrame:
+    """The triangular factor of a correlation matrix times its transpose gives the matrix."""
+    import numpy as np
+
+    c = copula.correlations(table(spark, sf, "part"), ["p_partkey", "p_size", "p_retailprice"])
+    factor = np.linalg.cholesky(c + 1e-12 * np.eye(3))
+    back = factor @ factor.T
+    row = [round(float(x), 6) for x in (back[1, 2], back[0, 2], back[0, 1], back[0, 0])]
+    return spark.createDataFrame([row], "size_price double, key_price double, key_size double, own double")
+
+
 def _variants(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     real = cut(_real(spark, sf))
     model = copula.fit(real, NUMBERS, "sex", "target")

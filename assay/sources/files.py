@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable
-from pathlib import Path
-from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +18,17 @@ CREDIT_SCHEMA = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, separator: str = ",") -> DataFrame:
-    """A delimited file with a declared schema. Cells are read as text, all spellings of a missing value are nulls, and a cell that does not fit its type is an error when it is read."""
+#: Quotes are doubled inside quotes, line breaks may stand there, and no white space is dropped.
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, separator: str = ",", multi_line: bool = True) -> DataFrame:
+    """A delimited file with a declared schema. Cells are read as text, all spellings of a missing value are nulls, and a cell that does not fit its type is an error when it is read.
+
+    Quoted cells may hold separators, doubled quotes and line breaks. A file that may hold line breaks can't be split between tasks, so its size bounds
+    the parallelism: many files are read side by side; a huge file that is known to have none is read in parts with `multi_line=False`."""
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    text = spark.read.schema(raw).option("header", header).option("sep", separator).option("multiLine", False).csv(path)
+    text = spark.read.schema(raw).options(**QUOTING).option("header", header).option("sep", separator).option("multiLine", multi_line).csv(path)
     known = lambda c: F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING), F.col(f"`{c}`"))
     return text.select(*((known(f.name) if isinstance(f.dataType, T.StringType) else F.trim(known(f.name)).cast(f.dataType)).alias(f.name) for f in schema.fields))
 
@@ -60,7 +64,7 @@ def first_available(*sources: Callable[[], DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**QUOTING).option("header", True).csv(path)
 
 
 def write_documents(df: DataFrame, path: str) -> None:
@@ -68,6 +72,16 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def json_text(record: Column, indented: bool = False) -> Column:
+    """A record as JSON with all its null fields, in one line or indented."""
+    return F.to_json(record, {"ignoreNullFields": "false", "pretty": str(indented).lower()})
+
+
+def write_each(df: DataFrame, key: str, text: str, path: str) -> None:
+    """A folder per key with its texts (indented documents, reports), appended; for a few records that people open, not for a corpus."""
+    df.select(key, F.col(text).alias("value")).write.mode("append").partitionBy(key).text(path)
+
+
 def write_markdown(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
@@ -77,15 +91,19 @@ def record_key(*columns: str) -> Column:
     return F.lpad(F.lower(F.hex(F.xxhash64(*columns))), 16, "0")
 
 
-def read_settings(*paths: str) -> tuple[dict, str]:
-    """YAML files merged in order, and a version: the start of the SHA-256 of their bytes. Small by nature and read on the driver."""
+def short_id(length: int = 8) -> Column:
+    """The start of a new random id: another one at every evaluation, so write it down before it is used twice."""
+    return F.substring(F.uuid(), 1, length)
+
+
+def read_settings(spark: SparkSession, *paths: str) -> tuple[dict, str]:
+    """YAML files of any file system merged in order, and a version: the start of the SHA-256 of their bytes. Small by nature and read on the driver."""
     import yaml
 
     merged: dict = {}
     blob = b""
     for path in paths:
-        local = Path(urlparse(path).path if path.startswith("file:") else os.fspath(path))
-        data = local.read_bytes()
+        data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
         blob += data
         merged.update(yaml.safe_load(data) or {})
     return merged, hashlib.sha256(blob).hexdigest()[:10]

@@ -71,3 +71,14 @@ def test_nested_record_keeps_order_and_empty_slots(spark):
 def test_empty(spark):
     df = interpreted(spark, [])
     assert bands.by_category(df).count() == 0 and bands.nested_record(df, bands.by_category(df)).count() == 0
+
+
+def test_whole_record_and_report_without_a_record(spark):
+    df = interpreted(spark, [("r", "tstr", 0, None), ("r", "auc_gap", 1, 0.01), ("s", "tstr", 0, 0.99)])
+    records = bands.last_records(spark.createDataFrame([(7, "s", None, "id7", None, "v1", "set", "a_task", "high", "rule", None, "why", "yes"), (9, "s", None, "id9", None, "v1", None, "a_task", "high", "rule", None, "why", "yes")], "log_id long, run_id string, ingested_at timestamp, " + ", ".join(f"{c} string" for c in bands.CARRIED)))
+    categories = bands.by_category(df)
+    got = {r.run_id: r for r in bands.whole_record(bands.nested_record(df, categories), categories, records).collect()}
+    assert (got["s"].record_id, got["s"].dataset, got["s"].overall_confidence) == ("id9", None, "high") and got["r"].record_id is None
+    reports = {r.run_id: r.report for r in bands.report_lines(df, categories, records).collect()}
+    assert "Record: id9" in reports["s"] and "- Task: A Task" in reports["s"] and "| Tstr | - |" in reports["r"] and "- Rule: -" in reports["r"]
+    assert set(bands.report_lines(df, categories).columns) == {"run_id", "report"}

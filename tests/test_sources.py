@@ -19,6 +19,39 @@ def test_csv_round_trip_and_missing_values(spark, tmp_path):
         files.read_csv(spark, str(path), files.CREDIT_SCHEMA).collect()
 
 
+def test_quoted_cells_keep_what_is_in_them(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType()), T.StructField("c", T.StringType())])
+    path = tmp_path / "q.csv"
+    path.write_text('a,b,c\n1,"say ""hi"" now, ok",x\n2,"two\nlines",y\n3," padded ",\\\n4,"",""""\n')
+    want = [(1, 'say "hi" now, ok', "x"), (2, "two\nlines", "y"), (3, " padded ", "\\"), (4, None, '"')]
+    assert [tuple(r) for r in files.read_csv(spark, str(path), schema).collect()] == want
+    files.write_csv(files.read_csv(spark, str(path), schema), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "out"), schema).collect()) == want
+
+
+def test_times_and_ids(spark):
+    from pyspark.sql import functions as F
+
+    from assay.functions import scalars
+
+    df = spark.createDataFrame([(_stamp("2025-03-01T09:08:07"),), (_stamp("2025-03-01T09:08:07.000250"),), (None,)], "t timestamp")
+    got = [(r[0], r[1]) for r in df.select(scalars.utc_iso(F.col("t")), scalars.utc_minute(F.col("t"))).collect()]
+    assert got == [("2025-03-01T09:08:07+00:00", "2025-03-01 09:08 UTC"), ("2025-03-01T09:08:07.000250+00:00", "2025-03-01 09:08 UTC"), (None, None)]
+    row = spark.range(1).select(scalars.utc_iso(), scalars.utc_minute(), files.short_id()).first()
+    assert row[0][:16].replace("T", " ") <= row[1][:16] and len(row[2]) == 8
+
+
+def test_indented_documents_one_by_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("r1", 1), ("r2", None)], "id string, n int").withColumn("doc", files.json_text(F.struct("id", "n"), True))
+    files.write_each(df, "id", "doc", str(tmp_path / "each"))
+    texts = {p.name: "".join(f.read_text() for f in p.glob("*.txt")) for p in (tmp_path / "each").iterdir() if p.is_dir()}
+    assert {k: json.loads(v) for k, v in texts.items()} == {"id=r1": {"id": "r1", "n": 1}, "id=r2": {"id": "r2", "n": None}} and "\n" in texts["id=r2"].strip()
+
+
 def test_whitespace_file_and_fallback(spark, tmp_path):
     path = tmp_path / "b.data"
     path.write_text("A11  6   67\n\n A12\t48 x\nA13\n")
@@ -44,7 +77,7 @@ def test_documents_keep_null_slots(spark, tmp_path):
 def test_settings(spark, tmp_path):
     path = tmp_path / "bands.yaml"
     path.write_text("tstr: {category: utility, direction: higher_better, strong_at: 0.95, weak_below: 0.9}\n")
-    settings, version = files.read_settings(str(path))
+    settings, version = files.read_settings(spark, str(path))
     assert files.bands_from(settings) == BANDS[:1] and len(version) == 10
     with pytest.raises(ValueError):
         files.bands_from({"x": {"category": "c"}})
