@@ -1,6 +1,6 @@
 """Metric values in bands, bands to a confidence per category, and ordered rules where the first match wins.
 
-Bounds are a table, not code: they are joined (a fixed handful of rows, broadcast) and applied in one pass over any number of runs.
+Bounds are a table, not code: they are joined (few rows, checked and broadcast) and applied in one pass over any number of runs.
 """
 
 from __future__ import annotations
@@ -54,9 +54,19 @@ def strength(value: Column, direction: Column, strong_at: Column, weak_below: Co
     return F.when(value.isNull() | F.isnan(value), "weak").when(direction == "higher", higher).otherwise(lower)
 
 
+SMALL = 10_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table of rules or bounds, to be sent to all executors; more than `SMALL` rows are refused."""
+    if table.limit(SMALL + 1).count() > SMALL:
+        raise ValueError(f"a table of rules has more than {SMALL} rows")
+    return F.broadcast(table)
+
+
 def interpret(values: DataFrame, bands: DataFrame) -> DataFrame:
     """Adds the bounds, `strength` and `passed`. Metrics without bounds drop out."""
-    joined = values.join(F.broadcast(bands), "metric_key")
+    joined = values.join(small(bands), "metric_key")
     out = joined.withColumn("strength", strength(F.col("value"), F.col("direction"), F.col("strong_at"), F.col("weak_below")))
     return out.withColumn("passed", F.col("strength") != "weak")
 
@@ -85,9 +95,9 @@ def by_category(interpreted: DataFrame, run: str = "run_id", order: str = "metri
 
 
 def first_match(df: DataFrame, rules: DataFrame, condition: Column, keys: list[str], order: str = "ord", result: str = "outcome", otherwise: str | None = None) -> DataFrame:
-    """The outcome of the first rule, by `order`, whose condition holds for a row; `otherwise` if none does. `rules` is a small table
-    and broadcast; the choice is an aggregate on the row's keys, partial on the map side."""
-    joined = df.join(F.broadcast(rules), condition, "left")
+    """The outcome of the first rule, by `order`, whose condition holds for a row; `otherwise` if none does. `rules` is a small table,
+    checked and broadcast; the choice is an aggregate on the row's keys, partial on the map side."""
+    joined = df.join(small(rules), condition, "left")
     picked = joined.groupBy(*keys).agg(F.min_by(result, order).alias(result))
     return picked.withColumn(result, F.coalesce(result, F.lit(otherwise)))
 

@@ -38,15 +38,15 @@ def classes(df: DataFrame, target: str) -> int:
 
 def _laid_out(df: DataFrame, key: str) -> DataFrame:
     """The same rows in the same places whatever the input's layout: hashed to a number of partitions that follows the row count, sorted by key."""
-    parts = max(1, min(2048, df.count() // 50_000 + 1))
+    parts = max(1, min(2048, df.count() // 8_000 + 1))
     return df.repartition(parts, key).sortWithinPartitions(key)
 
 
 def fit_forest(df: DataFrame, key: str, features: list[str], target: str, spec: ForestSpec = ForestSpec()):
     if classes(df, target) < 2:
         raise ValueError("a forest needs two classes")
-    rows = _vectors(_laid_out(df.withColumn("_label", F.col(target).cast("double")), key), features)
-    return RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=spec.trees, maxDepth=spec.depth, seed=spec.seed, cacheNodeIds=False).fit(rows)
+    rows = cut(_vectors(_laid_out(df.withColumn("_label", F.col(target).cast("double")), key), features).select("_features", "_label"))  # read once for each level of the trees
+    return RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=spec.trees, maxDepth=spec.depth, seed=spec.seed, cacheNodeIds=False, maxMemoryInMB=1024).fit(rows)
 
 
 def fit_logistic(df: DataFrame, features: list[str], target: str):

@@ -334,7 +334,7 @@ def privacy_distances(spark: SparkSession, sf: str) -> DataFrame:
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Real training rows, real test rows and synthetic rows, encoded alike."""
     both = cut(_aligned(spark, sf))
-    real = encode.holdout(both.filter("src = 'r'"), ["target"], "rid", 0.4)
+    real = cut(encode.holdout(both.filter("src = 'r'"), ["target"], "rid", 0.4))
     return real.filter("NOT is_test"), real.filter("is_test"), both.filter("src = 's'")
 
 

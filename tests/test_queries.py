@@ -8,7 +8,7 @@ from tests.oracle import connect, differences
 
 CORE = [n for m in (records, evidence, decisions) for n in m.QUERIES]
 SQL = {n: s for m in (records, evidence, decisions) for n, s in m.SQL.items()}
-SLOW = {"full_evidence", "forest_utility", "forest_calibration", "copula_variants"}
+PARTS = {"forest_utility", "forest_calibration", "logistic_fairness"}  # run as parts of full_evidence
 
 
 @pytest.mark.parametrize("name", [n for n in CORE if n in SQL])
@@ -16,12 +16,27 @@ def test_same_rows_as_sql(spark, sf, name):
     assert differences(__spark_entry__.queries()[name](spark, sf), SQL[name], connect(sf)) == ""
 
 
-@pytest.mark.parametrize("name", [n for n in CORE if n not in SQL and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in CORE if n not in SQL and n not in PARTS | {"full_evidence"}])
 def test_runs(spark, sf, name):
     df = __spark_entry__.queries()[name](spark, sf)
     assert df.columns and len(df.collect()) >= 1
 
 
+def test_all_evidence_with_its_production_models(spark, sf):
+    """Fifteen metrics in their order, from forests of full size; those that SQL can compute are SQL's."""
+    rows = {r.metric_key: r for r in __spark_entry__.queries()["full_evidence"](spark, sf).collect()}
+    from assay.operators.bands import BANDS
+
+    assert sorted(rows.values(), key=lambda r: r.metric_ord)[0].metric_key == "tstr" and set(rows) == {b[0] for b in BANDS}
+    assert all(r.value is not None and 0 <= r.value and (r.value <= 1 or r.metric_key == "nn_distance_ratio") for r in rows.values())
+    con = connect(sf)
+    for name in ("privacy_distances", "tail_coverage", "rare_coverage"):
+        cur = con.execute(SQL[name])
+        for column, value in zip([d[0] for d in cur.description], cur.fetchone(), strict=True):
+            assert column == "minority" or rows[column].value == pytest.approx(value, abs=1e-9)
+    assert rows["tstr"].value > 0.8 and rows["perturbation_stability"].value > 0.6 and rows["brier_score"].value < 0.3
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
