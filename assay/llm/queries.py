@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +137,20 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf, "documents").select("doc_id", "text"), "text", "byte_bpe_50k")
 
 
+@query
+def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids turned back into text: its digest must be that of the text itself."""
+    ids = p6_ids(spark, sf)
+
+    @F.pandas_udf("string")
+    def digest(lists: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.md5(tokens.decode_bytes(x), usedforsecurity=False).hexdigest() for x in lists])
+
+    return ids.select("doc_id", digest("ids").alias("digest"))
+
+
+SQL["p6_checked"] = "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"
+
 # ---------------------------------------------------------------- p7: containers
 
 
@@ -160,6 +177,23 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     filled = p7_containers(spark, sf).groupBy("spec_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     return filled.join(F.broadcast(capacity), "spec_id").select("spec_id", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("used_share"))
 
+
+@query
+def p7_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Per capacity what must hold of any packing: documents held, containers over the capacity, documents with parts that don't follow each other from 0,
+    documents split without need, and rows of more tokens than the capacity: all but the first must be 0."""
+    capacity = table(spark, sf, "pack_spec").select("spec_id", "capacity")
+    packed = cut(p7_containers(spark, sf))
+    over = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("held")).join(F.broadcast(capacity), "spec_id").groupBy("spec_id").agg(F.count_if(F.col("held") > F.col("capacity")).alias("over_capacity"))
+    parts = packed.groupBy("spec_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("part_no").alias("last"), F.min("part_no").alias("first"), F.sum("n_tokens").alias("size"), F.max(F.struct("token_start", "n_tokens")).alias("end"), F.max("n_tokens").alias("largest"))
+    torn = (F.col("first") != 0) | (F.col("last") != F.col("n") - 1) | (F.col("end.token_start") + F.col("end.n_tokens") != F.col("size"))
+    split = (F.col("n") > 1) & (F.col("size") <= F.col("capacity"))
+    by = parts.join(F.broadcast(capacity), "spec_id").groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(torn).alias("torn"), F.count_if(split).alias("split_without_need"), F.count_if(F.col("largest") > F.col("capacity")).alias("too_large"))
+    return by.join(over, "spec_id").select("spec_id", "documents", "over_capacity", "torn", "split_without_need", "too_large")
+
+
+SQL["p7_checked"] = "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS over_capacity, 0::BIGINT AS torn, 0::BIGINT AS split_without_need, 0::BIGINT AS too_large FROM pack_spec"
+
 # ---------------------------------------------------------------- p8: subject areas
 
 

@@ -78,10 +78,15 @@ def send_vocabulary(spark: SparkSession, name: str, folder: str = TOKENIZERS) ->
 _sent: set[tuple[str, str, str]] = set()
 
 
-def decode(ids: Iterable[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
-    """The raw bytes of the ids, put together, as text."""
+def decode_bytes(ids: Iterable[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
+    """The raw bytes of the ids, put together."""
     encoding = byte_encoding(name, folder)
-    return b"".join(encoding.decode_single_token_bytes(int(i)) for i in ids).decode("utf-8", errors="replace")
+    return b"".join(encoding.decode_single_token_bytes(int(i)) for i in ids)
+
+
+def decode(ids: Iterable[int], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
+    """The same as text."""
+    return decode_bytes(ids, name, folder).decode("utf-8", errors="replace")
 
 
 _pre = regex.compile(PATTERN)
