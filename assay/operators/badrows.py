@@ -1,8 +1,8 @@
 """Rows that fail to parse: delimited text is split, checked and typed inside one projection.
 
-Every field is held as nullable text first. Rules, each a Catalyst expression, add a name to an error
-array; a row whose array is empty is valid and gets typed columns, any other comes out with its first
-reason. Nothing leaves the JVM and nothing is shuffled, so a table is parsed in a single scan however its
+Every field is held as nullable text first. Rules, each a Catalyst expression, add an entry to an error
+array, one for the layout or one for each column whose value breaks its rule; a row whose array is empty is valid and gets typed columns, any other comes out with its first
+reason and the columns concerned. Nothing leaves the JVM and nothing is shuffled, so a table is parsed in a single scan however its
 files are skewed.
 
 Defined results: a null record counts as an empty one (one empty field); CR and LF at the very end do not
@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.session import cut
+
 # An escape that can't be confused with the text: any U+0001 of the text itself becomes U+0001 'e' first.
 _ESC = "\u0001"
 
@@ -42,6 +44,7 @@ class DelimitedLayout:
     columns: tuple[tuple[str, str], ...]
     rules: dict[str, NumberRule | ChoiceRule] = field(default_factory=dict)
     missing: tuple[str, ...] = ("", "NA")
+    verbatim: tuple[str, ...] = ()  # text columns that keep white space and spellings of a missing value, but for blank ones
 
 
 CREDIT_LAYOUT = DelimitedLayout(
@@ -59,6 +62,7 @@ CREDIT_LAYOUT = DelimitedLayout(
         "credit_amount": NumberRule(250, 20000),
         "target": ChoiceRule(("0", "1")),
     },
+    verbatim=("remark",),
 )
 
 
@@ -119,46 +123,55 @@ def _is_number(text: Column, rule: NumberRule) -> Column:
 
 
 def check_records(df: DataFrame, text_col: str, layout: DelimitedLayout) -> DataFrame:
-    """The input with `_values` (fields as text) and `_errors` (names of the rules that a record breaks, first one first)."""
+    """The input with `_values` (fields as text) and `_errors` (reason and column of every rule that a record breaks; the column is null for its layout)."""
     record = F.rtrim(F.coalesce(F.col(text_col), F.lit("")), F.lit("\r\n"))
     df = _held(df, "_pieces", _pieces(record))
     df = _held(df, "_sound", _quoting_is_sound(F.col("_pieces")))
     df = _held(df, "_values", F.when(F.col("_sound"), _fields(F.col("_pieces"))))
     counted = F.size("_values") == len(layout.columns)
-    bad = []
+    error = lambda reason, column: F.struct(F.lit(reason).alias("reason"), F.lit(column).cast("string").alias("column"))
+    errors = [
+        F.when(~F.col("_sound"), error(BROKEN_QUOTING, None)),
+        F.when(F.col("_sound") & ~counted, error(WRONG_COUNT, None)),
+    ]
     for at, (name, _) in enumerate(layout.columns):
         rule = layout.rules.get(name)
+        if rule is None:
+            continue
         text = F.trim(F.get(F.col("_values"), F.lit(at)))
-        if isinstance(rule, NumberRule):
-            bad.append(~_is_number(text, rule))
-        elif isinstance(rule, ChoiceRule):
-            bad.append(~text.isin(*rule.allowed))
-    any_bad = F.lit(False)
-    for one in bad:
-        any_bad = any_bad | F.coalesce(one, F.lit(True))
-    errors = F.array(
-        F.when(~F.col("_sound"), F.lit(BROKEN_QUOTING)),
-        F.when(F.col("_sound") & ~counted, F.lit(WRONG_COUNT)),
-        F.when(F.col("_sound") & counted & any_bad, F.lit(INVALID_VALUE)),
-    )
-    return _held(df, "_errors", F.array_compact(errors)).drop("_pieces", "_sound")
+        fits = _is_number(text, rule) if isinstance(rule, NumberRule) else text.isin(*rule.allowed)
+        errors.append(F.when(F.col("_sound") & counted & ~F.coalesce(fits, F.lit(False)), error(INVALID_VALUE, name)))
+    return _held(df, "_errors", F.array_compact(F.array(*errors))).drop("_pieces", "_sound")
+
+
+def checked_once(df: DataFrame, text_col: str, layout: DelimitedLayout) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected records, parsed once and written down for both."""
+    held = cut(check_records(df, text_col, layout))
+    return _typed(held, df.columns, text_col, layout), _reasons(held)
+
+
+def _reasons(held: DataFrame) -> DataFrame:
+    columns = F.array_compact(F.transform("_errors", lambda e: e["column"]))
+    return held.filter(F.size("_errors") > 0).drop("reason", "columns").withColumns({"reason": F.element_at("_errors", 1)["reason"], "columns": columns}).drop("_values", "_errors")
 
 
 def rejected(df: DataFrame, text_col: str, layout: DelimitedLayout) -> DataFrame:
-    """Records that can't be parsed, with `reason`."""
-    out = check_records(df.drop("reason") if text_col != "reason" else df, text_col, layout).filter(F.size("_errors") > 0)
-    return out.withColumn("reason", F.element_at("_errors", 1)).drop("_values", "_errors")
+    """Records that can't be parsed, with `reason` (the first one) and `columns` (those with a value that breaks its rule)."""
+    return _reasons(check_records(df, text_col, layout))
 
 
 def accepted(df: DataFrame, text_col: str, layout: DelimitedLayout) -> DataFrame:
     """Valid records as typed columns. Fields without a rule that do not fit their type are null."""
+    return _typed(check_records(df, text_col, layout), df.columns, text_col, layout)
+
+
+def _typed(held: DataFrame, given: list[str], text_col: str, layout: DelimitedLayout) -> DataFrame:
     produced = {name for name, _ in layout.columns}
-    out = check_records(df, text_col, layout).filter(F.size("_errors") == 0)
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in produced and c != text_col]
+    keep = [F.col(f"`{c}`") for c in given if c not in produced and c != text_col]
     typed = []
     for at, (name, kind) in enumerate(layout.columns):
         text = F.get(F.col("_values"), F.lit(at))
         trimmed = F.trim(text)
         known = F.when(~trimmed.isin(*layout.missing), trimmed)
-        typed.append((F.when(trimmed != "", text) if name == "remark" else known.try_cast(kind)).alias(name))
-    return out.select(*keep, *typed)
+        typed.append((F.when(trimmed != "", text) if name in layout.verbatim else known.try_cast(kind)).alias(name))
+    return held.filter(F.size("_errors") == 0).select(*keep, *typed)

@@ -104,3 +104,10 @@ def test_empty_table_and_clashing_columns(spark):
 @pytest.mark.parametrize("text,fields", [('a,"b,c",d', ["a", "b,c", "d"]), ('"x""y"', ['x"y'])])
 def test_hand_parser(text, fields):
     assert split_by_hand(text) == fields
+
+
+def test_every_column_that_breaks_its_rule_is_named(spark):
+    df = spark.createDataFrame([(1, "3,100,30,2,male,5,x"), (2, "12,1000,30,2,male,1,x"), (3, 'a"b,1'), (4, "12,1,30,2,male,1,x")], "record_id long, raw_text string")
+    good, bad = badrows.checked_once(df, "raw_text", badrows.CREDIT_LAYOUT)
+    assert {r.record_id: (r.reason, r["columns"]) for r in bad.collect()} == {1: ("invalid_value", ["duration", "credit_amount", "target"]), 3: ("broken_quoting", []), 4: ("invalid_value", ["credit_amount"])}
+    assert [r.record_id for r in good.collect()] == [2] and good.columns == ["record_id", *(n for n, _ in badrows.CREDIT_LAYOUT.columns)]
