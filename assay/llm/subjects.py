@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.mailtext import address_path, own_wording, subject_line
+from assay.operators.ranks import few_or_shuffled
 from assay.session import cut
 
 NONE = "none"
@@ -445,23 +446,28 @@ def _weak_sample(messages: DataFrame, usable: DataFrame, spec: SubjectSpec, mode
                 batch = whole.iloc[start : start + TEXTS_AT_ONCE]
                 found = weak_scores(Model(subjects, weights), its_places, Bag.of(batch["_line"], spec), batch["_path"]) > spec.weak_above
                 some = found.any(axis=1)
-                if not some.any():
-                    continue
-                yield pd.DataFrame({"_id": batch["_id"].to_numpy()[some], "_wording": batch["_wording"].to_numpy()[some], "_path": batch["_path"].to_numpy()[some], "given": [np.flatnonzero(f).tolist() for f in found[some]]})
-
-    weak = messages.filter(F.col("_id").isNotNull()).select("_id", "_wording", "_line", "_path").mapInPandas(score, "_id long, _wording string, _path array<string>, given array<int>")
-    once = weak.groupBy("_id").agg(F.min(F.struct("given", "_wording", "_path")).alias("r")).select("_id", "r.*")
-    picked = cut(once.orderBy(_place(spec, 1), "_id").limit(spec.weak_docs))
-    picked = picked.join(usable.select("_id").distinct().join(F.broadcast(picked.select("_id")), "_id", "left_semi"), "_id", "left_anti")
-    rows = sorted(picked.select("_id", "given").join(picked.mapInPandas(_hash_features(spec), _FEATURES), "_id").collect(), key=lambda r: r["_id"])  # at most weak_docs
+                if some.any():
+                    yield pd.DataFrame({"_id": batch["_id"].to_numpy()[some], "given": [np.flatnonzero(f).tolist() for f in found[some]]})
+
+    weak = messages.filter(F.col("_id").isNotNull()).select("_id", "_line", "_path").mapInPandas(score, "_id long, given array<int>")
+    # Labels alone are brought together by document; wordings are fetched for the sample only.
+    picked = cut(weak.groupBy("_id").agg(F.min("given").alias("given")).orderBy(_place(spec, 1), "_id").limit(spec.weak_docs))
+    named = usable.select("_id").join(F.broadcast(picked.select("_id")), "_id", "left_semi").distinct()
+    free = cut(picked.join(named, "_id", "left_anti"))
+    texts = messages.select("_id", "_wording", "_path").join(F.broadcast(free.select("_id")), "_id", "left_semi")
+    once = texts.groupBy("_id").agg(F.min(F.struct("_wording", "_path")).alias("r")).select("_id", "r.*")
+    rows = sorted(free.join(once.mapInPandas(_hash_features(spec), _FEATURES), "_id").collect(), key=lambda r: r["_id"])  # at most weak_docs
     labels = np.zeros((len(rows), len(model.subjects)), dtype=np.float32)
     for i, r in enumerate(rows):
         labels[i, r["given"]] = 1
     return Sample(Bag.of_features((r["sizes"], r["grams"]) for r in rows), labels, np.zeros(len(rows), dtype=bool))
 
 
+LABELS_SENT = 300_000  # hand-made labels of more documents than these are joined by a shuffle of the wordings
+
+
 def _outside(messages: DataFrame, given: DataFrame, spec: SubjectSpec, model: Model) -> np.ndarray:
-    """A model's tally over labelled documents, in one pass: given(_id, given). Only scores are shuffled, and only counts go to the driver."""
+    """A model's tally over labelled documents, in one pass: given(_id, given). Only counts are shuffled and go to the driver, as long as the labels are few enough to be sent to the wordings."""
     sent = messages.sparkSession.sparkContext.broadcast((model.subjects, model.weights))
     shape = (len(GRID), len(model.subjects), 3)
 
@@ -474,7 +480,7 @@ def _outside(messages: DataFrame, given: DataFrame, spec: SubjectSpec, model: Mo
                 total = tally(own.document_scores(Bag.of(batch["_wording"], spec)), marks)
                 yield pd.DataFrame({"place": np.arange(total.size), "n": total.ravel()})
 
-    counted = messages.select("_id", "_wording").join(given, "_id").mapInPandas(score, "place long, n long")
+    counted = messages.select("_id", "_wording").join(few_or_shuffled(given, LABELS_SENT), "_id").mapInPandas(score, "place long, n long")
     counts = np.zeros(int(np.prod(shape)), dtype=np.int64)
     for r in counted.groupBy("place").agg(F.sum("n").alias("n")).collect():  # one row per cell of the tally
         counts[r["place"]] = r["n"]
@@ -494,7 +500,7 @@ def fit(messages: DataFrame, labels: DataFrame, areas: DataFrame, spec: SubjectS
     rows = sorted(hashed_rows.collect(), key=lambda r: r["_id"])  # at most labelled_docs
     marks = np.array([[s in r["given"] for s in subjects] for r in rows], dtype=np.float32).reshape(len(rows), len(subjects))
     sample = Sample(Bag.of_features((r["sizes"], r["grams"]) for r in rows), marks, np.ones(len(rows), dtype=bool))
-    rest = given.join(F.broadcast(picked.select("_id")), "_id", "left_anti")
+    rest = cut(given.join(F.broadcast(picked.select("_id")), "_id", "left_anti"))
     return train(sample, [r["_path"] for r in rows], subjects, spec, lambda m, p: _weak_sample(messages, given, spec, m, p), lambda m: _outside(messages, rest, spec, m), spark)
 
 
