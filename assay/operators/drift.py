@@ -595,9 +595,15 @@ def unified(lines: DataFrame, payload: str) -> DataFrame:
                 records = [parse_record(x) for x in batch.column(place(payload)).to_pylist()]
                 plain = [canonical_value(r, "", names, mixed) if r is not None else {} for r in records]
                 made = [batch.column(place(f.name)) for f in own] + [pa.array([r is not None for r in records], pa.bool_())]
+                last = None
                 for field, tag, _, _ in columns:
-                    values = [_values_at(r, steps[field]) for r in plain]
-                    arrays = sum(n for _, n in steps[field])
+                    if field != last:  # the branches of a field follow each other
+                        last, (name, arrays) = field, steps[field][0]
+                        if len(steps[field]) > 1 or arrays:
+                            values = [_values_at(r, steps[field]) for r in plain]
+                            arrays = sum(n for _, n in steps[field])
+                        else:
+                            values = [r.get(name) for r in plain]
                     if arrays:
                         made.append(pa.array([None if v is None else [as_tag(x, tag) for x in _flat(v, arrays)] for v in values], pa.list_(kind_of[tag])))
                     else:

@@ -76,7 +76,7 @@ def percentiles_within(known: DataFrame, keys: list[str], value: str, brackets:
     placed = running_sum_within(inside, by, ["_v"], "_c", "_before").withColumn("_up", F.col("_before") + F.col("_c"))
     at = F.array(*(F.struct(F.lit(x).alias("name"), F.lit(float(p)).alias("p")) for x, p in zip(names, probabilities, strict=True)))
     ranks = brackets.select(*keys, "n", F.explode(at).alias("q")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("q.name").alias(f"_k{len(keys)}"), "n", (F.col("q.p") * (F.col("n") - 1)).alias("_at"))
-    joined = placed.join(few_or_shuffled(cut(ranks)), same(by))
+    joined = placed.join(few_or_shuffled(ranks), same(by))
     pick = lambda rank: F.min(F.when(F.col("_up") > rank, F.struct("_up", "_v")))
     found = joined.groupBy(*by, "n", "_at").agg(pick(F.floor("_at")).alias("lo"), pick(F.ceil("_at")).alias("hi"))
     between = F.when(F.col("lo._v") == F.col("hi._v"), F.col("lo._v")).otherwise(F.col("lo._v") + (F.col("hi._v") - F.col("lo._v")) * (F.col("_at") - F.floor("_at")))
@@ -102,7 +102,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: list[fl
     brackets = cut(summary.filter("n > 0").withColumns(sides).drop("_q"))
     found = percentiles_within(known, keys, "_v", brackets, probabilities, names)
     wide = found.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(*(F.max(F.when(F.col("name") == x, F.col("percentile"))).alias(x) for x in names))
-    return brackets.select(*keys, "n", "least", "most").join(few_or_shuffled(cut(wide)), same(keys)).select(*keys, "n", "least", "most", *names)
+    return brackets.select(*keys, "n", "least", "most").join(wide, same(keys)).select(*keys, "n", "least", "most", *names)
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], names: list[str]) -> DataFrame:
