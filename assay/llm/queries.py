@@ -39,8 +39,8 @@ def _amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups whose 95th percentile is at least four times the median, by the inverted sketches: their certain bounds decide a group either way
-    unless four medians lie between the bounds of the 95th percentile; those few groups are decided by exact counts inside the sketches' brackets."""
+    """Groups whose 95th percentile is at least four times the median, by sketches: the bounds that their exactly counted levels give for certain decide a group either way
+    unless they leave it open; such a group is decided by exact counts inside the brackets of the ranks inverted down to the finest level."""
     ship(spark)
     rows = _amounts(spark, sf)
     sketched = cut(dyadic.percentiles(dyadic.build(rows, GROUP, "credit_amount"), [0.5, 0.95], certain=True).filter(F.col("n") >= 60))
